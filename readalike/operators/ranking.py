@@ -18,3 +18,8 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+
+
+def at_most(df: DataFrame, n: int) -> bool:
+    """Size check before a plan that is only good for few rows."""
+    return df.limit(n + 1).count() <= n

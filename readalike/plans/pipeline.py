@@ -1,0 +1,61 @@
+"""The batch pipelines: raw tables to processed tables to feature tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from readalike.operators import clean, features
+from readalike.sources.raw import load_processed, read_raw, save
+from readalike.sources.store import Store
+
+# Raw file names
+RAW_FILES = {"books": "Books.csv", "ratings": "Ratings.csv", "users": "Users.csv"}
+
+
+def read_raw_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {kind: read_raw(spark, f"{folder}/{name}", kind) for kind, name in RAW_FILES.items()}
+
+
+def processed_tables(raw: dict[str, DataFrame], store: Store) -> dict[str, DataFrame]:
+    """Books, ratings and users after cleaning.
+
+    Clean ratings and books are stored: each is read by more than one step.
+    Users below the minimum after the book restriction are not dropped again.
+    """
+    ratings = store.write(clean.clean_ratings(raw["ratings"]))
+    books = store.write(clean.clean_books(raw["books"], ratings))
+    return {
+        "books": books,
+        "ratings": clean.ratings_of_books(ratings, books),
+        "users": clean.clean_users(raw["users"]),
+    }
+
+
+def ingest(spark: SparkSession, raw_folder: str, out_folder: str) -> dict[str, int]:
+    """CSV folder to processed parquet tables; returns their row counts."""
+    tables = processed_tables(read_raw_folder(spark, raw_folder), Store(spark))
+    return {name: save(df, f"{out_folder}/{name}.parquet") for name, df in tables.items()}
+
+
+def build_features(spark: SparkSession, in_folder: str, out_folder: str) -> dict[str, int]:
+    """Processed tables to feature tables; returns their row counts.
+
+    The similarity table is laid out by isbn and by similarity within it, so a
+    lookup of a few seeds skips most files and row groups.
+    """
+    books, ratings, users = load_processed(spark, in_folder)
+    counts: dict[str, int] = {}
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        path = f"{out_folder}/{name}.parquet"
+        counts[name] = save(df, path)
+        return spark.read.parquet(path)
+
+    put("item_index", features.item_index(Store(spark), books))
+    pairs = put("item_pairs", features.item_similarity(ratings))
+    put("item_similarity", features.symmetric_similarity(pairs, books)
+        .repartitionByRange("isbn").sortWithinPartitions("isbn", "similarity"))
+    stats = put("book_stats", features.book_stats(books, ratings))
+    put("age_group_dominant", features.age_group_dominant(ratings, users))
+    put("age_group_top_books", features.age_group_top_books(ratings, users, stats))
+    return counts
