@@ -228,8 +228,8 @@ def histogram(df: DataFrame, col: str, bins: int = params.SIMILARITY_BINS) -> Da
     axis = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
     step = (high - low) / bins
     return axis.join(counts, "bin", "left").fillna(0, subset=["n"]).select(
-        "bin", F.round(low + F.col("bin") * step, 9).alias("low_edge"),
-        F.round(low + (F.col("bin") + 1) * step, 9).alias("high_edge"), "n")
+        "bin", F.round(low + F.col("bin") * step, 12).alias("low_edge"),
+        F.round(low + (F.col("bin") + 1) * step, 12).alias("high_edge"), "n")
 
 
 def _ratings_per_book(ratings: DataFrame) -> DataFrame:
