@@ -308,8 +308,10 @@ def _(w: Workspace) -> DataFrame:
     fused = strategies.fused_candidates(
         strategies.cf_candidates(w.seeds, w.similarity),
         strategies.semantic_candidates(w.seeds, w.vectors), w.stats)
-    return _round(fused, "linear_score", "rrf_bonus").select(
-        "seed_isbn", "isbn", "cf_rank", "semantic_rank", "linear_score", "rrf_bonus",
+    return fused.select(
+        "seed_isbn", "isbn", "cf_rank", "semantic_rank",
+        F.round("linear_score", 12).alias("linear_score"),
+        F.round("rrf_bonus", 12).alias("rrf_bonus"),
         scores.published(F.col("score")).alias("score"))
 
 
