@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from readalike import params
 from readalike.functions import scores
 from readalike.functions.text import is_blank, tag_set
+from readalike.operators.ids import to_ids, to_isbns
 from readalike.operators.pairs import ranked_co_ratings
-from readalike.operators.ranking import top_k
+from readalike.operators.ranking import spread, top_k
 from readalike.operators.strategies import best_per_group
 
 
 def co_rated_top(seeds: DataFrame, ratings: DataFrame, k: int = params.TOP_K,
-                 **limits: int) -> DataFrame:
+                 index: DataFrame | None = None, **limits: int) -> DataFrame:
     """Books rated by the seed's raters, by co-raters, then mean rating."""
-    return ranked_co_ratings(seeds, ratings, "count_mean", k, **limits).select(
+    return ranked_co_ratings(seeds, ratings, "count_mean", k, index, **limits).select(
         "seed_isbn", "rank", "isbn", "co_raters", "mean_rating")
 
 
 def co_rated_gems(seeds: DataFrame, ratings: DataFrame, stats: DataFrame, k: int = params.TOP_K,
-                  pool: int = params.GEM_POOL, **limits: int) -> DataFrame:
+                  pool: int = params.GEM_POOL, index: DataFrame | None = None,
+                  **limits: int) -> DataFrame:
     """The most co-rated books, re-ranked by co-raters over log popularity."""
-    rows = ranked_co_ratings(seeds, ratings, "count", pool, **limits)
+    rows = ranked_co_ratings(seeds, ratings, "count", pool, index, **limits)
     counted = rows.drop("rank").join(stats.select("isbn", "rating_count"), "isbn", "left")
     divisor = F.when(F.col("rating_count") > 0, F.log(1.0 + F.col("rating_count"))).otherwise(1.0)
     gems = counted.withColumn("score", scores.settle(F.col("co_raters") / divisor))
@@ -36,6 +38,7 @@ def _jaccard(common: Column, size_a: Column, size_b: Column) -> Column:
 
 
 def subject_jaccard(seeds: DataFrame, enriched: DataFrame, k: int = params.TOP_K,
+                    index: DataFrame | None = None,
                     rare_limit: int = params.RARE_TAG_BOOKS) -> DataFrame:
     """Most similar books by Jaccard of the tag sets, positive overlap only.
 
@@ -48,12 +51,13 @@ def subject_jaccard(seeds: DataFrame, enriched: DataFrame, k: int = params.TOP_K
     rare tag with the seed as well, those rank above everything later in the
     order; otherwise k that do not are among them.
     """
-    books = enriched.select("isbn", tag_set(F.col("subjects")).alias("tags")).filter(
+    tagged = enriched.select("isbn", tag_set(F.col("subjects")).alias("tags")).filter(
         F.size("tags") > 0).withColumn("n_tags", F.size("tags"))
+    books = to_ids(tagged, index, "isbn")
     by_tag = books.select("isbn", "n_tags", F.explode("tags").alias("tag"))
     hot = by_tag.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rare_limit)
     hot_tags = hot.select("tag")
-    wanted = seeds.select("seed_isbn").distinct()
+    wanted = to_ids(seeds.select("seed_isbn").distinct(), index, "seed_isbn")
 
     # signature: the sorted hot tags of a book, empty when it has none
     signatures = by_tag.join(hot_tags, "tag", "left_semi").groupBy("isbn").agg(
@@ -65,7 +69,7 @@ def subject_jaccard(seeds: DataFrame, enriched: DataFrame, k: int = params.TOP_K
         renamed = df.withColumnRenamed("isbn", "seed_isbn").withColumnRenamed("n_tags", "seed_n")
         return renamed.join(wanted, "seed_isbn", "left_semi")
 
-    rare = by_tag.join(hot_tags, "tag", "left_anti")
+    rare = spread(by_tag.join(hot_tags, "tag", "left_anti").select("isbn", "n_tags", "tag"), "tag")
     rare_common = (
         seed_side(rare).select("seed_isbn", "tag").join(rare.select("isbn", "tag"), "tag")
         .filter(F.col("isbn") != F.col("seed_isbn"))
@@ -101,13 +105,18 @@ def subject_jaccard(seeds: DataFrame, enriched: DataFrame, k: int = params.TOP_K
     through_hot = (
         seed_profile.join(nearest, ["seed_hot", "seed_n"])
         .filter(F.col("isbn") != F.col("seed_isbn"))
-        .join(through_rare.select("seed_isbn", "isbn"), ["seed_isbn", "isbn"], "left_anti")
         .select("seed_isbn", "isbn", "common", "seed_n", "n_tags")
     )
 
-    scored = through_rare.unionByName(through_hot).withColumn(
-        "score", scores.settle(_jaccard(F.col("common"), F.col("seed_n"), F.col("n_tags"))))
-    return top_k(scored, ["seed_isbn"], [F.desc("score"), F.asc("isbn")], k).select(
+    scored = through_rare.unionByName(through_hot).select(
+        "seed_isbn", "isbn",
+        scores.settle(_jaccard(F.col("common"), F.col("seed_n"), F.col("n_tags"))).alias("score"))
+    by_score = [F.desc("score"), F.asc("isbn")]
+    # a book found both ways comes twice, its rare row first: 2k rows hold k books
+    found = top_k(scored, ["seed_isbn"], by_score, 2 * k).groupBy("seed_isbn", "isbn").agg(
+        F.max("score").alias("score"))
+    best = top_k(found, ["seed_isbn"], by_score, k)
+    return to_isbns(best, index, "seed_isbn", "isbn").select(
         "seed_isbn", "rank", "isbn", scores.published(F.col("score")).alias("score"))
 
 

@@ -34,9 +34,8 @@ def fetch_plan(index: DataFrame, batch: int = params.FETCH_BATCH_KEYS,
     )
 
 
-def parse_description(payload: Column) -> Column:
-    """A plain string, or the ``value`` of an object, else empty."""
-    entry = F.try_parse_json(payload)
+def parse_description(entry: Column) -> Column:
+    """Of a parsed entry: a plain string, or the ``value`` of an object, else empty."""
     plain = F.try_variant_get(entry, "$.description", "string")
     inner = F.try_variant_get(entry, "$.description.value", "string")
     kind = F.schema_of_variant(F.try_variant_get(entry, "$.description", "variant"))
@@ -52,9 +51,9 @@ def parse_subjects(payload: Column) -> Column:
 
 def parse_metadata(responses: DataFrame) -> DataFrame:
     """(isbn, payload) to (isbn, description, subjects)."""
-    payload = F.col("payload")
-    return responses.select("isbn", parse_description(payload).alias("description"),
-                            parse_subjects(payload).alias("subjects"))
+    parsed = responses.withColumn("entry", F.try_parse_json("payload"))
+    return parsed.select("isbn", parse_description(F.col("entry")).alias("description"),
+                         parse_subjects(F.col("payload")).alias("subjects"))
 
 
 def with_failed_defaults(keys: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from readalike.operators.clean import (
     dedupe_ratings, drop_nulls, min_ratings_per_book, one_row_per_isbn, ratings_of_books)
 from readalike.operators.pairs import ranked_co_ratings
 from readalike.operators.ranking import top_k
+from readalike.sources.store import Store
 
-N = F.count(F.lit(1))
+def n_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -27,21 +29,21 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row in full."""
-    return df.groupBy(*df.columns).agg(N.alias("n")).agg(
+    return df.groupBy(*df.columns).agg(n_rows().alias("n")).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
 def rating_distribution(ratings: DataFrame) -> DataFrame:
-    counts = ratings.groupBy("rating").agg(N.alias("n"))
-    total = ratings.agg(N).scalar()
+    counts = ratings.groupBy("rating").agg(n_rows().alias("n"))
+    total = ratings.agg(n_rows()).scalar()
     return counts.withColumn("share_pct", share(F.col("n"), total))
 
 
 def rating_distribution_compare(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """Counts of ratings 0 to 10 before and after, with the totals."""
     axis = raw.sparkSession.range(11).select(F.col("id").cast("int").alias("rating"))
-    raw_n = raw.groupBy("rating").agg(N.alias("raw_n"))
-    clean_n = clean.groupBy("rating").agg(N.alias("clean_n"))
+    raw_n = raw.groupBy("rating").agg(n_rows().alias("raw_n"))
+    clean_n = clean.groupBy("rating").agg(n_rows().alias("clean_n"))
     totals = raw.agg(F.count_if(F.col("rating") == 0).alias("implicit_total"),
                      F.count_if(F.col("rating") != 0).alias("explicit_total"))
     return (
@@ -56,14 +58,14 @@ def cardinalities(ratings: DataFrame) -> DataFrame:
     users = F.countDistinct("user_id")
     books = F.countDistinct("isbn")
     return ratings.agg(users.alias("n_users"), books.alias("n_books"),
-                       (N - users).alias("n_repeat_users"), (N - books).alias("n_repeat_books"))
+                       (n_rows() - users).alias("n_repeat_users"), (n_rows() - books).alias("n_repeat_books"))
 
 
 def long_tail(ratings: DataFrame) -> DataFrame:
     """Books with 0, 1 and 2 ratings and users with 1, with their shares."""
     def few(key: str, label: str, limits: list[int]) -> DataFrame:
-        per_key = ratings.groupBy(key).agg(N.alias("n"))
-        counts = per_key.agg(N.alias("total"), *[
+        per_key = ratings.groupBy(key).agg(n_rows().alias("n"))
+        counts = per_key.agg(n_rows().alias("total"), *[
             F.count_if(F.col("n") == i).alias(f"{label}_{i}") for i in limits])
         return counts.unpivot(["total"], [f"{label}_{i}" for i in limits], "measure", "n")
 
@@ -84,14 +86,14 @@ def _with_title(rows: DataFrame, books: DataFrame) -> DataFrame:
 
 def most_rated(ratings: DataFrame, books: DataFrame, n: int = params.REPORT_ROWS,
                asc: bool = False) -> DataFrame:
-    counts = ratings.groupBy("isbn").agg(N.alias("n_ratings"))
+    counts = ratings.groupBy("isbn").agg(n_rows().alias("n_ratings"))
     by_count = F.asc("n_ratings") if asc else F.desc("n_ratings")
     return _with_title(counts.orderBy(by_count, F.asc("isbn")).limit(n), books)
 
 
 def best_rated(ratings: DataFrame, books: DataFrame, min_n: int = params.BEST_RATED_MIN_RATINGS,
                n: int = params.REPORT_ROWS) -> DataFrame:
-    means = ratings.groupBy("isbn").agg(N.alias("n_ratings"), F.avg("rating").alias("mean_rating"))
+    means = ratings.groupBy("isbn").agg(n_rows().alias("n_ratings"), F.avg("rating").alias("mean_rating"))
     best = means.filter(F.col("n_ratings") >= min_n).orderBy(
         F.desc("mean_rating"), F.asc("isbn")).limit(n)
     return _with_title(best, books)
@@ -101,31 +103,34 @@ def survival_funnel(books: DataFrame, ratings: DataFrame,
                     min_n: int = params.EXPLORE_MIN_RATINGS) -> DataFrame:
     """Raw isbns, isbns with enough explicit ratings, orphans, survivors."""
     explicit = dedupe_ratings(ratings.filter(F.col("rating") > 0))
-    popular = explicit.groupBy("isbn").agg(N.alias("n")).filter(F.col("n") >= min_n)
+    popular = explicit.groupBy("isbn").agg(n_rows().alias("n")).filter(F.col("n") >= min_n)
     named = drop_nulls(books, ["title", "author"]).select("isbn").distinct()
-    survived = named.join(popular, "isbn", "left_semi").agg(N).scalar()
+    survived = named.join(popular, "isbn", "left_semi").agg(n_rows()).scalar()
     total = books.agg(F.countDistinct("isbn")).scalar()
-    return popular.agg(N.alias("popular")).select(
+    return popular.agg(n_rows().alias("popular")).select(
         total.alias("raw_isbns"), "popular", (F.col("popular") - survived).alias("orphans"),
         survived.alias("survived"))
 
 
-def explore_clean(books: DataFrame, ratings: DataFrame,
+def explicit_once(ratings: DataFrame, store: Store) -> DataFrame:
+    """Repeated ratings dropped, then zeros. Stored, as every step below reads it."""
+    return store.write(dedupe_ratings(ratings).filter(F.col("rating") > 0))
+
+
+def explore_clean(books: DataFrame, explicit: DataFrame,
                   min_n: int = params.EXPLORE_MIN_RATINGS) -> tuple[DataFrame, DataFrame]:
-    """Books and ratings under the exploratory rules."""
-    explicit = dedupe_ratings(ratings).filter(F.col("rating") > 0)
+    """Books and ratings under the exploratory rules, from ``explicit_once``."""
     kept = min_ratings_per_book(explicit, explicit, min_n)
     named = drop_nulls(books, ["title", "author"]).join(kept.select("isbn"), "isbn", "left_semi")
     kept_books = one_row_per_isbn(named)
     return kept_books, ratings_of_books(kept, kept_books)
 
 
-def explore_clean_report(books: DataFrame, ratings: DataFrame) -> DataFrame:
+def explore_clean_report(books: DataFrame, explicit: DataFrame) -> DataFrame:
     """Distinct books after each exploratory step, and the ratings left."""
-    explicit = dedupe_ratings(ratings).filter(F.col("rating") > 0)
-    per_book = explicit.groupBy("isbn").agg(N.alias("n"))
+    per_book = explicit.groupBy("isbn").agg(n_rows().alias("n"))
     enough = per_book.filter(F.col("n") >= params.EXPLORE_MIN_RATINGS)
-    kept_books, kept_ratings = explore_clean(books, ratings)
+    kept_books, kept_ratings = explore_clean(books, explicit)
     isbns = books.select("isbn").distinct()
     steps = {
         "all_books": isbns,
@@ -136,7 +141,7 @@ def explore_clean_report(books: DataFrame, ratings: DataFrame) -> DataFrame:
     }
     out = None
     for name, df in steps.items():
-        row = df.agg(N.alias("n")).select(F.lit(name).alias("step"), "n")
+        row = df.agg(n_rows().alias("n")).select(F.lit(name).alias("step"), "n")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -146,23 +151,25 @@ def _fans(ratings: DataFrame, threshold: int) -> DataFrame:
 
 
 def fan_co_reads(seeds: DataFrame, ratings: DataFrame, threshold: int = params.FAN_RATING,
-                 k: int = params.TOP_K, **limits: int) -> DataFrame:
+                 k: int = params.TOP_K, index: DataFrame | None = None,
+                 **limits: int) -> DataFrame:
     """Other books that the seed's fans rated at least ``threshold``, by count."""
-    return ranked_co_ratings(seeds, _fans(ratings, threshold), "count", k, **limits).select(
+    return ranked_co_ratings(seeds, _fans(ratings, threshold), "count", k, index, **limits).select(
         "seed_isbn", "rank", "isbn", "co_raters")
 
 
 def fan_co_reads_weighted(seeds: DataFrame, ratings: DataFrame, threshold: int = params.FAN_RATING,
-                          k: int = params.TOP_K, **limits: int) -> DataFrame:
+                          k: int = params.TOP_K, index: DataFrame | None = None,
+                 **limits: int) -> DataFrame:
     """The same books by the sum of their ratings."""
-    return ranked_co_ratings(seeds, _fans(ratings, threshold), "sum", k, **limits).select(
+    return ranked_co_ratings(seeds, _fans(ratings, threshold), "sum", k, index, **limits).select(
         "seed_isbn", "rank", "isbn", "rating_sum")
 
 
 def author_by_mean(seeds: DataFrame, books: DataFrame, ratings: DataFrame,
                    k: int = params.TOP_K) -> DataFrame:
     """The author's books by mean, then count, the seed included."""
-    means = ratings.groupBy("isbn").agg(N.alias("n_ratings"), F.avg("rating").alias("mean_rating"))
+    means = ratings.groupBy("isbn").agg(n_rows().alias("n_ratings"), F.avg("rating").alias("mean_rating"))
     rated = books.select("isbn", "author").filter(F.col("author").isNotNull()).join(means, "isbn")
     best = top_k(rated, ["author"], [F.desc("mean_rating"), F.desc("n_ratings"), F.asc("isbn")], k)
     lists = best.groupBy("author").agg(F.collect_list(
@@ -180,7 +187,7 @@ def exact_median(df: DataFrame, col: str, bins: int = 65_536) -> Column:
     column that was rounded.
     """
     values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), N.alias("n"))
+    bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), n_rows().alias("n"))
     low = bounds.select("lo").scalar()
     high = bounds.select("hi").scalar()
     total = bounds.select("n").scalar()
@@ -188,14 +195,14 @@ def exact_median(df: DataFrame, col: str, bins: int = 65_536) -> Column:
     bin_of = F.coalesce(F.least(F.floor((F.col("v") - low) / width * bins), F.lit(bins - 1)),
                         F.lit(0))
     binned = values.withColumn("bin", bin_of)
-    per_bin = binned.groupBy("bin").agg(N.alias("n")).withColumn(
+    per_bin = binned.groupBy("bin").agg(n_rows().alias("n")).withColumn(
         "upto", F.sum("n").over(Window.orderBy("bin")))  # at most ``bins`` rows
     first, second = F.floor((total + 1) / 2), F.floor(total / 2) + 1
     before = F.col("upto") - F.col("n")
     middle = per_bin.filter((F.col("upto") >= first) & (before < second)).select(
         "bin", before.alias("before"))
     ranked = (
-        binned.join(F.broadcast(middle), "bin").groupBy("bin", "before", "v").agg(N.alias("n"))
+        binned.join(F.broadcast(middle), "bin").groupBy("bin", "before", "v").agg(n_rows().alias("n"))
         .withColumn("upto", F.col("before") + F.sum("n").over(
             Window.partitionBy("bin").orderBy("v")))
     )
@@ -206,7 +213,7 @@ def exact_median(df: DataFrame, col: str, bins: int = 65_536) -> Column:
 def similarity_report(sim: DataFrame, books: DataFrame) -> DataFrame:
     """Size, fill and spread of the symmetric similarity table."""
     n = books.agg(F.countDistinct("isbn")).scalar()
-    return sim.agg(N.alias("n_entries"), F.avg("similarity").alias("mean_similarity"),
+    return sim.agg(n_rows().alias("n_entries"), F.avg("similarity").alias("mean_similarity"),
                    F.min("similarity").alias("min_similarity"),
                    F.max("similarity").alias("max_similarity")).select(
         n.alias("n_items"), "n_entries",
@@ -224,7 +231,7 @@ def histogram(df: DataFrame, col: str, bins: int = params.SIMILARITY_BINS) -> Da
     low = bounds.select(F.col("lo") - spare).scalar()
     high = bounds.select(F.col("hi") + spare).scalar()
     bin_of = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
-    counts = values.groupBy(bin_of.alias("bin")).agg(N.alias("n"))
+    counts = values.groupBy(bin_of.alias("bin")).agg(n_rows().alias("n"))
     axis = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
     step = (high - low) / bins
     return axis.join(counts, "bin", "left").fillna(0, subset=["n"]).select(
@@ -234,7 +241,7 @@ def histogram(df: DataFrame, col: str, bins: int = params.SIMILARITY_BINS) -> Da
 
 def _ratings_per_book(ratings: DataFrame) -> DataFrame:
     """(n, n_books): how many books have n ratings. Few rows, whatever the table."""
-    return ratings.groupBy("isbn").agg(N.alias("n")).groupBy("n").agg(N.alias("n_books"))
+    return ratings.groupBy("isbn").agg(n_rows().alias("n")).groupBy("n").agg(n_rows().alias("n_books"))
 
 
 def log_histogram(raw: DataFrame, clean: DataFrame, edges: int = params.LOG_EDGES) -> DataFrame:
@@ -272,7 +279,7 @@ def genre_counts(items: DataFrame, enriched: DataFrame) -> DataFrame:
     """Items per genre; those without metadata are Other."""
     subjects = enriched.select("isbn", "subjects")
     return items.select("isbn").join(subjects, "isbn", "left").groupBy(
-        genre(F.col("subjects")).alias("genre")).agg(N.alias("n"))
+        genre(F.col("subjects")).alias("genre")).agg(n_rows().alias("n"))
 
 
 def sample_items(df: DataFrame, n: int = params.SAMPLE_ITEMS,

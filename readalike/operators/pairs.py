@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readalike import params
-from readalike.operators.ranking import at_most, top_k
+from readalike.operators.ids import to_ids, to_isbns
+from readalike.operators.ranking import at_most, spread, top_k
 
 
 def rating_counts_per_user(ratings: DataFrame) -> DataFrame:
@@ -50,6 +51,7 @@ def _side(df: DataFrame, suffix: str) -> DataFrame:
 
 
 def _plain_pairs(ratings: DataFrame) -> DataFrame:
+    ratings = spread(ratings.select("user_id", "isbn", "value"), "user_id")
     return (
         _side(ratings, "a").join(_side(ratings, "b"), "user_id")
         .filter(F.col("isbn_a") < F.col("isbn_b"))
@@ -201,21 +203,24 @@ def _co_ratings_of(seeds: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def ranked_co_ratings(seeds: DataFrame, ratings: DataFrame, by: str, k: int,
+                      index: DataFrame | None = None,
                       limit: int = params.LIGHT_USER_RATINGS,
                       few: int = params.FEW_SEEDS) -> DataFrame:
     """Per seed the first ``k`` co-rated books.
 
     ``by``: ``count`` (co-raters), ``count_mean`` (co-raters, then mean rating)
     or ``sum`` (sum of the co-raters' ratings); isbn ends every order. Up to
-    ``few`` seeds are looked up one by one, more of them by the pair table.
+    ``few`` seeds are looked up one by one, more of them by the pair table,
+    whose items are numbered by ``index`` when it is given.
     Returns seed_isbn, isbn, co_raters, rating_sum, mean_rating, rank.
     """
     ratings = ratings.select("user_id", "isbn", F.col("rating").alias("value"))
     seeds = seeds.select("seed_isbn").distinct()
     if at_most(seeds, few):
-        directed = _co_ratings_of(seeds, ratings)
+        index, directed = None, _co_ratings_of(seeds, ratings)
     else:
-        split = RaterSplit(ratings, limit)
+        seeds = to_ids(seeds, index, "seed_isbn")
+        split = RaterSplit(to_ids(ratings, index, "isbn"), limit)
         directed = _directed_co_ratings(pair_sums(split))
         if split.has_heavy:
             order = [F.asc("isbn")] if by == "count" else [F.desc("value"), F.asc("isbn")]
@@ -227,4 +232,5 @@ def ranked_co_ratings(seeds: DataFrame, ratings: DataFrame, by: str, k: int,
         "count_mean": [F.desc("co_raters"), F.desc("mean_rating")],
         "sum": [F.desc("rating_sum")],
     }[by]
-    return top_k(scored, ["seed_isbn"], [*order, F.asc("isbn")], k)
+    best = top_k(scored, ["seed_isbn"], [*order, F.asc("isbn")], k)
+    return to_isbns(best, index, "seed_isbn", "isbn")

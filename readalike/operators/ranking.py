@@ -23,3 +23,14 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
 def at_most(df: DataFrame, n: int) -> bool:
     """Size check before a plan that is only good for few rows."""
     return df.limit(n + 1).count() <= n
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ahead of a join that multiplies rows.
+
+    Twice the usual number of partitions, as each makes far more rows than it
+    reads. A number that is named, and differs from the usual one, is not
+    coalesced by input bytes. Only for keys whose groups are bounded.
+    """
+    partitions = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)

@@ -89,20 +89,23 @@ def check_dim(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
     return df
 
 
-def _matrix(table: pa.Table, col: str) -> np.ndarray:
-    values = table.column(col).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(table.num_rows, -1)
-
-
 def _block_top_k(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Best ``k`` items of one item block for each seed of one seed block."""
+    """Best ``k`` items of one item block for each seed of one seed block.
+
+    The returned function refers to nothing of this package, so the executors
+    need only numpy and pyarrow.
+    """
     schema = pa.schema([("seed_isbn", pa.string()), ("isbn", pa.string()), ("score", pa.float64())])
 
+    def matrix(table: pa.Table, col: str) -> np.ndarray:
+        values = table.column(col).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return values.reshape(table.num_rows, -1)
+
     def run(seeds: pa.Table, items: pa.Table) -> pa.Table:
         if not seeds.num_rows or not items.num_rows:
             return schema.empty_table()
         items = items.sort_by("isbn")
-        item_rows, seed_rows = _matrix(items, "embedding"), _matrix(seeds, "seed_embedding")
+        item_rows, seed_rows = matrix(items, "embedding"), matrix(seeds, "seed_embedding")
         kept = min(k, items.num_rows)
         seed_at, item_at, scores = [], [], []
         for start in range(0, seeds.num_rows, 256):

@@ -51,8 +51,8 @@ def build_features(spark: SparkSession, in_folder: str, out_folder: str) -> dict
         counts[name] = save(df, path)
         return spark.read.parquet(path)
 
-    put("item_index", features.item_index(Store(spark), books))
-    pairs = put("item_pairs", features.item_similarity(ratings))
+    index = put("item_index", features.item_index(Store(spark), books))
+    pairs = put("item_pairs", features.item_similarity(ratings, index=index))
     put("item_similarity", features.symmetric_similarity(pairs, books)
         .repartitionByRange("isbn").sortWithinPartitions("isbn", "similarity"))
     stats = put("book_stats", features.book_stats(books, ratings))

@@ -146,7 +146,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("item_similarity")
 def _(w: Workspace) -> DataFrame:
-    return features.item_similarity(w.ratings)
+    return features.item_similarity(w.ratings, index=w.index)
 
 
 @query("rating_count_quantile")
@@ -373,22 +373,22 @@ def _(w: Workspace) -> DataFrame:
 
 @query("co_rated_top")
 def _(w: Workspace) -> DataFrame:
-    return _round(baselines.co_rated_top(w.seeds, w.ratings), "mean_rating")
+    return _round(baselines.co_rated_top(w.seeds, w.ratings, index=w.index), "mean_rating")
 
 
 @query("co_rated_gems")
 def _(w: Workspace) -> DataFrame:
-    return baselines.co_rated_gems(w.seeds, w.ratings, w.stats)
+    return baselines.co_rated_gems(w.seeds, w.ratings, w.stats, index=w.index)
 
 
 @query("subject_jaccard")
 def _(w: Workspace) -> DataFrame:
-    return baselines.subject_jaccard(w.seeds, w.enriched)
+    return baselines.subject_jaccard(w.seeds, w.enriched, index=w.index)
 
 
 @query("subject_jaccard_hot_tags")
 def _(w: Workspace) -> DataFrame:
-    return baselines.subject_jaccard(w.seeds, w.enriched, rare_limit=100)
+    return baselines.subject_jaccard(w.seeds, w.enriched, index=w.index, rare_limit=100)
 
 
 @query("author_or_subject")
@@ -400,7 +400,7 @@ def _(w: Workspace) -> DataFrame:
 def _(w: Workspace) -> DataFrame:
     return baselines.list_overlap(
         strategies.readers_also_list(w.seeds, w.similarity),
-        baselines.co_rated_top(w.seeds, w.ratings))
+        baselines.co_rated_top(w.seeds, w.ratings, index=w.index))
 
 
 # exploration and reporting
@@ -467,12 +467,12 @@ def _(w: Workspace) -> DataFrame:
 
 @query("explore_clean")
 def _(w: Workspace) -> DataFrame:
-    return explore.explore_clean_report(w.raw("raw_books"), w.raw("raw_ratings"))
+    return explore.explore_clean_report(w.raw("raw_books"), w.explicit_once)
 
 
 @query("explore_clean_ratings")
 def _(w: Workspace) -> DataFrame:
-    return explore.explore_clean(w.raw("raw_books"), w.raw("raw_ratings"))[1]
+    return explore.explore_clean(w.raw("raw_books"), w.explicit_once)[1]
 
 
 def _explored_seeds(w: Workspace) -> DataFrame:
@@ -481,12 +481,12 @@ def _explored_seeds(w: Workspace) -> DataFrame:
 
 @query("fan_co_reads")
 def _(w: Workspace) -> DataFrame:
-    return explore.fan_co_reads(_explored_seeds(w), w.explored[1])
+    return explore.fan_co_reads(_explored_seeds(w), w.explored[1], index=w.explored_index)
 
 
 @query("fan_co_reads_weighted")
 def _(w: Workspace) -> DataFrame:
-    return explore.fan_co_reads_weighted(_explored_seeds(w), w.explored[1])
+    return explore.fan_co_reads_weighted(_explored_seeds(w), w.explored[1], index=w.explored_index)
 
 
 @query("author_by_mean")

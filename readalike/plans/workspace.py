@@ -45,9 +45,13 @@ class Workspace:
         return self.store.write(clean.clean_users(self.raw("raw_users")), "users")
 
     # feature tables
+    @cached_property
+    def index(self) -> DataFrame:
+        return self.store.write(features.item_index(self.store, self.books), "item_index")
+
     @cached_property
     def pairs(self) -> DataFrame:
-        return self.store.write(features.item_similarity(self.ratings), "item_pairs")
+        return self.store.write(features.item_similarity(self.ratings, index=self.index), "item_pairs")
 
     @cached_property
     def similarity(self) -> DataFrame:
@@ -99,12 +103,21 @@ class Workspace:
         return self.store.write(vectors.l2_normalize(known), "vectors")
 
     # exploratory tables
+    @cached_property
+    def explicit_once(self) -> DataFrame:
+        return explore.explicit_once(self.raw("raw_ratings"), self.store)
+
     @cached_property
     def explored(self) -> tuple[DataFrame, DataFrame]:
-        books, ratings = explore.explore_clean(self.raw("raw_books"), self.raw("raw_ratings"))
+        books, ratings = explore.explore_clean(self.raw("raw_books"), self.explicit_once)
         return (self.store.write(books, "explored_books"),
                 self.store.write(ratings, "explored_ratings"))
 
+    @cached_property
+    def explored_index(self) -> DataFrame:
+        return self.store.write(
+            features.item_index(self.store, self.explored[0]), "explored_index")
+
     # seeds and results
     @property
     def seeds(self) -> DataFrame:
