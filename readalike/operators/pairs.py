@@ -29,11 +29,15 @@ def rating_counts_per_user(ratings: DataFrame) -> DataFrame:
 
 
 class RaterSplit:
-    """Ratings (user_id, isbn, value) split into light and heavy users."""
+    """Ratings (user_id, isbn, value) split into light and heavy users.
 
-    def __init__(self, ratings: DataFrame, limit: int = params.LIGHT_USER_RATINGS):
+    ``counted`` may be an earlier form of the same rows that is cheaper to count.
+    """
+
+    def __init__(self, ratings: DataFrame, limit: int = params.LIGHT_USER_RATINGS,
+                 counted: DataFrame | None = None):
         self.limit = limit
-        counts = rating_counts_per_user(ratings)
+        counts = rating_counts_per_user(counted if counted is not None else ratings)
         heavy_users = counts.filter(F.col("user_n") > limit)
         # One small job decides the plan: most tables have no heavy user, and
         # then none of the heavy route is planned or shuffled.
@@ -220,7 +224,7 @@ def ranked_co_ratings(seeds: DataFrame, ratings: DataFrame, by: str, k: int,
         index, directed = None, _co_ratings_of(seeds, ratings)
     else:
         seeds = to_ids(seeds, index, "seed_isbn")
-        split = RaterSplit(to_ids(ratings, index, "isbn"), limit)
+        split = RaterSplit(to_ids(ratings, index, "isbn"), limit, ratings)
         directed = _directed_co_ratings(pair_sums(split))
         if split.has_heavy:
             order = [F.asc("isbn")] if by == "count" else [F.desc("value"), F.asc("isbn")]

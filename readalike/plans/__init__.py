@@ -1 +1 @@
-"""Compositions of operators: pipelines, stored tables, registered queries."""
+"""Compositions of operators: batch builds, stored tables, registered queries."""

@@ -1,4 +1,4 @@
-"""The batch pipelines: raw tables to processed tables to feature tables."""
+"""The batch builds: raw tables to processed tables to feature tables."""
 
 from __future__ import annotations
 

@@ -1,7 +1,7 @@
 """The tables that the registered queries read, built once per test folder.
 
-The chain is the pipeline's: role views, processed tables, feature tables. Each
-stage that later ones share is stored, as the pipeline stores it.
+The chain is that of ``plans.build``: role views, processed tables, feature
+tables. Each stage that later ones share is stored, as the build stores it.
 """
 
 from __future__ import annotations

@@ -53,7 +53,7 @@ def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def load_processed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Books, ratings and users written by ``plans.pipeline.ingest``."""
+    """Books, ratings and users written by ``plans.build.ingest``."""
     return tuple(spark.read.parquet(f"{folder}/{name}.parquet")
                  for name in ("books", "ratings", "users"))
 

@@ -1,6 +1,6 @@
 import pytest
 
-from readalike.plans import pipeline
+from readalike.plans import build
 from readalike.sources import raw
 from tests.conftest import rows
 
@@ -29,13 +29,13 @@ def test_csv_scan(spark, tmp_path):
     assert ratings.filter("user_id IS NULL").count() == 1
 
 
-def test_pipeline_end_to_end(spark, tmp_path):
+def test_build_end_to_end(spark, tmp_path):
     write_raw(tmp_path)
-    counts = pipeline.ingest(spark, str(tmp_path), f"{tmp_path}/processed")
+    counts = build.ingest(spark, str(tmp_path), f"{tmp_path}/processed")
     books, ratings, users = raw.load_processed(spark, f"{tmp_path}/processed")
     assert counts == {"books": books.count(), "ratings": ratings.count(), "users": users.count()}
     assert counts["books"] == 6 and counts["users"] == 12
-    built = pipeline.build_features(spark, f"{tmp_path}/processed", f"{tmp_path}/features")
+    built = build.build_features(spark, f"{tmp_path}/processed", f"{tmp_path}/features")
     assert set(built) == {"item_index", "item_pairs", "item_similarity", "book_stats",
                           "age_group_dominant", "age_group_top_books"}
     assert built["item_similarity"] == 2 * built["item_pairs"] > 0
