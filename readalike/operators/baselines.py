@@ -12,6 +12,7 @@ from readalike.operators.ids import to_ids, to_isbns
 from readalike.operators.pairs import ranked_co_ratings
 from readalike.operators.ranking import spread, top_k
 from readalike.operators.strategies import best_per_group
+from readalike.sources.store import Store
 
 
 def co_rated_top(seeds: DataFrame, ratings: DataFrame, k: int = params.TOP_K,
@@ -38,7 +39,7 @@ def _jaccard(common: Column, size_a: Column, size_b: Column) -> Column:
 
 
 def subject_jaccard(seeds: DataFrame, enriched: DataFrame, k: int = params.TOP_K,
-                    index: DataFrame | None = None,
+                    index: DataFrame | None = None, store: Store | None = None,
                     rare_limit: int = params.RARE_TAG_BOOKS) -> DataFrame:
     """Most similar books by Jaccard of the tag sets, positive overlap only.
 
@@ -51,27 +52,27 @@ def subject_jaccard(seeds: DataFrame, enriched: DataFrame, k: int = params.TOP_K
     rare tag with the seed as well, those rank above everything later in the
     order; otherwise k that do not are among them.
     """
+    store = store or Store(enriched.sparkSession)
     tagged = enriched.select("isbn", tag_set(F.col("subjects")).alias("tags")).filter(
         F.size("tags") > 0).withColumn("n_tags", F.size("tags"))
-    books = to_ids(tagged, index, "isbn")
-    by_tag = books.select("isbn", "n_tags", F.explode("tags").alias("tag"))
-    hot = by_tag.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rare_limit)
-    hot_tags = hot.select("tag")
+    # stored, because the steps below read these small tables many times
+    by_tag = store.write(to_ids(tagged, index, "isbn").select(
+        "isbn", "n_tags", F.explode("tags").alias("tag")))
+    hot_tags = store.write(by_tag.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > rare_limit).select("tag"))
+    # a book's sorted hot tags, empty when it has none; isbn and n_tags go together
+    hot_only = by_tag.join(hot_tags.withColumn("hot_tag", F.col("tag")), "tag", "left")
+    profile = store.write(hot_only.groupBy("isbn", "n_tags").agg(
+        F.array_sort(F.collect_list("hot_tag")).alias("hot_tags")))
     wanted = to_ids(seeds.select("seed_isbn").distinct(), index, "seed_isbn")
 
-    # signature: the sorted hot tags of a book, empty when it has none
-    signatures = by_tag.join(hot_tags, "tag", "left_semi").groupBy("isbn").agg(
-        F.array_sort(F.collect_list("tag")).alias("hot_tags"))
-    profile = books.select("isbn", "n_tags").join(signatures, "isbn", "left").withColumn(
-        "hot_tags", F.coalesce("hot_tags", F.array().cast("array<string>")))
-
     def seed_side(df: DataFrame) -> DataFrame:
         renamed = df.withColumnRenamed("isbn", "seed_isbn").withColumnRenamed("n_tags", "seed_n")
         return renamed.join(wanted, "seed_isbn", "left_semi")
 
-    rare = spread(by_tag.join(hot_tags, "tag", "left_anti").select("isbn", "n_tags", "tag"), "tag")
+    rare = spread(by_tag.join(hot_tags, "tag", "left_anti").select("isbn", "tag"), "tag")
     rare_common = (
-        seed_side(rare).select("seed_isbn", "tag").join(rare.select("isbn", "tag"), "tag")
+        seed_side(rare).select("seed_isbn", "tag").join(rare, "tag")
         .filter(F.col("isbn") != F.col("seed_isbn"))
         .groupBy("seed_isbn", "isbn").agg(F.count(F.lit(1)).alias("rare_common"))
     )
@@ -85,39 +86,43 @@ def subject_jaccard(seeds: DataFrame, enriched: DataFrame, k: int = params.TOP_K
 
     # classes of (hot tags, number of tags) against each other
     classed = profile.filter(F.size("hot_tags") > 0)
-    members = top_k(classed, ["hot_tags", "n_tags"], [F.asc("isbn")], 2 * k + 1).select(
-        "hot_tags", "n_tags", "isbn")
-    class_list = members.groupBy("hot_tags", "n_tags").agg(
-        F.sort_array(F.collect_list("isbn")).alias("members"))
+    first = top_k(classed, ["hot_tags", "n_tags"], [F.asc("isbn")], 2 * k + 1)
+    class_list = store.write(first.groupBy("hot_tags", "n_tags").agg(
+        F.sort_array(F.collect_list("isbn")).alias("members")))
     class_tags = class_list.select("hot_tags", F.explode("hot_tags").alias("tag")).distinct()
     meets = (
         class_tags.withColumnRenamed("hot_tags", "seed_hot").join(class_tags, "tag")
         .groupBy("seed_hot", "hot_tags").agg(F.count(F.lit(1)).alias("common"))
     )
-    class_scores = (
-        seed_profile.select("seed_hot", "seed_n").distinct()
-        .join(meets, "seed_hot").join(class_list, "hot_tags")
-        .select("seed_hot", "seed_n", "common", "n_tags", F.explode("members").alias("isbn"),
-                _jaccard(F.col("common"), F.col("seed_n"), F.col("n_tags")).alias("score"))
-    )
-    nearest = top_k(class_scores, ["seed_hot", "seed_n"], [F.desc("score"), F.asc("isbn")],
-                    2 * k + 1).drop("rank", "score")
+    best_first = [F.desc("score"), F.asc("isbn")]
+    seed_classes = seed_profile.select("seed_hot", "seed_n").distinct()
+    # the first 2k + 1 members come from the first 2k + 1 classes by their first member
+    classes = top_k(
+        seed_classes.join(meets, "seed_hot").join(class_list, "hot_tags").select(
+            "seed_hot", "seed_n", "common", "n_tags", "members",
+            F.element_at("members", 1).alias("isbn"),
+            _jaccard(F.col("common"), F.col("seed_n"), F.col("n_tags")).alias("score")),
+        ["seed_hot", "seed_n"], best_first, 2 * k + 1)
+    members = classes.select("seed_hot", "seed_n", "common", "n_tags", "score",
+                             F.explode("members").alias("isbn"))
+    nearest = top_k(members, ["seed_hot", "seed_n"], best_first, 2 * k + 1).drop("rank", "score")
     through_hot = (
         seed_profile.join(nearest, ["seed_hot", "seed_n"])
         .filter(F.col("isbn") != F.col("seed_isbn"))
         .select("seed_isbn", "isbn", "common", "seed_n", "n_tags")
     )
 
+    # equal fractions are equal doubles, so the ranking needs no rounding
     scored = through_rare.unionByName(through_hot).select(
         "seed_isbn", "isbn",
-        scores.settle(_jaccard(F.col("common"), F.col("seed_n"), F.col("n_tags"))).alias("score"))
-    by_score = [F.desc("score"), F.asc("isbn")]
+        _jaccard(F.col("common"), F.col("seed_n"), F.col("n_tags")).alias("score"))
     # a book found both ways comes twice, its rare row first: 2k rows hold k books
-    found = top_k(scored, ["seed_isbn"], by_score, 2 * k).groupBy("seed_isbn", "isbn").agg(
+    found = top_k(scored, ["seed_isbn"], best_first, 2 * k).groupBy("seed_isbn", "isbn").agg(
         F.max("score").alias("score"))
-    best = top_k(found, ["seed_isbn"], by_score, k)
+    best = top_k(found, ["seed_isbn"], best_first, k)
     return to_isbns(best, index, "seed_isbn", "isbn").select(
-        "seed_isbn", "rank", "isbn", scores.published(F.col("score")).alias("score"))
+        "seed_isbn", "rank", "isbn",
+        scores.published(scores.settle(F.col("score"))).alias("score"))
 
 
 def author_or_subject(seeds: DataFrame, stats: DataFrame, enriched: DataFrame,

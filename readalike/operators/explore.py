@@ -251,18 +251,24 @@ def log_histogram(raw: DataFrame, clean: DataFrame, edges: int = params.LOG_EDGE
         _ratings_per_book(explicit).withColumn("stage", F.lit("raw"))
         .unionByName(_ratings_per_book(clean).withColumn("stage", F.lit("clean")))
     )
-    top = F.log10(counts.agg(F.max("n")).scalar())
+    whole = Window.partitionBy()  # over the few rows of distinct counts, then over the bins
+    scaled = counts.withColumn("top", F.log10(F.max("n").over(whole)))
     bins = edges - 1
-    bin_of = F.coalesce(F.least(F.floor(F.log10("n") / F.nullif(top, F.lit(0.0)) * bins),
+    bin_of = F.coalesce(F.least(F.floor(F.log10("n") / F.nullif(F.col("top"), F.lit(0.0)) * bins),
                                 F.lit(bins - 1)), F.lit(0))
-    per_bin = counts.groupBy(bin_of.alias("bin")).agg(
+    per_bin = scaled.groupBy(bin_of.alias("bin")).agg(
+        F.max("top").alias("top"),
         F.sum(F.when(F.col("stage") == "raw", F.col("n_books"))).alias("raw_books"),
         F.sum(F.when(F.col("stage") == "clean", F.col("n_books"))).alias("clean_books"))
     axis = raw.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    return axis.join(per_bin, "bin", "left").fillna(0).select(
-        "bin", F.round(F.pow(F.lit(10.0), top * F.col("bin") / bins), 6).alias("low_edge"),
-        F.round(F.pow(F.lit(10.0), top * (F.col("bin") + 1) / bins), 6).alias("high_edge"),
-        "raw_books", "clean_books")
+    full = axis.join(per_bin, "bin", "left").withColumn("top", F.max("top").over(whole)).fillna(
+        0, subset=["raw_books", "clean_books"])
+
+    def edge(at: Column) -> Column:
+        return F.round(F.pow(F.lit(10.0), F.col("top") * at / bins), 6)
+
+    return full.select("bin", edge(F.col("bin")).alias("low_edge"),
+                       edge(F.col("bin") + 1).alias("high_edge"), "raw_books", "clean_books")
 
 
 def dropped_share(raw: DataFrame, clean: DataFrame) -> DataFrame:

@@ -383,12 +383,13 @@ def _(w: Workspace) -> DataFrame:
 
 @query("subject_jaccard")
 def _(w: Workspace) -> DataFrame:
-    return baselines.subject_jaccard(w.seeds, w.enriched, index=w.index)
+    return baselines.subject_jaccard(w.seeds, w.enriched, index=w.index, store=w.store)
 
 
 @query("subject_jaccard_hot_tags")
 def _(w: Workspace) -> DataFrame:
-    return baselines.subject_jaccard(w.seeds, w.enriched, index=w.index, rare_limit=100)
+    return baselines.subject_jaccard(
+        w.seeds, w.enriched, index=w.index, store=w.store, rare_limit=100)
 
 
 @query("author_or_subject")
