@@ -11,6 +11,7 @@ from readalike.functions.text import is_blank, tag_set
 from readalike.operators.ids import to_ids, to_isbns
 from readalike.operators.pairs import ranked_co_ratings
 from readalike.operators.ranking import spread, top_k
+from readalike.operators.skew import join_per_key
 from readalike.operators.strategies import best_per_group
 from readalike.sources.store import Store
 
@@ -140,7 +141,7 @@ def author_or_subject(seeds: DataFrame, stats: DataFrame, enriched: DataFrame,
 
     authored = rated.filter(~is_blank(F.col("author")))
     author_best = best_per_group(authored, "author", "bayesian_rating", k + 1)
-    same_author = seed_rows.join(author_best, "author").select("seed_isbn", F.inline("best")).drop(
+    same_author = join_per_key(seed_rows, author_best, "author").select("seed_isbn", F.inline("best")).drop(
         "rank")
 
     kept = min(pool, k)
@@ -149,7 +150,7 @@ def author_or_subject(seeds: DataFrame, stats: DataFrame, enriched: DataFrame,
     seed_tags = tags.withColumnRenamed("isbn", "seed_isbn").join(
         seed_rows.select("seed_isbn"), "seed_isbn", "left_semi")
     by_subject = (
-        seed_tags.join(tag_best, "tag").select("seed_isbn", F.inline("best")).drop("rank")
+        join_per_key(seed_tags, tag_best, "tag").select("seed_isbn", F.inline("best")).drop("rank")
         .filter(F.col("isbn") != F.col("seed_isbn")).dropDuplicates(["seed_isbn", "isbn"])
     )
     subject_pool = top_k(by_subject, ["seed_isbn"], by_score, kept).drop("rank")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from readalike import params
 from readalike.functions.text import lower_trim
 from readalike.operators.ranking import top_k
+from readalike.operators.skew import join_per_key
 
 RATING_KEYS = ("user_id", "isbn")
 
@@ -34,7 +35,7 @@ def _frequent(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def min_ratings_per_user(ratings: DataFrame,
                          n: int = params.MIN_RATINGS_PER_USER) -> DataFrame:
-    return ratings.join(_frequent(ratings, "user_id", n), "user_id", "left_semi")
+    return join_per_key(ratings, _frequent(ratings, "user_id", n), "user_id", "left_semi")
 
 
 def normalize_text(df: DataFrame, col: str) -> DataFrame:

@@ -11,6 +11,7 @@ from readalike.operators.clean import (
     dedupe_ratings, drop_nulls, min_ratings_per_book, one_row_per_isbn, ratings_of_books)
 from readalike.operators.pairs import ranked_co_ratings
 from readalike.operators.ranking import top_k
+from readalike.operators.skew import join_per_key
 from readalike.sources.store import Store
 
 def n_rows() -> Column:
@@ -176,7 +177,7 @@ def author_by_mean(seeds: DataFrame, books: DataFrame, ratings: DataFrame,
         F.struct("rank", "isbn", "mean_rating", "n_ratings")).alias("best"))
     wanted = books.select(F.col("isbn").alias("seed_isbn"), "author").join(
         seeds.select("seed_isbn"), "seed_isbn", "left_semi")
-    return wanted.join(lists, "author").select("seed_isbn", F.inline("best"))
+    return join_per_key(wanted, lists, "author").select("seed_isbn", F.inline("best"))
 
 
 def exact_median(df: DataFrame, col: str, bins: int = 65_536) -> Column:

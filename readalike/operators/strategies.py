@@ -19,6 +19,7 @@ from readalike.functions import scores
 from readalike.functions.text import is_blank
 from readalike.functions.titles import is_edition
 from readalike.operators.ranking import top_k
+from readalike.operators.skew import join_per_key
 from readalike.operators.vectors import knn
 from readalike.sources.store import Store
 
@@ -81,7 +82,7 @@ def minmax_per_list(df: DataFrame, keys: Sequence[str], col: str = "score") -> D
     """Scale ``col`` to 0..1 within each list."""
     bounds = df.groupBy(*keys).agg(F.min(col).alias("_low"), F.max(col).alias("_high"))
     scaled = scores.min_max(F.col(col), F.col("_low"), F.col("_high"))
-    return df.join(bounds, list(keys)).withColumn(col, scaled).drop("_low", "_high")
+    return join_per_key(df, bounds, list(keys)).withColumn(col, scaled).drop("_low", "_high")
 
 
 def _scaled_and_ranked(lists: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def best_per_group(df: DataFrame, group: str, score: str, k: int) -> DataFrame:
 def pick_from_lists(seeds: DataFrame, lists: DataFrame, group: str, k: int) -> DataFrame:
     """Each seed takes its group's list, leaves itself out and keeps ``k``."""
     others = F.slice(F.filter("best", lambda b: b["isbn"] != F.col("seed_isbn")), 1, k)
-    return seeds.join(lists, group).select(
+    return join_per_key(seeds, lists, group).select(
         "seed_isbn", F.posexplode(others).alias("pos", "b")).select(
         "seed_isbn", "b.isbn", "b.score", (F.col("pos") + 1).alias("rank"))
 
