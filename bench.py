@@ -19,7 +19,7 @@ from readalike.plans.queries import registered  # noqa: E402
 from readalike.plans.workspace import workspace  # noqa: E402
 
 STAGES = ("all_ratings", "books", "ratings", "users", "pairs", "similarity", "stats",
-          "dominant", "top_books", "metadata", "enriched", "vectors", "explored")
+          "dominant", "top_books", "metadata", "enriched", "catalogue", "vectors", "explored")
 HEADLINE = (
     "clean_ratings", "clean_books", "item_similarity", "book_stats", "age_group_dominant",
     "age_group_top_books", "enrich_books", "embedding_text", "encode_text", "knn_inner_product",

@@ -24,7 +24,11 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = params.HOT_SHARE) -> D
 
 def join_per_key(df: DataFrame, per_key: DataFrame, key: str | list[str],
                  how: str = "inner") -> DataFrame:
-    """``df`` joined (inner or left_semi) with a table of one row per key."""
+    """``df`` joined (inner or left_semi) with a table of one, or few, rows per key.
+
+    ``df`` is read for the hot keys, their rows and the rest, so it should be a
+    stored table or a cheap plan.
+    """
     keys = [key] if isinstance(key, str) else key
     hot = F.broadcast(hot_keys(df, keys))
     hot_rows = F.broadcast(per_key.join(hot, keys, "left_semi"))

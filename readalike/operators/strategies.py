@@ -199,15 +199,22 @@ def top_picks_list(seeds: DataFrame, sim: DataFrame, vectors: DataFrame, stats:
                            semantic_candidates(seeds, vectors, pool), stats, k, min_ratings)
 
 
-def attach_metadata(lists: DataFrame, stats: DataFrame, enriched: DataFrame,
-                    strategy: str | None = None) -> DataFrame:
-    """Recommendation rows; unknown metadata becomes empty text or 0."""
+def catalogue(stats: DataFrame, enriched: DataFrame) -> DataFrame:
+    """What is shown of each book, one row per isbn known to either table.
+
+    Stored once, it makes attaching a single join of two scanned sides, which
+    AQE can split when one book is on very many lists.
+    """
+    facts = stats.select("isbn", "title", "author", "rating_count", "bayesian_rating")
+    return facts.join(enriched.select("isbn", "description", "subjects"), "isbn", "full")
+
+
+def attach_metadata(lists: DataFrame, books: DataFrame, strategy: str | None = None) -> DataFrame:
+    """Recommendation rows with the ``catalogue``; what is unknown becomes empty or 0."""
     if strategy is not None:
         lists = lists.withColumn("strategy", F.lit(strategy))
-    facts = stats.select("isbn", "title", "author", "rating_count", "bayesian_rating")
-    texts = enriched.select("isbn", "description", "subjects")
     empty = F.lit("")
-    return lists.join(facts, "isbn", "left").join(texts, "isbn", "left").select(
+    return lists.join(books, "isbn", "left").select(
         "seed_isbn", "strategy", "rank", "isbn", scores.published(F.col("score")).alias("score"),
         F.coalesce("title", empty).alias("title"), F.coalesce("author", empty).alias("author"),
         F.coalesce("description", empty).alias("description"),
@@ -225,7 +232,7 @@ class Artefacts:
     stats: DataFrame
     dominant: DataFrame
     top_books: DataFrame
-    enriched: DataFrame
+    catalogue: DataFrame
 
 
 def _lists(name: str, seeds: DataFrame, art: Artefacts, k: int) -> DataFrame:
@@ -246,7 +253,7 @@ def _lists(name: str, seeds: DataFrame, art: Artefacts, k: int) -> DataFrame:
 
 def recommend(seeds: DataFrame, strategy: str, art: Artefacts, k: int = params.TOP_K) -> DataFrame:
     """One strategy by name for a table of seeds (seed_isbn)."""
-    return attach_metadata(_lists(strategy, seeds, art, k), art.stats, art.enriched, strategy)
+    return attach_metadata(_lists(strategy, seeds, art, k), art.catalogue, strategy)
 
 
 def recommend_all(seeds: DataFrame, art: Artefacts, store: Store,
@@ -271,7 +278,7 @@ def recommend_all(seeds: DataFrame, art: Artefacts, store: Store,
         "top_picks": _top_picks_from(cf, semantic, art.stats, k),
     }
     named = [lists[name].withColumn("strategy", F.lit(name)) for name, _, _ in params.STRATEGIES]
-    rows = attach_metadata(reduce(DataFrame.unionByName, named), art.stats, art.enriched)
+    rows = attach_metadata(reduce(DataFrame.unionByName, named), art.catalogue)
     names = F.array(*[F.lit(name) for name, _, _ in params.STRATEGIES])
     return rows.withColumn("strategy_order", F.array_position(names, F.col("strategy")).cast("int"))
 

@@ -96,6 +96,10 @@ class Workspace:
     def enriched(self) -> DataFrame:
         return self.store.write(enrich.enrich_books(self.books, self.metadata), "enriched")
 
+    @cached_property
+    def catalogue(self) -> DataFrame:
+        return self.store.write(strategies.catalogue(self.stats, self.enriched), "catalogue")
+
     @cached_property
     def vectors(self) -> DataFrame:
         """Unit vectors of the processed books that have one."""
@@ -127,7 +131,7 @@ class Workspace:
     @property
     def artefacts(self) -> strategies.Artefacts:
         return strategies.Artefacts(self.similarity, self.vectors, self.stats,
-                                    self.dominant, self.top_books, self.enriched)
+                                    self.dominant, self.top_books, self.catalogue)
 
     @cached_property
     def recommendations(self) -> DataFrame:

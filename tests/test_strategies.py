@@ -41,7 +41,8 @@ def art(spark):
         spark.createDataFrame(stats, STATS),
         spark.createDataFrame(dominant, "isbn string, dominant_age_group string, age_group_count long"),
         spark.createDataFrame(top, "age_group string, isbn string, bayesian_rating double"),
-        spark.createDataFrame(enriched, "isbn string, description string, subjects string"))
+        strategies.catalogue(spark.createDataFrame(stats, STATS), spark.createDataFrame(
+            enriched, "isbn string, description string, subjects string")))
 
 
 @pytest.fixture(scope="module")
@@ -98,7 +99,7 @@ def test_same_author_and_age_group_equal_plain_joins(art, all_recs):
 def test_metadata_defaults(spark, art):
     lists = spark.createDataFrame([("b00", "nowhere", 0.12345649, 1)],
                                   "seed_isbn string, isbn string, score double, rank int")
-    row = strategies.attach_metadata(lists, art.stats, art.enriched, "readers_also").first()
+    row = strategies.attach_metadata(lists, art.catalogue, "readers_also").first()
     assert (row.title, row.author, row.description, row.rating_count, row.bayesian_rating) == (
         "", "", "", 0, 0.0)
     assert row.score == 0.123456
