@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from readalike import params
 from readalike.operators.ids import to_ids, to_isbns
 from readalike.operators.ranking import at_most, spread, top_k
+from readalike.sources.store import Store
 
 
 def rating_counts_per_user(ratings: DataFrame) -> DataFrame:
@@ -43,6 +44,9 @@ class RaterSplit:
         # then none of the heavy route is planned or shuffled.
         self.has_heavy = not heavy_users.isEmpty()
         if self.has_heavy:
+            # the heavy route reads the ratings many times, so its plan starts from a table
+            ratings = Store(ratings.sparkSession).write(ratings)
+            heavy_users = rating_counts_per_user(ratings).filter(F.col("user_n") > limit)
             self.light = ratings.join(heavy_users, "user_id", "left_anti")
             self.heavy = ratings.join(heavy_users, "user_id")
         else:
