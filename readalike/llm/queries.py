@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readalike.llm import mixing, quality
+from readalike.llm import decontaminate, mixing, near_dedup, quality
 from readalike.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs, quality.gram_ratios(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), Store(spark))
+    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"), Store(spark))
     return plan.select("doc_id", "size", "source_size", "target",
@@ -29,4 +39,5 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_mix_sources)}
+    return {f.__name__: f for f in (
+        op1_quality_rules, op2_decontaminate, op3_near_duplicates, op5_mix_sources)}
