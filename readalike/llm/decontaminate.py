@@ -166,8 +166,9 @@ def best_items(texts: pa.Array, block: Block) -> dict[str, list]:
             text, item, p, q, n = hits(found, block)
             order = np.lexsort((item, text))
             text, item, p, q, n = text[order], item[order], p[order], q[order], n[order]
-            edges = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]))) if len(text) else []
-            for a, b in zip(edges, np.append(edges[1:], len(text)), strict=True):
+            change = np.flatnonzero((text[1:] != text[:-1]) | (item[1:] != item[:-1])) + 1
+            edges = np.concatenate(([0], change, [len(text)])) if len(text) else np.zeros(0, np.int64)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
                 t, i = int(text[a]), int(item[a])
                 begin = found.first[t]
                 tiles = tile(found.hash[begin:begin + found.per_text[t]], block.tokens[i], p[a:b], q[a:b], int(n[a]))
