@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readalike.llm import decontaminate, mixing, near_dedup, quality
+from readalike.llm import decontaminate, mixing, near_dedup, quality, token_counts
 from readalike.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_verdicts(docs, quality.gram_ratios(docs, table(spark, sf_dir, "labels")))
@@ -38,6 +44,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality_rules, op2_decontaminate, op3_near_duplicates, op5_mix_sources)}
+        op1_quality_rules, op2_decontaminate, op3_near_duplicates, op5_mix_sources,
+        op8_token_counts)}
