@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readalike.llm import decontaminate, mixing, near_dedup, quality, token_counts
+from readalike.llm import decontaminate, mixing, near_dedup, quality, token_counts, training_order
 from readalike.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +48,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return training_order.read_shards(training_order.write_shards(docs, Store(spark), tokenizer_file()))
+
+
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_decontaminate, op3_near_duplicates, op5_mix_sources,
-        op8_token_counts)}
+        op8_token_counts, op9_training_order)}
