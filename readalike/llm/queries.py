@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readalike.llm import decontaminate, mixing, near_dedup, quality, token_counts, training_order
+from readalike.llm import (
+    decontaminate,
+    mixing,
+    near_dedup,
+    quality,
+    token_counts,
+    toxicity,
+    training_order,
+    warc_zip,
+)
 from readalike.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +53,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scores(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -53,7 +69,13 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.read_shards(training_order.write_shards(docs, Store(spark), tokenizer_file()))
 
 
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc_zip.write_packages(table(spark, sf_dir, "pages"), Store(spark))
+    records = warc_zip.read_records(warc_zip.record_ranges(manifest))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_decontaminate, op3_near_duplicates, op5_mix_sources,
-        op8_token_counts, op9_training_order)}
+        op6_toxicity, op8_token_counts, op9_training_order, op10_warc_zip)}
