@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from readalike.llm import (
     decontaminate,
+    html_text,
     mixing,
     near_dedup,
     quality,
     token_counts,
     toxicity,
     training_order,
+    url_filter,
     warc_zip,
 )
 from readalike.sources.store import Store
@@ -47,6 +49,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(table(spark, sf_dir, "documents"), Store(spark))
     return plan.select("doc_id", "size", "source_size", "target",
@@ -60,6 +66,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), Store(spark))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -77,5 +87,5 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_quality_rules, op2_decontaminate, op3_near_duplicates, op5_mix_sources,
-        op6_toxicity, op8_token_counts, op9_training_order, op10_warc_zip)}
+        op1_quality_rules, op2_decontaminate, op3_near_duplicates, op4_main_text,
+        op5_mix_sources, op6_toxicity, op7_url_filter, op8_token_counts, op9_training_order, op10_warc_zip)}
