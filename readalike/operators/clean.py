@@ -11,6 +11,7 @@ from readalike import params
 from readalike.functions.text import lower_trim
 from readalike.operators.ranking import top_k
 from readalike.operators.skew import join_per_key
+from readalike.sources.store import Store
 
 RATING_KEYS = ("user_id", "isbn")
 
@@ -85,14 +86,17 @@ def ratings_of_books(ratings: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def clean_ratings(ratings: DataFrame, lo: int = params.MIN_RATING, hi: int = params.MAX_RATING,
-                  min_per_user: int = params.MIN_RATINGS_PER_USER) -> DataFrame:
+                  min_per_user: int = params.MIN_RATINGS_PER_USER,
+                  store: Store | None = None) -> DataFrame:
     """Null keys, repeated ratings, explicit range, minimum per user.
 
+    The deduped ratings are stored, as the last step reads them more than once.
     Ratings below ``lo`` leave before the shuffle: the highest of a group is
     below ``lo`` only when all of the group is, so no result changes.
     """
     present = drop_nulls(ratings, ["user_id", "isbn", "rating"]).filter(F.col("rating") >= lo)
-    explicit = explicit_ratings(dedupe_ratings(present), lo, hi)
+    store = store or Store(ratings.sparkSession)
+    explicit = store.write(explicit_ratings(dedupe_ratings(present), lo, hi))
     return min_ratings_per_user(explicit, min_per_user)
 
 

@@ -56,6 +56,19 @@ def parse_metadata(responses: DataFrame) -> DataFrame:
                          parse_subjects(F.col("payload")).alias("subjects"))
 
 
+def parse_batches(plan: DataFrame, responses: DataFrame) -> DataFrame:
+    """(isbn, description, subjects) of every planned key.
+
+    ``responses`` has (batch_id, payload): the payload maps ``ISBN:x`` to an entry. A key that it
+    lacks is empty, and so are all keys of a batch whose response is missing or unreadable.
+    """
+    keys = plan.select("batch_id", F.explode(F.split("bibkeys", ",")).alias("key"))
+    entries = responses.select("batch_id", F.from_json("payload", "map<string,string>").alias("entries"))
+    answered = keys.join(entries, "batch_id", "left").select(
+        F.substring("key", 6, 1 << 20).alias("isbn"), F.col("entries")[F.col("key")].alias("payload"))
+    return parse_metadata(answered)
+
+
 def with_failed_defaults(keys: DataFrame, parsed: DataFrame) -> DataFrame:
     """Every key; those without a parsed answer are empty."""
     return keys.select("isbn").join(parsed, "isbn", "left").select(

@@ -282,17 +282,18 @@ def dropped_share(raw: DataFrame, clean: DataFrame) -> DataFrame:
         F.coalesce(share(dropped, F.col("raw_books")), F.lit(0.0)).alias("dropped_pct"))
 
 
-def genre_counts(items: DataFrame, enriched: DataFrame) -> DataFrame:
+def genre_counts(items: DataFrame, enriched: DataFrame,
+                 keywords=params.GENRE_KEYWORDS) -> DataFrame:
     """Items per genre; those without metadata are Other."""
     subjects = enriched.select("isbn", "subjects")
     return items.select("isbn").join(subjects, "isbn", "left").groupBy(
-        genre(F.col("subjects")).alias("genre")).agg(n_rows().alias("n"))
+        genre(F.col("subjects"), keywords).alias("genre")).agg(n_rows().alias("n"))
 
 
 def sample_items(df: DataFrame, n: int = params.SAMPLE_ITEMS,
                  seed: int = params.SAMPLE_SEED) -> DataFrame:
     """Up to ``n`` rows without replacement; the same rows for any partitioning."""
-    return df.orderBy(F.xxhash64("isbn", F.lit(seed)), "isbn").limit(n)
+    return df.orderBy(F.md5(F.concat("isbn", F.lit(str(seed)))), "isbn").limit(n)
 
 
 def strategy_table(recs: DataFrame, seeds: DataFrame, strategies: DataFrame,

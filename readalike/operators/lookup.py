@@ -78,11 +78,11 @@ def resolve_seeds(requests: DataFrame, stats: DataFrame) -> DataFrame:
     by_title = requests.filter(is_blank(F.col("request_isbn")))
     books = stats.select(*BOOK_COLUMNS)
     first = by_isbn.join(books, F.col("request_isbn") == F.col("isbn"), "left").withColumn(
-        "error", F.when(F.col("isbn").isNull(), "Seed ISBN not found"))
+        "error", F.when(F.col("isbn").isNull(), "no book has this isbn"))
     best = search_books(by_title.select(F.col("request_title").alias("query")), stats, 1)
     second = by_title.join(
         best.drop("rank"), F.col("request_title") == F.col("query"), "left"
-    ).drop("query").withColumn("error", F.when(F.col("isbn").isNull(), "Seed title not found"))
+    ).drop("query").withColumn("error", F.when(F.col("isbn").isNull(), "no title matches"))
     return first.unionByName(second)
 
 

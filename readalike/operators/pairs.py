@@ -10,8 +10,9 @@ the table. So users are split by their rating count:
   both of its items have two or more heavy raters. The first kind is completed
   by lookups, only the second kind is paired, in cells of bounded size.
 
-The sums are exact for every pair with two or more common raters, and for every
-pair of light users. ``_single_heavy_pairs`` adds what a ranking can still need.
+``co_rated_pairs`` is complete. Rankings and thresholds of two or more common raters use
+``_counting_pairs``: exact for every pair with two or more common raters, and for every
+pair of light users; ``_single_heavy_pairs`` adds what a ranking can still need.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readalike import params
-from readalike.operators.ids import to_ids, to_isbns
+from readalike.operators.ids import covering_index, to_ids, to_isbns
 from readalike.operators.ranking import at_most, spread, top_k
 from readalike.sources.store import Store
 
@@ -128,25 +129,25 @@ def _heavy_contributions(split: RaterSplit, light_pairs: DataFrame) -> DataFrame
     return both_shared.unionByName(first_single).unionByName(second_single)
 
 
-def co_rated_pairs(split: RaterSplit, exhaustive: bool = False) -> DataFrame:
-    """One row per (pair isbn_a < isbn_b, common rater) with both values.
-
-    Complete for pairs with two or more common raters and for all pairs of
-    light users. ``exhaustive`` adds every pair of the heavy users as well.
-    """
+def co_rated_pairs(split: RaterSplit) -> DataFrame:
+    """One row per (pair isbn_a < isbn_b, common rater) with both values: all pairs of all users."""
     light = _plain_pairs(split.light)
     if not split.has_heavy:
         return light
-    if exhaustive:
-        return light.unionByName(_cell_pairs(split.heavy, split.limit))
-    return light.unionByName(_heavy_contributions(split, light))
+    return light.unionByName(_cell_pairs(split.heavy, split.limit))
+
+
+def _counting_pairs(split: RaterSplit) -> DataFrame:
+    """``co_rated_pairs`` without the pairs that a single heavy user alone has rated."""
+    light = _plain_pairs(split.light)
+    return light.unionByName(_heavy_contributions(split, light)) if split.has_heavy else light
 
 
 def pair_sums(split: RaterSplit, exhaustive: bool = False) -> DataFrame:
     """Sums per unordered pair; the optimizer prunes those nobody reads."""
     a, b = F.col("value_a"), F.col("value_b")
     return (
-        co_rated_pairs(split, exhaustive)
+        (co_rated_pairs(split) if exhaustive else _counting_pairs(split))
         .groupBy("isbn_a", "isbn_b")
         .agg(
             F.count(F.lit(1)).alias("common_raters"),
@@ -219,7 +220,7 @@ def ranked_co_ratings(seeds: DataFrame, ratings: DataFrame, by: str, k: int,
     ``by``: ``count`` (co-raters), ``count_mean`` (co-raters, then mean rating)
     or ``sum`` (sum of the co-raters' ratings); isbn ends every order. Up to
     ``few`` seeds are looked up one by one, more of them by the pair table,
-    whose items are numbered by ``index`` when it is given.
+    whose items are numbered by ``index`` when it is given; neither changes a result.
     Returns seed_isbn, isbn, co_raters, rating_sum, mean_rating, rank.
     """
     ratings = ratings.select("user_id", "isbn", F.col("rating").alias("value"))
@@ -227,6 +228,7 @@ def ranked_co_ratings(seeds: DataFrame, ratings: DataFrame, by: str, k: int,
     if at_most(seeds, few):
         index, directed = None, _co_ratings_of(seeds, ratings)
     else:
+        index = covering_index(index, ratings)
         seeds = to_ids(seeds, index, "seed_isbn")
         split = RaterSplit(to_ids(ratings, index, "isbn"), limit, ratings)
         directed = _directed_co_ratings(pair_sums(split))

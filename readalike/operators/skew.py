@@ -2,9 +2,10 @@
 
 When the one-row side is an aggregate it arrives without a shuffle of its own,
 and AQE does not split a join it cannot re-read on both sides. So the hot keys
-are taken apart here: a key with more than 1 / HOT_SHARE of the rows is hot, there
-are fewer than HOT_SHARE such keys however large the table is, and their few rows
-are broadcast. The other keys are joined as usual and none of them is large.
+are taken apart here: a key with more rows than 1 / n of the table is hot, where n is the number
+of shuffle partitions, at least HOT_SHARE. There are fewer than n such keys, and their few rows
+are broadcast. The other keys are joined as usual; none has more rows than a partition's
+even share.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from readalike import params
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = params.HOT_SHARE) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], share: int | None = None) -> DataFrame:
     """Keys that hold more than 1 / ``share`` of the rows: fewer than ``share`` of them."""
+    if share is None:
+        share = max(params.HOT_SHARE, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = df.agg(F.count(F.lit(1))).scalar()
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     return counts.filter(F.col("_rows") * share > total).select(*keys)

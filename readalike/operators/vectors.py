@@ -34,18 +34,18 @@ def embedding_text(enriched: DataFrame) -> DataFrame:
 
 def encode(df: DataFrame, col: str = "text",
            encoder: Callable[[pd.Series], np.ndarray] | None = None,
-           dim: int = params.EMBEDDING_DIM) -> DataFrame:
+           dim: int | None = None) -> DataFrame:
     """(isbn, embedding): unit vectors of ``dim`` floats.
 
-    ``encoder`` turns a batch of texts into a (rows, dim) array and runs in
-    Arrow batches inside the tasks. Without one: hashed term counts weighted by
+    ``encoder`` turns a batch of texts into a (rows, dim) array, which is checked, and runs in
+    Arrow batches inside the tasks; without ``dim`` any width will do. Without an encoder: hashed term counts weighted by
     inverse document frequency.
     """
     if encoder is None:
         texts = df.select("isbn", F.coalesce(F.col(col), F.lit("")).alias("_text"))
         stages = [
             RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+"),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim),
+            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim or params.EMBEDDING_DIM),
             IDF(inputCol="_counts", outputCol="_vector"),
         ]
         weighted = Pipeline(stages=stages).fit(texts).transform(texts)
@@ -54,7 +54,10 @@ def encode(df: DataFrame, col: str = "text",
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                yield pd.Series(list(np.asarray(encoder(texts), dtype=np.float32)))
+                rows = np.asarray(encoder(texts), dtype=np.float32)
+                if rows.ndim != 2 or len(rows) != len(texts) or rows.shape[1] != (dim or rows.shape[1]):
+                    raise ValueError(f"the encoder gave {rows.shape} for {len(texts)} texts of {dim} values")
+                yield pd.Series(list(rows))
 
         vectors = df.select("isbn", run(F.coalesce(F.col(col), F.lit(""))).alias("embedding"))
     unit = l2_normalize(vectors, "embedding")
@@ -75,8 +78,8 @@ def l2_normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
 
 
 def dim_report(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
-    """One row: vectors, and how many are not ``dim`` long."""
-    wrong = F.coalesce(F.size(col), F.lit(-1)) != dim
+    """One row: vectors, and how many are not ``dim`` long or lack a value."""
+    wrong = F.coalesce((F.size(col) != dim) | F.exists(col, lambda x: x.isNull()), F.lit(True))
     return df.agg(F.count(F.lit(1)).alias("n_vectors"), F.count_if(wrong).alias("n_wrong_dim"))
 
 
@@ -89,7 +92,7 @@ def check_dim(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
     return df
 
 
-def _block_top_k(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _block_top_k(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Best ``k`` items of one item block for each seed of one seed block.
 
     The returned function refers to nothing of this package, so the executors
@@ -99,7 +102,9 @@ def _block_top_k(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def matrix(table: pa.Table, col: str) -> np.ndarray:
         values = table.column(col).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return values.reshape(table.num_rows, -1)
+        if len(values) != table.num_rows * dim:
+            raise ValueError(f"a vector does not have {dim} values")
+        return values.astype(np.float64).reshape(table.num_rows, dim)
 
     def run(seeds: pa.Table, items: pa.Table) -> pa.Table:
         if not seeds.num_rows or not items.num_rows:
@@ -131,17 +136,23 @@ def _block_top_k(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 def knn(items: DataFrame, seeds: DataFrame, k: int,
-        block_rows: int = params.VECTOR_BLOCK_ROWS) -> DataFrame:
+        block_bytes: int = params.VECTOR_BLOCK_BYTES) -> DataFrame:
     """Exact ``k`` nearest items of each seed by inner product, itself included.
 
     ``items``: (isbn, embedding); ``seeds``: (seed_isbn), those with a vector
-    answer. Both sides are hashed into blocks of about ``block_rows`` rows and
+    answer. Items without a vector are left out; vectors of unequal length are an error, counted
+    before any work. Both sides are hashed into blocks of about ``block_bytes`` and
     every seed block meets every item block once, as one matrix product that
-    returns only its best ``k`` per seed. Sides of S and N rows move
-    2 * S * N / block_rows vectors; no pair is ever a row before the cut.
-    Returns seed_isbn, isbn, score (9 decimals), rank.
+    returns only its best ``k`` per seed. With B rows to a block, sides of S and N rows move
+    2 * S * N / B vectors, in the precision in which they are stored; no pair is ever a row
+    before the cut. Returns seed_isbn, isbn, score (9 decimals), rank.
     """
-    vectors = items.select("isbn", F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = items.select("isbn", "embedding").filter(F.col("embedding").isNotNull())
+    first = vectors.select(F.size("embedding")).first()
+    dim = first[0] if first else 1
+    check_dim(vectors, dim)
+    width = 4 if dict(vectors.dtypes)["embedding"] == "array<float>" else 8
+    block_rows = max(1, block_bytes // (width * max(1, dim)))
     wanted = seeds.select("seed_isbn").distinct()
     seed_vectors = vectors.select(
         F.col("isbn").alias("seed_isbn"), F.col("embedding").alias("seed_embedding")
@@ -167,5 +178,5 @@ def knn(items: DataFrame, seeds: DataFrame, k: int,
         every_block(seed_blocks).alias("seed_block"))
     cell = ["seed_block", "item_block"]
     best = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
-        _block_top_k(k), "seed_isbn string, isbn string, score double")
+        _block_top_k(k, dim), "seed_isbn string, isbn string, score double")
     return top_k(best, ["seed_isbn"], [F.desc("score"), F.asc("isbn")], k)

@@ -84,9 +84,9 @@ STRATEGIES = (
 )
 
 # Physical limits. They change plans, never results.
-HOT_SHARE = 1_000             # a key with more than 1 / this of the rows is joined by broadcast
+HOT_SHARE = 1_000             # a key with more than 1 / this of the rows is joined by broadcast (or 1 / partitions)
 LIGHT_USER_RATINGS = 10_000   # a user above this is paired by the heavy-user route
 RARE_TAG_BOOKS = 1_000        # a tag above this is compared per tag signature
-VECTOR_BLOCK_ROWS = 8_192     # vectors per block of the blocked inner product
+VECTOR_BLOCK_BYTES = 8 << 20   # bytes of vectors per block of the blocked inner product
 FEW_SEEDS = 500               # up to this many seeds are broadcast and looked up
 SCAN_QUERIES = 64             # up to this many search texts are broadcast

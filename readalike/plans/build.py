@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from readalike.operators import clean, features
+from readalike import params
+from readalike.operators import clean, enrich, features, strategies, vectors
 from readalike.sources.raw import load_processed, read_raw, save
 from readalike.sources.store import Store
 
@@ -54,8 +57,50 @@ def build_features(spark: SparkSession, in_folder: str, out_folder: str) -> dict
     index = put("item_index", features.item_index(Store(spark), books))
     pairs = put("item_pairs", features.item_similarity(ratings, index=index))
     put("item_similarity", features.symmetric_similarity(pairs, books)
-        .repartitionByRange("isbn").sortWithinPartitions("isbn", "similarity"))
+        .repartitionByRange("isbn", "similarity").sortWithinPartitions("isbn", "similarity"))
     stats = put("book_stats", features.book_stats(books, ratings))
     put("age_group_dominant", features.age_group_dominant(ratings, users))
     put("age_group_top_books", features.age_group_top_books(ratings, users, stats))
     return counts
+
+
+def metadata_tables(books: DataFrame, cache: DataFrame, fetch: Callable[[DataFrame], DataFrame],
+                    store: Store, batch: int = params.FETCH_BATCH_KEYS) -> dict[str, DataFrame]:
+    """Metadata of all books: what ``cache`` (isbn, description, subjects) lacks is planned in
+    batches, ``fetch`` turns the plan into responses (batch_id, payload), and what they
+    hold, or an empty entry, joins the cache."""
+    missing = enrich.missing_keys(books, cache)
+    plan = store.write(enrich.fetch_plan(features.item_index(store, missing), batch))
+    parsed = enrich.with_failed_defaults(missing, enrich.parse_batches(plan, fetch(plan)))
+    metadata = store.write(enrich.upsert_cache(cache, parsed))
+    enriched = enrich.enrich_books(books, metadata)
+    return {"metadata": metadata, "enriched": enriched}
+
+
+def build_metadata(spark: SparkSession, in_folder: str, cache: DataFrame,
+                   fetch: Callable[[DataFrame], DataFrame], out_folder: str) -> dict[str, float]:
+    """Processed books to the metadata cache and the enriched table; returns row counts and the
+    percentage of books with a real description."""
+    books = load_processed(spark, in_folder)[0]
+    tables = metadata_tables(books, cache, fetch, Store(spark))
+    counts: dict[str, float] = {
+        name: save(df, f"{out_folder}/{name}.parquet") for name, df in tables.items()}
+    coverage = enrich.description_coverage(spark.read.parquet(f"{out_folder}/enriched.parquet"))
+    return counts | {"coverage_pct": coverage.first()["coverage_pct"]}
+
+
+def build_vectors(spark: SparkSession, folder: str, dim: int = params.EMBEDDING_DIM,
+                  encoder: Callable | None = None) -> dict[str, int]:
+    """Enriched table to unit vectors, checked before they are kept, and the catalogue that
+    recommendations get their columns from."""
+    enriched, stats = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("enriched", "book_stats"))
+    encoded = Store(spark).write(vectors.encode(vectors.embedding_text(enriched), encoder=encoder, dim=dim))
+    return {"book_embeddings": save(vectors.check_dim(encoded, dim), f"{folder}/book_embeddings.parquet"),
+            "catalogue": save(strategies.catalogue(stats, enriched), f"{folder}/catalogue.parquet")}
+
+
+def artefacts(spark: SparkSession, folder: str) -> strategies.Artefacts:
+    """What ``strategies.recommend`` needs, from a folder that the builds have filled."""
+    names = ("item_similarity", "book_embeddings", "book_stats", "age_group_dominant",
+             "age_group_top_books", "catalogue")
+    return strategies.Artefacts(*[spark.read.parquet(f"{folder}/{name}.parquet") for name in names])

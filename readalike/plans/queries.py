@@ -11,7 +11,8 @@ from readalike import params
 from readalike.functions import scores
 from readalike.functions.titles import is_edition
 from readalike.operators import (
-    baselines, clean, enrich, explore, features, lookup, strategies, vectors)
+    baselines, clean, enrich, explore, features, lookup, pairs, strategies, vectors)
+from readalike.plans import build
 from readalike.plans.workspace import Workspace, workspace
 
 Query = Callable[[Workspace], DataFrame]
@@ -92,6 +93,12 @@ def _(w: Workspace) -> DataFrame:
     return clean.books_with_ratings(w.raw("raw_books"), w.all_ratings)
 
 
+@query("books_with_top_ratings")
+def _(w: Workspace) -> DataFrame:
+    return clean.books_with_ratings(
+        w.raw("raw_books"), clean.explicit_ratings(w.raw("raw_ratings"), params.MAX_RATING))
+
+
 @query("min_ratings_per_book")
 def _(w: Workspace) -> DataFrame:
     return clean.min_ratings_per_book(w.raw("raw_books"), w.all_ratings)
@@ -149,6 +156,18 @@ def _(w: Workspace) -> DataFrame:
     return features.item_similarity(w.ratings, index=w.index)
 
 
+@query("item_similarity_heavy")
+def _(w: Workspace) -> DataFrame:
+    """The same table by the heavy-user route, which most users exceed at this limit."""
+    return features.item_similarity(w.ratings, index=w.index, light_limit=30)
+
+
+@query("co_rated_pairs")
+def _(w: Workspace) -> DataFrame:
+    rated = w.ratings.select("user_id", "isbn", F.col("rating").alias("value"))
+    return pairs.co_rated_pairs(pairs.RaterSplit(rated, 30))
+
+
 @query("rating_count_quantile")
 def _(w: Workspace) -> DataFrame:
     return features.credibility_m(features.book_rating_stats(w.ratings))
@@ -196,6 +215,49 @@ def _(w: Workspace) -> DataFrame:
     return _joined_subjects(enrich.parse_metadata(w.payloads()))
 
 
+@query("parse_metadata_odd")
+def _(w: Workspace) -> DataFrame:
+    """Unreadable, empty and partial payloads among whole ones, by the last digit of the isbn."""
+    last = F.substring("isbn", -1, 1)
+    odd = (F.when(last == "0", "no json").when(last == "2", "{}").when(last == "4", F.lit(None))
+           .when(last == "6", '{"description": {"type": "/type/text"}, "subjects": [{"name": "A"}, {"key": 1}]}')
+           .when(last == "8", '{"subjects": 5, "description": "plain"}').otherwise(F.col("payload")))
+    return _joined_subjects(enrich.parse_metadata(w.payloads().withColumn("payload", odd)))
+
+
+BATCH_KEYS = 10
+
+
+def _responses(w: Workspace, plan: DataFrame) -> DataFrame:
+    """What a server would answer: isbns that end in 7 are unknown to it, one batch of five has
+    no answer, one an answer that is cut off."""
+    meta = w.raw("raw_metadata").filter(~F.col("isbn").endswith("7"))
+    names = F.transform(F.split("subjects", ", "), lambda s: F.struct(s.alias("name")))
+    entries = meta.select("isbn", F.concat(F.lit('"ISBN:'), "isbn", F.lit('": '), F.to_json(
+        F.struct("description", names.alias("subjects")))).alias("entry"))
+    keys = plan.select("batch_id", F.explode(F.split("bibkeys", ",")).alias("key"))
+    asked = keys.select("batch_id", F.substring("key", 6, 1000).alias("isbn"))
+    known = asked.join(entries, "isbn").groupBy("batch_id").agg(
+        F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ", "), F.lit("}")).alias("payload"))
+    failed = F.pmod("batch_id", F.lit(5))
+    return known.filter(failed != 3).withColumn("payload", F.when(failed == 4, F.expr(
+        "substr(payload, 1, length(payload) - 3)")).otherwise(F.col("payload")))
+
+
+@query("parse_batches")
+def _(w: Workspace) -> DataFrame:
+    missing = enrich.missing_keys(w.books, w.cache())
+    plan = w.store.write(enrich.fetch_plan(features.item_index(w.store, missing), BATCH_KEYS))
+    return _joined_subjects(enrich.parse_batches(plan, _responses(w, plan)))
+
+
+@query("build_metadata")
+def _(w: Workspace) -> DataFrame:
+    tables = build.metadata_tables(
+        w.books, w.cache(), lambda plan: _responses(w, plan), w.store, BATCH_KEYS)
+    return tables["enriched"]
+
+
 @query("failed_defaults")
 def _(w: Workspace) -> DataFrame:
     return _joined_subjects(enrich.with_failed_defaults(w.books, w.cache()))
@@ -241,6 +303,11 @@ def _(w: Workspace) -> DataFrame:
     return vectors.dim_report(w.raw("book_embeddings"), 64)
 
 
+@query("embedding_dim_report_wrong")
+def _(w: Workspace) -> DataFrame:
+    return vectors.dim_report(w.raw("book_embeddings"), params.EMBEDDING_DIM)
+
+
 @query("knn_inner_product")
 def _(w: Workspace) -> DataFrame:
     items = w.raw("book_embeddings")
@@ -376,6 +443,19 @@ def _(w: Workspace) -> DataFrame:
     return _round(baselines.co_rated_top(w.seeds, w.ratings, index=w.index), "mean_rating")
 
 
+@query("co_rated_top_few")
+def _(w: Workspace) -> DataFrame:
+    """The same lists by the lookup route."""
+    return _round(baselines.co_rated_top(w.seeds, w.ratings, few=1_000_000_000), "mean_rating")
+
+
+@query("co_rated_top_heavy")
+def _(w: Workspace) -> DataFrame:
+    """The same lists by the heavy-user route."""
+    return _round(baselines.co_rated_top(
+        w.seeds, w.ratings, index=w.index, few=0, limit=30), "mean_rating")
+
+
 @query("co_rated_gems")
 def _(w: Workspace) -> DataFrame:
     return baselines.co_rated_gems(w.seeds, w.ratings, w.stats, index=w.index)
@@ -522,9 +602,18 @@ def _(w: Workspace) -> DataFrame:
     return explore.genre_counts(w.raw("book_embeddings"), w.enriched)
 
 
+# Words of the test data's part names; the fixed keywords name none of them.
+GOODS = (("Jewellery", ("ring",)), ("Fasteners", ("bolt", "screw")), ("Machines", ("widget", "gizmo", "gear")))
+
+
+@query("genre_counts_goods")
+def _(w: Workspace) -> DataFrame:
+    return explore.genre_counts(w.raw("book_embeddings"), w.enriched, GOODS)
+
+
 @query("sample_items")
 def _(w: Workspace) -> DataFrame:
-    return explore.sample_items(w.books.select("isbn", "title"))
+    return explore.sample_items(w.books.select("isbn", "title"), 500)
 
 
 @query("strategy_table")

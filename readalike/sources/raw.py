@@ -66,9 +66,8 @@ def save(df: DataFrame, path: str) -> int:
 
 
 def repair_header(name: str) -> str:
-    """Drop non-ASCII characters, surrounding whitespace and quotes."""
-    ascii_only = re.sub(r"[^\x00-\x7f]", "", name)
-    return ascii_only.strip().strip('"').strip()
+    """The printable ASCII part of a header, without surrounding quotes and spaces."""
+    return re.sub(r"[^\x00-\x7f]|^[\s\"\x80-\uffff]+|[\s\"\x80-\uffff]+$", "", name)
 
 
 def repair_headers(df: DataFrame) -> DataFrame:

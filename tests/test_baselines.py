@@ -71,3 +71,15 @@ def test_list_overlap(spark):
     right = spark.createDataFrame([("s", "b"), ("s", "c"), ("u", "a")], "seed_isbn string, isbn string")
     assert rows(baselines.list_overlap(left, right)) == [
         ("s", 1, 1, 1), ("t", 0, 1, 0), ("u", 0, 0, 1)]
+
+
+@pytest.mark.parametrize("limits", [{"few": 500}, {"few": 0}, {"few": 0, "limit": 2}])
+def test_a_partial_index_changes_no_list(spark, store, limits):
+    ratings = spark.createDataFrame(
+        [(1, "a", 5), (1, "b", 6), (1, "x", 7), (2, "a", 3), (2, "x", 9), (3, "x", 2)],
+        "user_id int, isbn string, rating int")
+    seeds = spark.createDataFrame([("a",), ("x",)], "seed_isbn string")
+    partial = item_index(store, ratings.filter("isbn <> 'x'").select("isbn"))
+    got = baselines.co_rated_top(seeds, ratings, index=partial, **limits).select(
+        "seed_isbn", "rank", "isbn", "co_raters")
+    assert rows(got) == [("a", 1, "x", 2), ("a", 2, "b", 1), ("x", 1, "a", 2), ("x", 2, "b", 1)]

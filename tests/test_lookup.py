@@ -37,9 +37,9 @@ def test_get_books_and_resolution(spark, stats):
     got = [(r.request_isbn, r.request_title, r.isbn, r.error)
            for r in lookup.resolve_seeds(requests, stats).collect()]
     assert sorted(got, key=str) == sorted([
-        ("1", "ring", "1", None), ("9", "ring", None, "Seed ISBN not found"),
+        ("1", "ring", "1", None), ("9", "ring", None, "no book has this isbn"),
         (None, "ring", "3", None), ("", "fire", "2", None),
-        (None, "nope", None, "Seed title not found"), (None, None, None, "Seed title not found"),
+        (None, "nope", None, "no title matches"), (None, None, None, "no title matches"),
     ], key=str)
 
 

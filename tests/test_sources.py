@@ -43,6 +43,31 @@ def test_build_end_to_end(spark, tmp_path):
         assert spark.read.parquet(f"{tmp_path}/features/{name}.parquet").count() == n
 
 
+def test_from_csv_to_recommendations(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from readalike.operators import strategies
+    from readalike.sources.store import Store
+    write_raw(tmp_path)
+    processed, out = f"{tmp_path}/processed", f"{tmp_path}/features"
+    build.ingest(spark, str(tmp_path), processed)
+    build.build_features(spark, processed, out)
+    cache = spark.createDataFrame([("000", "cached words", ["S"])], "isbn string, description string, subjects array<string>")
+
+    def fetch(plan):
+        return plan.select("batch_id", F.lit(
+            '{"ISBN:001": {"description": {"value": "fetched words"}, "subjects": [{"name": "T"}]}}').alias("payload"))
+
+    counts = build.build_metadata(spark, processed, cache, fetch, out)
+    assert (counts["metadata"], counts["enriched"]) == (6, 6)
+    enriched = {r.isbn: r for r in spark.read.parquet(f"{out}/enriched.parquet").collect()}
+    assert [enriched[i].description for i in ("000", "001")] == ["cached words", "fetched words"]
+    assert enriched["002"].subjects == "" and enriched["002"].description
+    assert build.build_vectors(spark, out, dim=16) == {"book_embeddings": 6, "catalogue": 6}
+    seeds = spark.createDataFrame([("000",)], "seed_isbn string")
+    found = strategies.recommend_all(seeds, build.artefacts(spark, out), Store(spark)).collect()
+    assert {"age_group", "same_author"} <= {r.strategy for r in found}
+
+
 def test_save_overwrites_and_counts(spark, tmp_path):
     assert raw.save(spark.range(10), f"{tmp_path}/t") == 10
     assert raw.save(spark.range(3), f"{tmp_path}/t") == 3
@@ -62,5 +87,13 @@ def test_header_repair_and_coercion(spark):
 
 def test_store_uses_the_configured_folder(spark, store):
     from readalike.sources.store import shared_folder
+    from readalike.sources.store import Store
     assert store.root.startswith(shared_folder(spark))
     assert rows(store.write(spark.range(2))) == [(0,), (1,)]
+    before = spark.sparkContext.getCheckpointDir()
+    own = Store(spark)
+    table = own.write(spark.range(3))
+    own.drop()
+    assert spark.sparkContext.getCheckpointDir() == before
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(table.inputFiles()[0])

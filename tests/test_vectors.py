@@ -32,13 +32,13 @@ def test_dimension_check(spark):
     assert vectors.check_dim(df.filter("isbn = 'a'"), 2).count() == 1
 
 
-@pytest.mark.parametrize("block_rows", [7, 40, 1000])
-def test_knn_is_exact_for_any_block_size(spark, block_rows):
+@pytest.mark.parametrize("block_bytes", [1, 2000, 1 << 20])
+def test_knn_is_exact_for_any_block_size(spark, block_bytes):
     data = items(90, 5)
     df = spark.createDataFrame(data, VECTORS)
     seeds = spark.createDataFrame([(i,) for i, _ in data[:50]] + [("absent",)], "seed_isbn string")
     got = {}
-    for r in vectors.knn(df, seeds, 6, block_rows).collect():
+    for r in vectors.knn(df, seeds, 6, block_bytes).collect():
         got.setdefault(r.seed_isbn, []).append((r["rank"], r.isbn, r.score))
     assert set(got) == {i for i, _ in data[:50]}
     arrays = {i: np.array(v, dtype=np.float32).astype(float) for i, v in data}
@@ -83,3 +83,22 @@ def test_dot_products_keep_partition_independence(spark):
     one = sorted(map(tuple, vectors.knn(df.coalesce(1), seeds, 4).collect()))
     many = sorted(map(tuple, vectors.knn(df.repartition(9), seeds, 4, 11).collect()))
     assert one == many
+
+
+def test_knn_refuses_ragged_vectors_and_leaves_out_nulls(spark):
+    seeds = spark.createDataFrame([("a",), ("b",)], "seed_isbn string")
+    ragged = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0]), ("c", [1.0, 2.0, 3.0])], VECTORS)
+    with pytest.raises(ValueError, match="of 3 vectors"):
+        vectors.knn(ragged, seeds, 2)
+    with pytest.raises(ValueError, match="1 of 2"):
+        vectors.knn(spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, None])], VECTORS), seeds, 2)
+    some = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("c", [0.5, 1.0])], VECTORS)
+    assert [(r.seed_isbn, r.isbn) for r in vectors.knn(some, seeds, 2).orderBy("rank").collect()] == [
+        ("a", "a"), ("a", "c")]
+    assert vectors.knn(some.limit(0), seeds, 2).count() == 0
+
+
+def test_encoder_of_another_width_is_refused(spark):
+    df = spark.createDataFrame([("a", "x")], "isbn string, text string")
+    with pytest.raises(Exception, match="of 4 values"):
+        vectors.encode(df, encoder=lambda texts: np.ones((len(texts), 3)), dim=4).collect()
