@@ -65,9 +65,13 @@ def save(df: DataFrame, path: str) -> int:
     return rows.get["n"]
 
 
+_FOREIGN = re.compile(r"[^\x00-\x7f]")
+_EDGES = re.compile(r'^\s*"*\s*|\s*"*\s*$')
+
+
 def repair_header(name: str) -> str:
-    """The printable ASCII part of a header, without surrounding quotes and spaces."""
-    return re.sub(r"[^\x00-\x7f]|^[\s\"\x80-\uffff]+|[\s\"\x80-\uffff]+$", "", name)
+    """A header's ASCII characters without the spaces and quotes around them."""
+    return _EDGES.sub("", _FOREIGN.sub("", name))
 
 
 def repair_headers(df: DataFrame) -> DataFrame:
