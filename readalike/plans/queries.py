@@ -14,6 +14,7 @@ from readalike.operators import (
     baselines, clean, enrich, explore, features, lookup, pairs, strategies, vectors)
 from readalike.plans import build
 from readalike.plans.workspace import Workspace, workspace
+from readalike.sources import raw
 
 Query = Callable[[Workspace], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +41,57 @@ def _round(df: DataFrame, *cols: str) -> DataFrame:
 
 # sources and sinks
 
+def _csv(w: Workspace, kind: str) -> DataFrame:
+    """A raw table written as CSV with raw headers and read back."""
+    view, path = w.raw(f"raw_{kind}"), w.store.folder(f"csv-{kind}")
+    raw.write_raw(view, path, kind)
+    return raw.read_raw(w.spark, path, kind).select(*view.columns)
+
+
+@query("csv_books")
+def _(w: Workspace) -> DataFrame:
+    return _csv(w, "books")
+
+
+@query("csv_ratings")
+def _(w: Workspace) -> DataFrame:
+    return _csv(w, "ratings")
+
+
+@query("csv_users")
+def _(w: Workspace) -> DataFrame:
+    return _csv(w, "users")
+
+
+@query("csv_damaged_headers")
+def _(w: Workspace) -> DataFrame:
+    """Users under headers with foreign bytes, quotes and spaces; ages that are no numbers go."""
+    path = w.store.folder("csv-damaged")
+    raw.write_raw(w.raw("raw_users"), path, "users", '\xef\xbb\xbf "{}" ')
+    return raw.read_repaired(w.spark, path, ("user", "AGE")).toDF("user_id", "location", "age")
+
+
+@query("processed_tables")
+def _(w: Workspace) -> DataFrame:
+    """Rows that the sink counts while it writes, and rows that are read back."""
+    folder = w.store.folder("processed")
+    saved = {name: raw.save(getattr(w, name), f"{folder}/{name}.parquet") for name in ("books", "ratings", "users")}
+    loaded = dict(zip(saved, raw.load_processed(w.spark, folder), strict=True))
+    return _stack({name: df.agg(F.count(F.lit(1)).alias("loaded")).withColumn("saved", F.lit(saved[name]).cast("long"))
+                   for name, df in loaded.items()})
+
+
+@query("built_features")
+def _(w: Workspace) -> DataFrame:
+    """Rows of every feature table after a build from stored tables."""
+    folder, out = w.store.folder("processed"), w.store.folder("features")
+    for name in ("books", "ratings", "users"):
+        raw.save(getattr(w, name), f"{folder}/{name}.parquet")
+    built = build.build_features(w.spark, folder, out)
+    return _stack({name: w.spark.read.parquet(f"{out}/{name}.parquet").agg(F.count(F.lit(1)).alias("n"))
+                   for name in built})
+
+
 @query("stage_counts")
 def _(w: Workspace) -> DataFrame:
     raw = {t: w.raw(f"raw_{t}") for t in ("books", "ratings", "users")}

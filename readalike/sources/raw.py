@@ -92,3 +92,20 @@ def coerce_numeric(df: DataFrame, col: str) -> DataFrame:
     finite = ~F.isnan(number)
     return df.withColumn(col, F.when(finite, number)).dropna(subset=[f"`{col}`"]).withColumn(
         col, F.col(f"`{col}`").try_cast("int"))
+
+
+def read_repaired(spark: SparkSession, path: str, numeric: tuple[str, ...] = ()) -> DataFrame:
+    """A CSV whose headers are damaged, all columns as text; columns whose name contains a part
+    of ``numeric`` become whole numbers, and rows where that fails are dropped."""
+    df = repair_headers(spark.read.options(**CSV_OPTIONS).csv(path))
+    for part in numeric:
+        df = coerce_numeric(df, find_column(df, part))
+    return df
+
+
+def write_raw(df: DataFrame, path: str, kind: str, damage: str = "{}") -> None:
+    """CSV with raw headers, each put into ``damage``; columns that ``df`` lacks are empty."""
+    columns = [(F.col(name) if name in df.columns else F.lit(None)).cast("string").alias(damage.format(header))
+               for header, name, _ in RAW_COLUMNS[kind]]
+    options = CSV_OPTIONS | {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.select(*columns).write.mode("overwrite").options(**options).csv(path)
