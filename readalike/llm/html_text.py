@@ -5,7 +5,8 @@ only format a run of text (bold, links and the like) belong to no path. For each
 the blocks' text lengths (without link text) and punctuation marks are summed and
 divided by the number of blocks; every block gets its path's two ratios, both are smoothed along
 the page and fused to one. A path of which a block reaches a share of the page's highest value is
-content, and so is what stands between the blocks of such paths. A path through an element that says it isn't content (navigation, footer,
+content, and so is what stands between the blocks of such paths, or shares the part of the page (an
+article, or the parent element) that holds the best of them. A path through an element that says it isn't content (navigation, footer,
 form, an advert's or a comment's class and so on) has ratio 0, and one through ``article`` or ``main``
 counts for more than one beside it.
 
@@ -88,9 +89,11 @@ class Page:
     """Blocks of one page with the number of their path; paths know what they lead through."""
 
     def __init__(self, source: str):
-        self.paths: dict[tuple[int, str], int] = {}
+        self.paths: dict[tuple[int, str, bool], int] = {}
         self.other: list[bool] = [False]
         self.article: list[bool] = [False]
+        self.above: list[int] = [0]             # path of the parent; the root is its own
+        self.whole: list[bool] = [True]         # root, html and body hold the page, not one part of it
         self.blocks: list[tuple[int, str, int]] = []
         # Open elements: tag and the path up to and with it.
         self.open: list[tuple[str, int]] = [("", 0)]
@@ -140,15 +143,31 @@ class Page:
         above = self.open[-1][1]
         inside = self.article[above]
         names = [v for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for v in values if v]
-        key = above, " ".join([tag, *names])
+        other = self.other[above] or says_other(tag, attributes, inside)
+        key = above, " ".join([tag, *names]), other
         number = self.paths.setdefault(key, len(self.other))
         if number == len(self.other):
-            self.other.append(self.other[above] or says_other(tag, attributes, inside))
+            self.other.append(other)
             self.article.append(inside or tag in ("article", "main"))
-        elif not self.other[number] and says_other(tag, attributes, inside):
-            self.other[number] = True
+            self.above.append(above)
+            self.whole.append(tag in ("html", "body"))
         self.open.append((tag, number))
 
+    def container(self, path: int) -> int:
+        """The outermost article or main around a path, else its parent."""
+        part = self.above[path]
+        while self.article[self.above[part]]:
+            part = self.above[part]
+        return path if self.article[path] and not self.article[self.above[path]] else part
+
+    def below(self, part: int) -> np.ndarray:
+        """Which paths lead through ``part``; a path's number is larger than its parent's."""
+        held = np.zeros(len(self.above), bool)
+        held[part] = True
+        for number in range(part + 1, len(self.above)):
+            held[number] = held[self.above[number]]
+        return held
+
     def leave(self, tags: set[str], limits: set[str]) -> None:
         """Close open elements of ``tags`` and what they hold, up to an element of ``limits``."""
         for k in range(len(self.open) - 1, max(0, len(self.open) - 200), -1):
@@ -185,20 +204,23 @@ def main_text(source: str) -> str:
     path = np.array([b[0] for b in page.blocks])
     chars = np.array([b[2] for b in page.blocks], float)
     marks = np.array([len(_PUNCTUATION.findall(b[1])) for b in page.blocks], float)
-    n = np.bincount(path)
-    n[n == 0] = 1
+    n = np.maximum(1, np.bincount(path, minlength=len(page.other)))
     counts = np.where(np.array(page.other)[path], 0.0, np.where(np.array(page.article)[path], INSIDE_ARTICLE, 1.0))
-    text_ratio = (np.bincount(path, chars) / n)[path] * counts
-    mark_ratio = (np.bincount(path, marks) / n)[path] * counts
+    text_ratio = (np.bincount(path, chars, len(n)) / n)[path] * counts
+    mark_ratio = (np.bincount(path, marks, len(n)) / n)[path] * counts
     # Blocks that aren't content take no part, so that a value isn't smoothed across them.
     mine = np.flatnonzero(counts > 0)
     if not len(mine):
         return ""
     smooth_text, smooth_marks = smoothed(text_ratio[mine]), smoothed(mark_ratio[mine])
     fused = smooth_text * (1.0 + smooth_marks)
-    # A path is content if one of its blocks is; so is what stands between content blocks.
+    # A path is content if one of its blocks is; so is what stands between content blocks, and what
+    # shares the part of the page that holds the best path.
     content = np.zeros(len(n), bool)
     content[path[mine[fused >= SHARE * fused.max()]]] = True
+    part = page.container(int(path[mine[fused.argmax()]]))
+    if not page.whole[part]:
+        content |= page.below(part)
     inside = np.flatnonzero(content[path[mine]])
     chosen = mine[inside[0]:inside[-1] + 1]
     return "\n".join(page.blocks[k][1] for k in chosen)
