@@ -35,9 +35,9 @@ def word_count(text: Column) -> Column:
 
 
 def unit_hash(doc_id: Column, seed: int = SEED) -> Column:
-    """Number in [0, 1) from the id and the seed."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))), 11)
-    return bits / F.lit(float(1 << 53))
+    """Number in [0, 1) from the seed and the id: the first 52 bits of an MD5 digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed} "), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def source_targets(sizes: DataFrame, store: Store, weights: tuple[int, ...] = WEIGHTS,
