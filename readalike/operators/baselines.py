@@ -17,17 +17,17 @@ from readalike.sources.store import Store
 
 
 def co_rated_top(seeds: DataFrame, ratings: DataFrame, k: int = params.TOP_K,
-                 index: DataFrame | None = None, **limits: int) -> DataFrame:
+                 index: DataFrame | None = None, **options) -> DataFrame:
     """Books rated by the seed's raters, by co-raters, then mean rating."""
-    return ranked_co_ratings(seeds, ratings, "count_mean", k, index, **limits).select(
+    return ranked_co_ratings(seeds, ratings, "count_mean", k, index, **options).select(
         "seed_isbn", "rank", "isbn", "co_raters", "mean_rating")
 
 
 def co_rated_gems(seeds: DataFrame, ratings: DataFrame, stats: DataFrame, k: int = params.TOP_K,
                   pool: int = params.GEM_POOL, index: DataFrame | None = None,
-                  **limits: int) -> DataFrame:
+                  **options) -> DataFrame:
     """The most co-rated books, re-ranked by co-raters over log popularity."""
-    rows = ranked_co_ratings(seeds, ratings, "count", pool, index, **limits)
+    rows = ranked_co_ratings(seeds, ratings, "count", pool, index, **options)
     counted = rows.drop("rank").join(stats.select("isbn", "rating_count"), "isbn", "left")
     divisor = F.when(F.col("rating_count") > 0, F.log(1.0 + F.col("rating_count"))).otherwise(1.0)
     gems = counted.withColumn("score", scores.settle(F.col("co_raters") / divisor))

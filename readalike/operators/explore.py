@@ -153,17 +153,17 @@ def _fans(ratings: DataFrame, threshold: int) -> DataFrame:
 
 def fan_co_reads(seeds: DataFrame, ratings: DataFrame, threshold: int = params.FAN_RATING,
                  k: int = params.TOP_K, index: DataFrame | None = None,
-                 **limits: int) -> DataFrame:
+                 **options) -> DataFrame:
     """Other books that the seed's fans rated at least ``threshold``, by count."""
-    return ranked_co_ratings(seeds, _fans(ratings, threshold), "count", k, index, **limits).select(
+    return ranked_co_ratings(seeds, _fans(ratings, threshold), "count", k, index, **options).select(
         "seed_isbn", "rank", "isbn", "co_raters")
 
 
 def fan_co_reads_weighted(seeds: DataFrame, ratings: DataFrame, threshold: int = params.FAN_RATING,
                           k: int = params.TOP_K, index: DataFrame | None = None,
-                 **limits: int) -> DataFrame:
+                 **options) -> DataFrame:
     """The same books by the sum of their ratings."""
-    return ranked_co_ratings(seeds, _fans(ratings, threshold), "sum", k, index, **limits).select(
+    return ranked_co_ratings(seeds, _fans(ratings, threshold), "sum", k, index, **options).select(
         "seed_isbn", "rank", "isbn", "rating_sum")
 
 

@@ -17,6 +17,8 @@ pair of light users; ``_single_heavy_pairs`` adds what a ranking can still need.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +56,26 @@ class RaterSplit:
             self.light, self.heavy = ratings, None
 
 
+def _values(df: DataFrame) -> list[str]:
+    """What is carried along with a rating: ``value``, and ``adj`` where it is there."""
+    return [name for name in ("value", "adj") if name in df.columns]
+
+
 def _side(df: DataFrame, suffix: str) -> DataFrame:
-    return df.select("user_id", F.col("isbn").alias(f"isbn_{suffix}"),
-                     F.col("value").alias(f"value_{suffix}"))
+    return df.select("user_id", *[
+        F.col(name).alias(f"{name}_{suffix}") for name in ("isbn", *_values(df))])
+
+
+def _sides(df: DataFrame) -> list[str]:
+    return [f"{name}_{suffix}" for name in ("isbn", *_values(df)) for suffix in "ab"]
 
 
 def _plain_pairs(ratings: DataFrame) -> DataFrame:
-    ratings = spread(ratings.select("user_id", "isbn", "value"), "user_id")
+    ratings = spread(ratings.select("user_id", "isbn", *_values(ratings)), "user_id")
     return (
         _side(ratings, "a").join(_side(ratings, "b"), "user_id")
         .filter(F.col("isbn_a") < F.col("isbn_b"))
-        .select("isbn_a", "isbn_b", "value_a", "value_b")
+        .select(*_sides(ratings))
     )
 
 
@@ -82,22 +93,23 @@ def _cell_pairs(ratings: DataFrame, limit: int) -> DataFrame:
     left = placed.select(
         "user_id", F.col("chunk").alias("row"),
         F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("col"),
-        F.col("isbn").alias("isbn_l"), F.col("value").alias("value_l"))
+        *[F.col(name).alias(f"{name}_l") for name in ("isbn", *_values(ratings))])
     right = placed.select(
         "user_id", F.explode(F.sequence(F.lit(0), "chunk")).alias("row"),
         F.col("chunk").alias("col"),
-        F.col("isbn").alias("isbn_r"), F.col("value").alias("value_r"))
+        *[F.col(name).alias(f"{name}_r") for name in ("isbn", *_values(ratings))])
     in_order = F.col("isbn_l") < F.col("isbn_r")
 
-    def pick(name: str, when_ordered: str, otherwise: str) -> Column:
-        return F.when(in_order, F.col(when_ordered)).otherwise(F.col(otherwise)).alias(name)
+    def pick(name: str) -> list[Column]:
+        first, second = F.col(f"{name}_l"), F.col(f"{name}_r")
+        return [F.when(in_order, first).otherwise(second).alias(f"{name}_a"),
+                F.when(in_order, second).otherwise(first).alias(f"{name}_b")]
 
     return (
         left.join(right, ["user_id", "row", "col"])
         .filter((F.col("row") < F.col("col")) | in_order)
         .filter(F.col("isbn_l") != F.col("isbn_r"))
-        .select(pick("isbn_a", "isbn_l", "isbn_r"), pick("isbn_b", "isbn_r", "isbn_l"),
-                pick("value_a", "value_l", "value_r"), pick("value_b", "value_r", "value_l"))
+        .select(*[column for name in ("isbn", *_values(ratings)) for column in pick(name)])
     )
 
 
@@ -111,20 +123,20 @@ def _heavy_contributions(split: RaterSplit, light_pairs: DataFrame) -> DataFrame
 
     counts = rating_counts_per_user(shared)
     both_shared = _cell_pairs(
-        shared.select("user_id", "isbn", "value").join(counts, "user_id"), split.limit)
+        shared.select("user_id", "isbn", *_values(shared)).join(counts, "user_id"), split.limit)
 
     known = light_pairs.select("isbn_a", "isbn_b").distinct()
     # isbn_a has one heavy rater: did that one rate isbn_b too?
     first_single = (
         known.join(_side(single, "a"), "isbn_a")
         .join(_side(heavy, "b"), ["user_id", "isbn_b"])
-        .select("isbn_a", "isbn_b", "value_a", "value_b")
+        .select(*_sides(heavy))
     )
     # only isbn_b has one heavy rater
     second_single = (
         known.join(_side(single, "b"), "isbn_b")
         .join(_side(shared, "a"), ["user_id", "isbn_a"])
-        .select("isbn_a", "isbn_b", "value_a", "value_b")
+        .select(*_sides(heavy))
     )
     return both_shared.unionByName(first_single).unionByName(second_single)
 
@@ -144,18 +156,36 @@ def _counting_pairs(split: RaterSplit) -> DataFrame:
 
 
 def pair_sums(split: RaterSplit, exhaustive: bool = False) -> DataFrame:
-    """Sums per unordered pair; the optimizer prunes those nobody reads."""
-    a, b = F.col("value_a"), F.col("value_b")
-    return (
-        (co_rated_pairs(split) if exhaustive else _counting_pairs(split))
-        .groupBy("isbn_a", "isbn_b")
-        .agg(
-            F.count(F.lit(1)).alias("common_raters"),
-            F.sum(a).alias("sum_a"), F.sum(b).alias("sum_b"),
-            F.sum(a * b).alias("sum_ab"),
-            F.sum(a * a).alias("sum_aa"), F.sum(b * b).alias("sum_bb"),
-        )
-    )
+    """Sums per unordered pair: of the values and, where ratings carry a centred one, of its
+    products. The optimizer prunes what nobody reads."""
+    pairs = co_rated_pairs(split) if exhaustive else _counting_pairs(split)
+    sums = [F.count(F.lit(1)).alias("common_raters"),
+            F.sum("value_a").alias("sum_a"), F.sum("value_b").alias("sum_b")]
+    if "adj_a" in pairs.columns:
+        a, b = F.col("adj_a"), F.col("adj_b")
+        sums += [F.sum(a * b).alias("sum_ab"), F.sum(a * a).alias("sum_aa"), F.sum(b * b).alias("sum_bb")]
+    return pairs.groupBy("isbn_a", "isbn_b").agg(*sums)
+
+
+@dataclass
+class PairTable:
+    """Pair sums of one ratings table, stored: similarities and rankings start from them, so the
+    pairs are expanded once. ``heavy`` has the ratings of heavy users, if there are any."""
+    sums: DataFrame
+    heavy: DataFrame | None
+    index: DataFrame | None
+
+
+def pair_table(ratings: DataFrame, store: Store, index: DataFrame | None = None,
+               limit: int = params.LIGHT_USER_RATINGS) -> PairTable:
+    """``ratings`` has user_id, isbn, rating and, for similarities, rating_adj."""
+    index = covering_index(index, ratings)
+    carried = [F.col(source).alias(name) for source, name in (("rating", "value"), ("rating_adj", "adj"))
+               if source in ratings.columns]
+    valued = ratings.select("user_id", "isbn", *carried)
+    split = RaterSplit(to_ids(valued, index, "isbn"), limit, ratings)
+    heavy = split.heavy.select("user_id", "isbn", "value") if split.has_heavy else None
+    return PairTable(store.write(pair_sums(split)), heavy, index)
 
 
 def both_directions(pairs: DataFrame, forward: dict[str, str],
@@ -214,27 +244,29 @@ def _co_ratings_of(seeds: DataFrame, ratings: DataFrame) -> DataFrame:
 def ranked_co_ratings(seeds: DataFrame, ratings: DataFrame, by: str, k: int,
                       index: DataFrame | None = None,
                       limit: int = params.LIGHT_USER_RATINGS,
-                      few: int = params.FEW_SEEDS) -> DataFrame:
+                      few: int = params.FEW_SEEDS, table: PairTable | None = None) -> DataFrame:
     """Per seed the first ``k`` co-rated books.
 
     ``by``: ``count`` (co-raters), ``count_mean`` (co-raters, then mean rating)
     or ``sum`` (sum of the co-raters' ratings); isbn ends every order. Up to
     ``few`` seeds are looked up one by one, more of them by the pair table,
-    whose items are numbered by ``index`` when it is given; neither changes a result.
+    which is made here, its items numbered by ``index``, unless a stored ``table`` of the same
+    ratings is given. None of this changes a result.
     Returns seed_isbn, isbn, co_raters, rating_sum, mean_rating, rank.
     """
-    ratings = ratings.select("user_id", "isbn", F.col("rating").alias("value"))
     seeds = seeds.select("seed_isbn").distinct()
-    if at_most(seeds, few):
-        index, directed = None, _co_ratings_of(seeds, ratings)
+    if table is None and at_most(seeds, few):
+        valued = ratings.select("user_id", "isbn", F.col("rating").alias("value"))
+        index, directed = None, _co_ratings_of(seeds, valued)
     else:
-        index = covering_index(index, ratings)
+        narrow = ratings.select("user_id", "isbn", "rating")
+        table = table or pair_table(narrow, Store(ratings.sparkSession), index, limit)
+        index = table.index
         seeds = to_ids(seeds, index, "seed_isbn")
-        split = RaterSplit(to_ids(ratings, index, "isbn"), limit, ratings)
-        directed = _directed_co_ratings(pair_sums(split))
-        if split.has_heavy:
+        directed = _directed_co_ratings(table.sums)
+        if table.heavy is not None:
             order = [F.asc("isbn")] if by == "count" else [F.desc("value"), F.asc("isbn")]
-            directed = directed.unionByName(_single_heavy_pairs(split.heavy, directed, order, k))
+            directed = directed.unionByName(_single_heavy_pairs(table.heavy, directed, order, k))
         directed = directed.join(seeds, "seed_isbn", "left_semi")
     scored = directed.withColumn("mean_rating", F.col("rating_sum") / F.col("co_raters"))
     order = {

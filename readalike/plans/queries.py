@@ -492,7 +492,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("co_rated_top")
 def _(w: Workspace) -> DataFrame:
-    return _round(baselines.co_rated_top(w.seeds, w.ratings, index=w.index), "mean_rating")
+    return _round(baselines.co_rated_top(w.seeds, w.ratings, table=w.pair_table), "mean_rating")
 
 
 @query("co_rated_top_few")
@@ -510,7 +510,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("co_rated_gems")
 def _(w: Workspace) -> DataFrame:
-    return baselines.co_rated_gems(w.seeds, w.ratings, w.stats, index=w.index)
+    return baselines.co_rated_gems(w.seeds, w.ratings, w.stats, table=w.pair_table)
 
 
 @query("subject_jaccard")
@@ -533,7 +533,7 @@ def _(w: Workspace) -> DataFrame:
 def _(w: Workspace) -> DataFrame:
     return baselines.list_overlap(
         strategies.readers_also_list(w.seeds, w.similarity),
-        baselines.co_rated_top(w.seeds, w.ratings, index=w.index))
+        baselines.co_rated_top(w.seeds, w.ratings, table=w.pair_table))
 
 
 # exploration and reporting
@@ -614,12 +614,12 @@ def _explored_seeds(w: Workspace) -> DataFrame:
 
 @query("fan_co_reads")
 def _(w: Workspace) -> DataFrame:
-    return explore.fan_co_reads(_explored_seeds(w), w.explored[1], index=w.explored_index)
+    return explore.fan_co_reads(_explored_seeds(w), w.explored[1], table=w.fan_table)
 
 
 @query("fan_co_reads_weighted")
 def _(w: Workspace) -> DataFrame:
-    return explore.fan_co_reads_weighted(_explored_seeds(w), w.explored[1], index=w.explored_index)
+    return explore.fan_co_reads_weighted(_explored_seeds(w), w.explored[1], table=w.fan_table)
 
 
 @query("author_by_mean")

@@ -11,7 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readalike import params
 from readalike.operators import clean, enrich, explore, features, strategies, vectors
+from readalike.operators.pairs import PairTable, pair_table
 from readalike.sources.store import Store
 from readalike.sources.views import role_view
 
@@ -49,9 +51,15 @@ class Workspace:
     def index(self) -> DataFrame:
         return self.store.write(features.item_index(self.store, self.books), "item_index")
 
+    @cached_property
+    def pair_table(self) -> PairTable:
+        """Sums of all co-rated pairs, once for similarities and rankings."""
+        return pair_table(features.center_ratings(self.ratings), self.store, self.index)
+
     @cached_property
     def pairs(self) -> DataFrame:
-        return self.store.write(features.item_similarity(self.ratings, index=self.index), "item_pairs")
+        similar = features.item_similarity(self.ratings, table=self.pair_table)
+        return self.store.write(similar, "item_pairs")
 
     @cached_property
     def similarity(self) -> DataFrame:
@@ -117,6 +125,11 @@ class Workspace:
         return (self.store.write(books, "explored_books"),
                 self.store.write(ratings, "explored_ratings"))
 
+    @cached_property
+    def fan_table(self) -> PairTable:
+        fans = self.explored[1].filter(F.col("rating") >= params.FAN_RATING)
+        return pair_table(fans, self.store, self.explored_index)
+
     @cached_property
     def explored_index(self) -> DataFrame:
         return self.store.write(
