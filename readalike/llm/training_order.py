@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ STRIDE = HEAD.itemsize
 KEY = 20240229
 ROUNDS = 6
 RUNS = 4_000_000
-KEPT = 400_000     # chunks whose ids a worker remembers, then starts anew
+KEPT = 4_000_000   # chunks whose ids a worker remembers (30 bytes each), then starts anew
 
 _RUN = "file long, row long, n long"
 _PACKED = "shard long, records binary"
@@ -56,7 +57,10 @@ SEQUENCES = "slot long, shard long, doc_id long, seq int, n_tokens int, crc long
 
 
 class Encoder:
-    """Ids of whole texts, found once per distinct chunk (see ``token_counts``)."""
+    """Ids of whole texts, found once per distinct chunk (see ``token_counts``).
+
+    What a worker remembers are flat arrays: sorted hashes of chunks, and where their ids lie.
+    """
 
     def __init__(self, model_file: str):
         self.machine = tc.transducer(model_file)
@@ -65,42 +69,56 @@ class Encoder:
         if self.library.get_piece_size() > 1 << 16 or not self.machine.breaks[10]:
             raise ValueError("ids don't fit two bytes, or pieces continue across line ends")
         self.mark = self.library.piece_to_id(tc.MARK)
-        self.known: dict[int, np.ndarray] = {}
-
-    def chunk(self, text: str, opens: bool) -> np.ndarray:
-        """The library puts a mark before what it is given, so a chunk's own first space is left out."""
-        if opens:
-            ids = self.library.encode(text)
-        elif text == " ":
-            ids = [self.mark]
-        elif text[0] == " ":
-            ids = self.library.encode(text[1:])
-        else:
-            ids = self.library.encode("\n" + text)[2:]
-        return np.array(ids, np.uint16)
+        self.reset()
+
+    def reset(self) -> None:
+        self.key = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.pool = np.zeros(1 << 16, np.uint16)
+        self.used = 0
+
+    def learn(self, texts: list[str], opens: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes chunks into the pool. The library puts a mark before what it is given, so a
+        chunk's own first space is left out, and a line end and its mark are cut off again."""
+        kinds = [0 if o or t == " " else 1 if t[0] == " " else 2 for t, o in zip(texts, opens, strict=True)]
+        given = [t if k == 0 else t[1:] if k == 1 else "\n" + t for t, k in zip(texts, kinds, strict=True)]
+        found = [[self.mark] if t == " " and not o else ids[2:] if k == 2 else ids for t, o, k, ids in
+                 zip(texts, opens, kinds, self.library.encode(given, num_threads=1), strict=True)]
+        size = np.array([len(ids) for ids in found], np.int64)
+        total = int(size.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        begin = self.used + np.cumsum(size) - size
+        self.pool[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint16, total)
+        self.used += total
+        return begin, size
 
     def slice(self, part: ta.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice with their end tokens, and how many each text has."""
         chunks = tc.chunks_of(part, self.machine.breaks)
         distinct, example, which = np.unique(chunks.key, return_index=True, return_inverse=True)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        ids = []
-        for k, key in enumerate(distinct.tolist()):
-            value = self.known.get(key)
-            if value is None:
-                value = self.known[key] = self.chunk(chunks.raw(example[k]), bool(chunks.opens[example[k]]))
-            ids.append(value)
-        # The end token is one more "chunk" after the last of each text.
-        ids.append(np.array([self.end], np.uint16))
-        size = np.array([len(x) for x in ids])
-        begin = np.cumsum(size) - size
-        order = np.insert(which, np.cumsum(chunks.per_text), len(ids) - 1)
-        times = size[order]
-        place = np.repeat(begin[order], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        if len(self.key) > KEPT:
+            self.reset()
+        at = np.searchsorted(self.key, distinct)
+        new = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] != distinct) if len(self.key) else np.arange(len(distinct))
+        if len(new):
+            begin, size = self.learn([chunks.raw(k) for k in example[new]], chunks.opens[example[new]].tolist())
+            self.key, self.begin, self.size = (np.insert(have, at[new], values) for have, values in (
+                (self.key, distinct[new]), (self.begin, begin), (self.size, size)))
+            at = np.searchsorted(self.key, distinct)
+        # The end token is one more chunk after the last of each text; it lies at the pool's end.
+        if self.used == len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used] = self.end
+        ends = np.cumsum(chunks.per_text)
+        begin = np.insert(self.begin[at[which]], ends, self.used)
+        times = np.insert(self.size[at[which]], ends, 1)
+        place = np.repeat(begin - (np.cumsum(times) - times), times)
+        place += np.arange(len(place))
         last = np.cumsum(chunks.per_text + 1)
         upto = np.concatenate(([0], np.cumsum(times)))
-        return np.concatenate(ids)[place], upto[last] - upto[last - chunks.per_text - 1]
+        return self.pool[place], upto[last] - upto[last - chunks.per_text - 1]
 
 
 @lru_cache(maxsize=2)
