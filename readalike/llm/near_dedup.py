@@ -16,8 +16,9 @@ of fewer words has the one shingle of all its words. The steps:
    other centres, until a round finds no link.
 
 Every aggregate combines before its shuffle, and joins read stored tables on both sides,
-which adaptive execution splits where a key is hot. Nothing but the frequency
-table goes through the driver.
+which adaptive execution splits where a key is hot. What goes through the driver has a
+fixed size: the frequency table and a bitmap of the ids whose texts are compared, so that
+these texts are found again without shuffling all texts.
 
 Defined cases: null or wordless texts are never duplicates; a null id is left
 out of the result and kept by ``drop_near_duplicates``; rows that share an id are one
@@ -46,6 +47,7 @@ BANDS, ROWS = 12, 4
 DF_BUCKETS = 1 << 18
 SLICE = 1 << 18
 LEVELS = 1 << 16
+FILTER_BITS = 1 << 23
 
 _COUNTED = "bucket int, df long"
 _SIGNED = "doc_id long, digest binary, bands array<long>"
@@ -175,11 +177,27 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return narrow.filter("doc_id IS NOT NULL").mapInArrow(sign, _SIGNED)
 
 
-def vectors(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Per document its shingles in order and their weights, as packed numbers."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bitmap of fixed size with the hash of every id in ``doc_id`` set; other ids may be hit by
+    chance, the more the more ids there are, which costs work and changes no result."""
+    bit = F.pmod("doc_id", F.lit(FILTER_BITS))
+    words = ids.groupBy(F.shiftright(bit, 5).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, int(pmod(doc_id, {FILTER_BITS}) & 31))")).alias("bits")).toPandas()
+    bitmap = np.zeros(FILTER_BITS >> 5, np.uint32)
+    bitmap[words["word"]] = words["bits"].astype(np.uint32)
+    return bitmap
+
+
+def vectors(docs: DataFrame, idf: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """Per document that the filter lets pass its shingles in order and their weights, as packed
+    numbers."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bit = batch.column("doc_id").to_numpy() % FILTER_BITS
+            batch = batch.filter(pa.array((wanted[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
+            if not batch.num_rows:
+                continue
             for part in ta.slices(lower(batch.column("text")), SLICE):
                 owner, code, times = shingles(part)
                 if not len(owner):
@@ -232,8 +250,8 @@ def candidates(members: DataFrame, store: Store, turn: int) -> DataFrame:
         F.col("x"), F.struct("y.member", "y.part"))).alias("c"))
     centres = centres.select("bucket", F.col("c.member").alias("centre"), F.col("c.part").alias("centre_part"))
     met = members.join(centres, "bucket").filter(F.col("part") != F.col("centre_part"))
-    return met.select(F.least("member", "centre").alias("a"),
-                      F.greatest("member", "centre").alias("b")).distinct()
+    return store.write(met.select(F.least("member", "centre").alias("a"),
+                                  F.greatest("member", "centre").alias("b")).distinct())
 
 
 def components(edges: DataFrame, store: Store) -> DataFrame:
@@ -269,8 +287,7 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     buckets = store.write(banded.join(crowded, "bucket", "left_semi"))
     wanted = store.write(buckets.select(F.col("member").alias("doc_id")).distinct())
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed = store.write(vectors(read.join(wanted, "doc_id", "left_semi"), idf)).dropDuplicates(["doc_id"])
-    packed = store.write(packed)
+    packed = store.write(vectors(read.filter("doc_id IS NOT NULL"), idf, id_filter(wanted)))
 
     members = buckets.withColumn("part", F.col("member"))
     edges = store.write(links(candidates(members, store, 0), packed))
