@@ -16,7 +16,8 @@ the block's sorted seeds, so only texts that share a seed are tiled.
 
 Defined cases: null or empty texts and items match nothing; an item shorter than a
 seed is matched as a whole; of items that cover alike the smallest id is
-named; rows are judged each for itself, also those with null or repeated ids.
+named; rows are judged each for itself, also those with null or repeated ids (only the report
+of a benchmark of several blocks joins the rows of one id: it has the best item of all of them).
 """
 
 from __future__ import annotations
