@@ -1,15 +1,17 @@
 """Near duplicates by consistent weighted sampling.
 
 A text's features are its shingles of five lower-cased words, weighted by TF-IDF; a text
-of fewer words has the one shingle of all its words. The steps:
+of fewer words has the one shingle of all its words. The inverse frequency lies between 1 and 2:
+without that bound the shingles that a large group of near copies shares would count for little
+against the few in which its members differ, and the group would fall apart. The steps:
 
 1. Document frequencies over all documents, in ``DF_BUCKETS`` hash buckets: a
    table of fixed size, which is what a task needs to weigh a text.
 2. Improved consistent weighted sampling: ``BANDS * ROWS`` samples per text, whose
    chance to agree is the weighted Jaccard similarity. ``ROWS`` samples make a band key.
 3. Equal texts become one class before anything is joined. Classes that share a
-   band key form a bucket; in a bucket each class meets the smallest class and
-   the one of smallest hash, so a bucket of n classes has at most 2n candidates.
+   band key form a bucket; in a bucket each class meets two centres, the class that shares
+   most buckets with others and one by hash, so a bucket of n classes has at most 2n candidates.
 4. A candidate is a link if the exact weighted Jaccard similarity of the two texts
    is ``SIMILARITY`` or more. Linked classes are joined to components. Buckets that
    hold several components are searched again, component against component with
@@ -85,7 +87,8 @@ def bucket_of(code: np.ndarray) -> np.ndarray:
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each bucket over all documents."""
+    """Inverse document frequency of each bucket over all documents: 1 for a shingle of every
+    document, up to 2 for one that no other shares."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(DF_BUCKETS, np.int64)
@@ -104,7 +107,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     rows = rows[rows["bucket"] >= 0]
     df = np.ones(DF_BUCKETS)
     df[rows["bucket"]] = rows["df"]
-    return np.log1p(n / df)
+    return 1.0 + np.log(np.maximum(1.0, n / df)) / np.log(DF_BUCKETS)
 
 
 def gamma_levels() -> np.ndarray:
@@ -240,18 +243,19 @@ def links(candidates: DataFrame, packed: DataFrame) -> DataFrame:
     return candidates.join(left, "a").join(right, "b").mapInArrow(score, _SCORED)
 
 
-def candidates(members: DataFrame, store: Store, turn: int) -> DataFrame:
-    """Pairs (a, b), a < b, of bucket members (bucket, member, part) with the two centres of
-    the bucket. Members of the same part need no comparison."""
+def candidates(members: DataFrame, store: Store, turn: int, compared: DataFrame | None) -> DataFrame:
+    """Pairs (a, b), a < b, of bucket members (bucket, member, part, mates) with the two centres of
+    the bucket: the member with most bucket mates, which an original has that its copies were made
+    from, and one by hash. Members of the same part need no comparison, nor do pairs in ``compared``."""
     centres = store.write(members.groupBy("bucket").agg(
-        F.min(F.struct("member", "part")).alias("x"),
+        F.max_by(F.struct("member", "part"), F.struct("mates", -F.col("member"))).alias("x"),
         F.min(F.struct(F.xxhash64(F.lit(turn), "member").alias("h"), "member", "part")).alias("y")))
     centres = centres.select("bucket", F.explode(F.array(
         F.col("x"), F.struct("y.member", "y.part"))).alias("c"))
     centres = centres.select("bucket", F.col("c.member").alias("centre"), F.col("c.part").alias("centre_part"))
     met = members.join(centres, "bucket").filter(F.col("part") != F.col("centre_part"))
-    return store.write(met.select(F.least("member", "centre").alias("a"),
-                                  F.greatest("member", "centre").alias("b")).distinct())
+    pairs = met.select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b")).distinct()
+    return store.write(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
 
 
 def components(edges: DataFrame, store: Store) -> DataFrame:
@@ -284,29 +288,35 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     banded = texts.select("member", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("member").alias("low"), F.max("member").alias("high"))
     crowded = store.write(crowded.filter("low < high").select("bucket"))
-    buckets = store.write(banded.join(crowded, "bucket", "left_semi"))
+    crowd = store.write(banded.join(crowded, "bucket", "left_semi"))
+    sizes = store.write(crowd.groupBy("bucket").agg((F.count(F.lit(1)) - 1).alias("others")))
+    mates = store.write(crowd.join(sizes, "bucket").groupBy("member").agg(F.sum("others").alias("mates")))
+    buckets = store.write(crowd.join(mates, "member"))
     wanted = store.write(buckets.select(F.col("member").alias("doc_id")).distinct())
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     packed = store.write(vectors(read.filter("doc_id IS NOT NULL"), idf, id_filter(wanted)))
 
     members = buckets.withColumn("part", F.col("member"))
-    edges = store.write(links(candidates(members, store, 0), packed))
+    compared = candidates(members, store, 0, None)
+    edges = store.write(links(compared, packed))
     joined = components(edges, store)
     turn = 0
     while True:
         turn += 1
         parted = buckets.join(joined, F.col("member") == F.col("id"), "left").select(
-            "bucket", "member", F.coalesce("label", "member").alias("part"))
+            "bucket", "member", F.coalesce("label", "member").alias("part"), "mates")
         mixed_buckets = parted.groupBy("bucket").agg(
             F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
         rest = parted.join(store.write(mixed_buckets), "bucket", "left_semi")
         rest = store.write(rest.groupBy("bucket", "part").agg(
-            F.min(F.struct(F.xxhash64(F.lit(turn), "member").alias("h"), "member")).alias("m")).select(
-            "bucket", F.col("m.member").alias("member"), "part"))
-        found = store.write(links(candidates(rest, store, turn), packed))
+            F.max(F.struct("mates", F.xxhash64(F.lit(turn), "member").alias("h"), "member")).alias("m")).select(
+            "bucket", F.col("m.member").alias("member"), "part", F.col("m.mates").alias("mates")))
+        pairs = candidates(rest, store, turn, compared)
+        ids = store.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        found = store.write(links(pairs, packed.join(ids, "doc_id", "left_semi")))
         if found.isEmpty():
             break
-        edges = edges.unionByName(found)
+        compared, edges = compared.unionByName(pairs), edges.unionByName(found)
         joined = components(edges, store)
 
     same = texts.filter("n > 1").select("digest", "member")
