@@ -303,12 +303,14 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     turn = 0
     while True:
         turn += 1
-        parted = buckets.join(joined, F.col("member") == F.col("id"), "left").select(
-            "bucket", "member", F.coalesce("label", "member").alias("part"), "mates")
+        parted = store.write(buckets.join(joined, F.col("member") == F.col("id"), "left").select(
+            "bucket", "member", F.coalesce("label", "member").alias("part"), "mates"))
         mixed_buckets = parted.groupBy("bucket").agg(
             F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
-        rest = parted.join(store.write(mixed_buckets), "bucket", "left_semi")
-        rest = store.write(rest.groupBy("bucket", "part").agg(
+        # A bucket of one component stays one, so only the others are looked at from now on.
+        parted = store.write(parted.join(store.write(mixed_buckets), "bucket", "left_semi"))
+        buckets = parted.drop("part")
+        rest = store.write(parted.groupBy("bucket", "part").agg(
             F.max(F.struct("mates", F.xxhash64(F.lit(turn), "member").alias("h"), "member")).alias("m")).select(
             "bucket", F.col("m.member").alias("member"), "part", F.col("m.mates").alias("mates")))
         pairs = candidates(rest, store, turn, compared)
