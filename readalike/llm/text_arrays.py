@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -98,6 +99,21 @@ def spans(part: Slice, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+_powers = np.ones((2, 1), np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers of the hash's base and of its inverse, up to the n-th at least."""
+    global _powers
+    if _powers.shape[1] <= n:
+        _powers = np.empty((2, max(n + 1, 2 * SLICE_BYTES)), np.uint64)
+        _powers[0], _powers[1] = _BASE, _BASE_INVERSE
+        _powers[:, 0] = 1
+        with np.errstate(over="ignore"):
+            np.cumprod(_powers, axis=1, out=_powers)
+    return _powers
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Polynomial hash of each byte range, from running sums over stretches of bounded length."""
     out = np.empty(len(starts), np.uint64)
@@ -107,20 +123,26 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
             low = starts[at]
             to = max(at + 1, int(np.searchsorted(stops, low + SLICE_BYTES, "right")))
             n = int(stops[to - 1] - low)
-            up = np.full(n + 1, _BASE, np.uint64)
-            up[0] = 1
-            np.cumprod(up, out=up)
+            up, down = powers(n)
             run = np.zeros(n + 1, np.uint64)
             np.cumsum(BYTE_CODES[data[low:low + n]] * up[:n], out=run[1:])
-            down = np.full(n + 1, _BASE_INVERSE, np.uint64)
-            down[0] = 1
-            np.cumprod(down, out=down)
             a, b = starts[at:to] - low, stops[at:to] - low
             out[at:to] = mixed((run[b] - run[a]) * down[a] + (b - a).astype(np.uint64) * _STEP)
             at = to
     return out
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and for every key the number of its like."""
+    which, found = pd.factorize(keys)
+    example = np.empty(len(found), np.int64)
+    example[which] = np.arange(len(which))
+    order = np.argsort(found)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return found[order], example[order], rank[which]
+
+
 def words(part: Slice, apart: np.ndarray = WHITE) -> Words:
     starts, stops = spans(part, apart)
     text = np.searchsorted(part.ends, starts, "right")

@@ -189,7 +189,7 @@ def counts(texts: pa.Array, machine: Transducer) -> np.ndarray:
     out = []
     for part in ta.slices(plain(texts)):
         chunks = chunks_of(part, machine.breaks)
-        distinct, example, which = np.unique(chunks.key, return_index=True, return_inverse=True)
+        distinct, example, which = ta.distinct(chunks.key)
         machine.trim()
         known, tokens = machine.chunks, np.empty(len(distinct), np.int64)
         for k, key in enumerate(distinct.tolist()):

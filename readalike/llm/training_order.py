@@ -97,7 +97,7 @@ class Encoder:
     def slice(self, part: ta.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice with their end tokens, and how many each text has."""
         chunks = tc.chunks_of(part, self.machine.breaks)
-        distinct, example, which = np.unique(chunks.key, return_index=True, return_inverse=True)
+        distinct, example, which = ta.distinct(chunks.key)
         if len(self.key) > KEPT:
             self.reset()
         at = np.searchsorted(self.key, distinct)
@@ -280,8 +280,10 @@ def write_shards(docs: DataFrame, store: Store, model_file: str, key: int = KEY)
             yield finish()
 
     packed = packed_records(rows, model_file, numbers, key)
+    # A shard is a range of slots; its number is its partition, so no sampling pass has to find ranges.
     parts = max(1, -(-total // RECORDS))
-    return store.write(packed.repartitionByRange(parts, "shard").sortWithinPartitions("shard").mapInArrow(write, MANIFEST))
+    dealt = packed.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("shard")
+    return store.write(dealt.mapInArrow(write, MANIFEST))
 
 
 def read_shards(manifest: DataFrame, first_slot: int = 0, step: int = 4096) -> DataFrame:
