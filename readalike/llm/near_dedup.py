@@ -16,6 +16,11 @@ against the few in which its members differ, and the group would fall apart. The
    is ``SIMILARITY`` or more. Linked classes are joined to components. Buckets that
    hold several components are searched again, component against component with
    other centres, until a round finds no link.
+5. What buckets then still hold several components is finished exactly: shingles have one order,
+   rarest first, and of each member only those count behind which enough weight is left for
+   ``SIMILARITY``. Two texts as similar as that share one of these, and the weights left on both
+   sides there bound what they share; all pairs of different components within that bound are
+   verified. So every pair that shares a band key is linked or in one component or known to be less similar.
 
 Every aggregate combines before its shuffle, and joins read stored tables on both sides,
 which adaptive execution splits where a key is hot. What goes through the driver has a
@@ -55,6 +60,9 @@ _COUNTED = "bucket int, df long"
 _SIGNED = "doc_id long, digest binary, bands array<long>"
 _VECTOR = "doc_id long, shingles binary, weights binary"
 _SCORED = "a long, b long, similarity double"
+_PREFIX = "member long, shingle long, spare double, total double, light boolean"
+# What two texts share is at least this part of the sum of their weights; a little less, for rounding.
+SHARED = (SIMILARITY - 1e-5) / (1.0 + SIMILARITY)
 
 
 def shingles(part: ta.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,6 +266,61 @@ def candidates(members: DataFrame, store: Store, turn: int, compared: DataFrame
     return store.write(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
 
 
+def prefixes(packed: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Per member the shingles that can be the first one shared with a text of ``SIMILARITY``, in an order that
+    all texts have. ``spare`` is the weight from there on less this text's part of what both must share, so
+    it must reach the other's part; ``light`` says whether the other may be as heavy as this one."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for member, shingle, weight in zip(*(batch.column(c) for c in ("doc_id", "shingles", "weights")), strict=True):
+                code = np.frombuffer(shingle.as_buffer(), np.uint64)
+                weight = np.frombuffer(weight.as_buffer(), np.float32).astype(np.float64)
+                order = np.lexsort((code, -idf[bucket_of(code)]))
+                left = np.cumsum(weight[order][::-1])[::-1]
+                total = left[0]
+                # The lightest text that is as similar weighs SIMILARITY of this one.
+                n = int((left >= (SIMILARITY - 1e-5) * total).sum())
+                spare = left[:n] - SHARED * total
+                yield pa.RecordBatch.from_pydict({
+                    "member": np.full(n, member.as_py()), "shingle": code[order[:n]].view(np.int64), "spare": spare,
+                    "total": np.full(n, total), "light": pa.array(spare >= SHARED * total)})
+
+    return packed.mapInArrow(first, _PREFIX)
+
+
+def remaining_pairs(parted: DataFrame, packed: DataFrame, idf: np.ndarray, store: Store) -> DataFrame:
+    """All pairs (a, b), a < b, of members (member, part) of different parts that can be as similar as
+    ``SIMILARITY``. Parts meet first, so that a large one is not compared with itself."""
+    members = store.write(parted.select("member", "part").distinct())
+    chosen = store.write(packed.join(members.select(F.col("member").alias("doc_id")), "doc_id", "left_semi"))
+    rows = store.write(prefixes(chosen, idf))
+    rows = store.write(rows.join(members, "member"))
+    several = rows.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("light").alias("any"))
+    several = store.write(several.filter("low < high AND any").select("shingle"))
+    rows = store.write(rows.join(several, "shingle", "left_semi"))
+
+    def side(table: DataFrame, name: str) -> DataFrame:
+        return table.select("shingle", *(F.col(c).alias(f"{name}_{c}") for c in table.columns if c != "shingle"))
+
+    def meet(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+        return x.join(y, on).filter(
+            (F.col("x_part") != F.col("y_part")) & (F.col("x_total") <= F.col("y_most"))
+            & (F.col("x_spare") >= SHARED * F.col("y_total")) & (F.col("y_spare") >= SHARED * F.col("x_total")))
+
+    # Of each part at a shingle the most that a member may spare, the least and the largest weight.
+    def outline(table: DataFrame) -> DataFrame:
+        return store.write(table.groupBy("shingle", "part").agg(
+            F.max("spare").alias("spare"), F.min("total").alias("total"), F.max("total").alias("most")))
+
+    met = meet(side(outline(rows.filter("light")), "x"), side(outline(rows), "y"), ["shingle"])
+    met = store.write(met.select("shingle", "x_part", "y_part"))
+    lights = store.write(met.join(side(rows.filter("light"), "x"), ["shingle", "x_part"]))
+    pairs = meet(lights, side(rows.withColumn("most", F.col("total")), "y"), ["shingle", "y_part"])
+    return store.write(pairs.select(F.least("x_member", "y_member").alias("a"),
+                                    F.greatest("x_member", "y_member").alias("b")).distinct())
+
+
 def components(edges: DataFrame, store: Store) -> DataFrame:
     """Smallest reachable id of every id in (a, b): neighbours' minimum, then the label's own
     label, until nothing changes."""
@@ -316,10 +379,16 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
         pairs = candidates(rest, store, turn, compared)
         ids = store.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         found = store.write(links(pairs, packed.join(ids, "doc_id", "left_semi")))
+        compared = compared.unionByName(pairs)
         if found.isEmpty():
             break
-        compared, edges = compared.unionByName(pairs), edges.unionByName(found)
+        edges = edges.unionByName(found)
         joined = components(edges, store)
+    pairs = store.write(remaining_pairs(parted, packed, idf, store).join(compared, ["a", "b"], "left_anti"))
+    ids = store.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    found = store.write(links(pairs, packed.join(ids, "doc_id", "left_semi")))
+    if not found.isEmpty():
+        joined = components(edges.unionByName(found), store)
 
     same = texts.filter("n > 1").select("digest", "member")
     first = signed.select("doc_id", "digest").join(store.write(same), "digest", "left").select(

@@ -94,6 +94,25 @@ def test_large_group_of_near_copies_among_other_texts(spark, store):
     assert all(found[1000 + k] == 1000 + k for k in range(300))
 
 
+def test_pairs_within_crowded_buckets(spark, store):
+    """Variants of one text without the original: most are less like each other than links ask for, but
+    two and two belong together, whichever members of their crowded buckets are centres."""
+    rng = random.Random(11)
+    base = [f"tok{rng.randint(0, 99999)}" for _ in range(200)]
+    texts = {}
+    for k in range(120):
+        near = list(base)
+        for place in rng.sample(range(8, 192), 2):
+            near[place] = f"pair{k}at{place}"
+        for twin in (2 * k, 2 * k + 1):
+            own = list(near)
+            own[rng.randrange(5, 195)] = f"own{twin}"
+            texts[twin] = " ".join(own)
+    expected = brute_classes(texts)
+    assert len(set(expected.values())) > 20
+    assert classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), store) == expected
+
+
 def test_odd_rows(odd_docs, no_docs, store):
     found = classes(odd_docs, store)
     assert found == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8}
