@@ -14,7 +14,9 @@ Blocks are whole: character references are decoded, white space within a block b
 one space, and the chosen blocks are joined by line ends in page order.
 
 Defined cases: a null or empty page has an empty text, as has a page without content; an
-unclosed element ends with the page or where HTML closes it; a ``<`` that begins no tag is
+unclosed element ends with the page or where HTML closes it, an unclosed embedded one (video, svg and the
+like, whose content is no page text) with the element around it; a head ends where something
+begins that cannot stand in it; a ``<`` that begins no tag is
 text; repeated rows and null ids are kept, each row for itself.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +40,18 @@ INSIDE_ARTICLE = 8.0
 
 TEXTS = "page_id long, url string, text string, n_chars long"
 
-_RAW = "script|style|noscript|template|textarea|select|iframe|object|svg|math|canvas|audio|video|head|title"
+# Text up to the end tag, or else the page's end, belongs to these and isn't page text.
+RAW = frozenset("script style textarea title iframe".split())
+# These hold no page text but other elements, and end with the element around them at the latest.
+EMBEDDED = frozenset("noscript template select object svg math canvas audio video".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{_RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>{'|'.join(sorted(RAW | EMBEDDED))})(?=[\s/>])(?P<rawattr>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*)(?P<attr>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/<>]*)(?P<attr2>[^<>]*)>", re.DOTALL | re.IGNORECASE)
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"']*/\Z")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
@@ -57,6 +65,11 @@ CLOSES_P = frozenset(("address article aside blockquote center details dialog di
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+# Elements that end an open svg or math, and those within which they don't.
+BREAKS_OUT = frozenset(("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta "
+                        "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var").split())
+HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 OTHER_TAGS = frozenset("nav footer aside form button fieldset menu dialog".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 OTHER_NAMES = frozenset((
@@ -85,6 +98,11 @@ def says_other(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def closes_itself(attributes: str) -> bool:
+    """Whether a start tag ends in a slash that belongs to no attribute's value."""
+    return attributes.endswith("/") and not _OPEN_VALUE.search(attributes)
+
+
 class Page:
     """Blocks of one page with the number of their path; paths know what they lead through."""
 
@@ -99,24 +117,71 @@ class Page:
         self.open: list[tuple[str, int]] = [("", 0)]
         self.pieces: list[str] = []
         self.link_chars = self.links = at = 0
-        for token in _TOKEN.finditer(source):
+        self.hidden = 0                          # place of the open head or embedded element around all that follows
+        self.runs: Counter[str] = Counter()      # open inline elements
+        while token := _TOKEN.search(source, at):
             self.text(source[at:token.start()])
             at = token.end()
-            if token["tag"] or token["tag2"]:
-                tag = (token["tag"] or token["tag2"]).lower()
+            if tag := (token["raw"] or token["tag"] or token["tag2"] or "").lower():
+                attributes = token["rawattr"] or token["attr"] or token["attr2"] or ""
                 if token["end"] or token["end2"]:
                     self.close(tag)
+                elif tag in RAW:
+                    self.appear(tag)
+                    if not (self.foreign() and closes_itself(attributes)):
+                        end = _RAW_END[tag].search(source, at)
+                        at = end.end() if end else len(source)
                 else:
-                    self.begin(tag, token["attr"] or token["attr2"] or "")
+                    self.begin(tag, attributes)
         self.text(source[at:])
+        self.show()
         self.finish()
 
     def text(self, piece: str) -> None:
-        if piece:
+        if self.hidden and self.open[-1][0] == "head" and piece.strip():
+            self.show()
+        if piece and not self.hidden:
             self.pieces.append(piece)
             if self.links:
                 self.link_chars += len(piece)
 
+    def show(self) -> None:
+        """Leave the head or embedded element; the block before it goes on."""
+        if self.hidden:
+            del self.open[self.hidden:]
+            self.hidden = 0
+
+    def foreign(self) -> bool:
+        """Whether svg or math is open, and no HTML within it."""
+        for tag, _ in reversed(self.open[self.hidden:] if self.hidden else ()):
+            if tag in HOLDS_HTML:
+                return False
+            if tag in ("svg", "math"):
+                return True
+        return False
+
+    def appear(self, tag: str) -> None:
+        """Leave what cannot hold an element of this tag."""
+        if not self.hidden:
+            return
+        outer = self.open[self.hidden][0]
+        if outer == "head" and not any(t == "template" for t, _ in self.open[self.hidden:]) and tag not in IN_HEAD:
+            self.show()
+        elif outer == "select" and tag in ("select", "input", "textarea"):
+            self.show()
+        elif tag in BREAKS_OUT and outer in ("svg", "math") and self.foreign():
+            self.show()
+
+    def conceal(self, tag: str, attributes: str) -> None:
+        """Open an element in a head or embedded element, or one of these: nothing in it is page text."""
+        if tag in VOID or (closes_itself(attributes) and (tag in ("svg", "math") or self.foreign())):
+            return
+        if self.hidden:
+            self.open.append((tag, self.open[-1][1]))
+        elif tag != "head" or all(t in ("", "html") for t, _ in self.open):
+            self.hidden = len(self.open)
+            self.open.append((tag, self.open[-1][1]))
+
     def finish(self) -> None:
         """The text so far is a block of the innermost open element."""
         if self.pieces:
@@ -127,6 +192,15 @@ class Page:
         self.link_chars = 0
 
     def begin(self, tag: str, attributes: str) -> None:
+        self.appear(tag)
+        if self.hidden and tag in CLOSES_P and self.open[self.hidden][0] in ("audio", "canvas", "video", "noscript"):
+            self.leave({"p"}, {"button", "td", "th", "table", "object"})
+        if self.hidden and tag in CLOSES and self.open[self.hidden][0] not in ("object", "template", "svg", "math"):
+            self.leave(CLOSES[tag], HOLDS.get(tag, {"table"}))
+        if self.hidden or tag in EMBEDDED or tag == "head":
+            self.conceal(tag, attributes)
+            return
+        self.runs[tag] += tag in INLINE and tag not in VOID
         if tag in INLINE and not says_other(tag, attributes, True):
             self.links += tag == "a"
             if tag in ("br", "wbr", "img"):
@@ -172,6 +246,9 @@ class Page:
         """Close open elements of ``tags`` and what they hold, up to an element of ``limits``."""
         for k in range(len(self.open) - 1, max(0, len(self.open) - 200), -1):
             if self.open[k][0] in tags:
+                if k < self.hidden:
+                    self.show()
+                    self.finish()
                 del self.open[k:]
                 return self.leave(tags, limits)
             if self.open[k][0] in limits or self.open[k][0] in CLOSES_P - {"p"}:
@@ -179,6 +256,18 @@ class Page:
         return None
 
     def close(self, tag: str) -> None:
+        if self.hidden:
+            k = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k][0] == tag), 0)
+            if k > self.hidden:
+                del self.open[k:]
+                return
+            if k == self.hidden:
+                self.show()
+                return
+            if not k and not self.runs[tag]:
+                return
+            self.show()
+        self.runs[tag] = max(0, self.runs[tag] - 1)
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
             for k in range(len(self.open) - 1, 0, -1):     # an inline element that opened a path

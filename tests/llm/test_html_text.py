@@ -34,6 +34,21 @@ def test_defined_cases(source, text):
     assert html_text.main_text(source) == text
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<html><head><title>T</title><meta charset=utf-8><body><p>a, b.</p>", "a, b."),
+    ("<head><style>x</style><p>a, b.</p>", "a, b."), ("<head><title>T</title>a, b.", "a, b."),
+    ("<head><script>x</script><noscript><img src=x></noscript></head><p>a", "a"),
+    ("<p>a <svg viewBox='0 0'/> b</p><p>c", "a b\nc"), ("<p>a <math/>b<p>c", "a b\nc"),
+    ("<p>a <svg><title>T</title><text>no</text></svg>b<p>c", "a b\nc"), ("<p>a <svg><style/><path d=1/></svg>b", "a b"),
+    ("<p>a<svg><g><p>b", "a\nb"), ("<p>a <svg><foreignObject><p>no</p></foreignObject></svg>b", "a b"),
+    ("<video-player>a, b.</video-player><p>c", "a, b.\nc"), ("<p>x<select-box>a</select-box><object-card>b</object-card>", "x\na\nb"),
+    *((f"<div><p>a</p><{t}>no</div><p>b</p><p>c", "a\nb\nc") for t in ("object", "canvas", "video", "audio", "select")),
+    *((f"<p>a <{t}><b>no</b></{t}>b", "a b") for t in ("object", "canvas", "video", "audio", "select", "template", "noscript")),
+    ("<p>a<video src=x><p>b", "a\nb"), ("<p>a<script data-x='<b>'>no</script >b", "ab"), ("<p>a<iframe>no", "a")])
+def test_embedded_elements_end(source, text):
+    assert html_text.main_text(source) == text
+
+
 def test_given_pages_yield_their_article(spark):
     import html
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
