@@ -4,7 +4,8 @@ The labelled urls are those that a rule decides. Trees learn from their lexical
 features only: lengths, depth, digit ratio, entropy of characters, counts of parameters and of
 other marks, and statistics of the host's last label and the path's ending (how
 often they occur among the labelled urls, and what share of them is blocked). Training
-takes at most ``TRAIN_ROWS`` labelled urls, lowest hash of url and id first.
+takes at most ``TRAIN_ROWS`` labelled urls, lowest hash of url and id first; the statistics
+count all of them.
 
 All steps are DataFrame expressions and Spark ML. The tables of suffix statistics are
 stored, so that Spark knows their size and can broadcast them or split a hot suffix.
@@ -116,10 +117,11 @@ def verdicts(pages: DataFrame, store: Store, rows: int = TRAIN_ROWS) -> DataFram
     urls = lexical(pages)
     labelled = urls.filter("fit IS NOT NULL").withColumn("label", (F.col("fit.verdict") == "block").cast("double"))
     sample = store.write(labelled.orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(rows).drop("fit"))
-    rate, low, high = sample.agg(F.avg("label"), F.min("label"), F.max("label")).first()
+    low, high = sample.agg(F.min("label"), F.max("label")).first()
     learnt = low is not None and low != high
     if learnt:
-        statistics = [(name, suffix_statistics(sample, name, rate, store)) for name in ("tld", "ending")]
+        rate = labelled.agg(F.avg("label")).first()[0]
+        statistics = [(name, suffix_statistics(labelled, name, rate, store)) for name in ("tld", "ending")]
 
         def described(table: DataFrame) -> DataFrame:
             joined = reduce(lambda t, s: t.join(s[1], F.col(s[0]) == F.col(f"{s[0]}_value"), "left"), statistics, table)

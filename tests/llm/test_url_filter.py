@@ -52,3 +52,21 @@ def test_empty_and_one_sided_tables(spark, store):
     assert uf.verdicts(spark.createDataFrame([], schema), store).count() == 0
     only = spark.createDataFrame([(1, "http://a.org/"), (2, "http://b.net/")], schema)
     assert {r["verdict"] for r in uf.verdicts(only, store).collect()} == {"allow"}
+
+
+def test_statistics_count_all_labelled_urls(spark, store, monkeypatch):
+    urls = [f"http://h{k}.{'org' if k % 3 else 'com'}/{'x' if k % 3 else 'de'}/{k}.e{k % 40}" for k in range(400)]
+    urls = [u.replace("/x/", "/") for u in urls] + ["http://n.net/1.e1", None]
+    made, real = {}, uf.suffix_statistics
+    monkeypatch.setattr(uf, "suffix_statistics", lambda labelled, name, rate, store: made.setdefault(name, real(labelled, name, rate, store)))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert uf.verdicts(pages, store, rows=30).count() == len(urls)
+    labelled = [(u, brute(u)[3] == "block") for u in urls if brute(u)[2]]
+    rate = sum(b for _, b in labelled) / len(labelled)
+    for name, pattern in (("tld", r"//[^/]*\.(\w+)/"), ("ending", r"\.(\w+)$")):
+        groups = {}
+        for url, blocked in labelled:
+            groups.setdefault(re.search(pattern, url)[1], []).append(blocked)
+        found = {r[0]: r[1:] for r in made[name].collect()}
+        assert found == {value: (pytest.approx(math.log1p(len(g))), pytest.approx((sum(g) + uf.PRIOR * rate) / (len(g) + uf.PRIOR)))
+                         for value, g in groups.items()}
