@@ -10,14 +10,14 @@ reordered passages count in full. A text is contaminated if the tiles of one ite
 cover ``COVERAGE`` of its tokens.
 
 The benchmark is the query set: it goes to the tasks in blocks of about
-``BLOCK_BYTES`` of text, one pass over the documents for each block, and documents
+``BLOCK_BYTES`` of text, one chained pass over the documents for each block, and documents
 are never shuffled. Within a task each text's seeds are looked up in
 the block's sorted seeds, so only texts that share a seed are tiled.
 
 Defined cases: null or empty texts and items match nothing; an item shorter than a
 seed is matched as a whole; of items that cover alike the smallest id is
-named; rows are judged each for itself, also those with null or repeated ids (only the report
-of a benchmark of several blocks joins the rows of one id: it has the best item of all of them).
+named; rows are judged each for itself, also those with null or repeated ids, for any number of blocks:
+every pass hands on each row's text and its best item so far.
 """
 
 from __future__ import annotations
@@ -40,8 +40,7 @@ COVERAGE = 0.5
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 20
 
-REPORT = ("doc_id long, item_id long, item_tokens long, tiled_tokens long, "
-          "n_tiles long, coverage double, contaminated boolean")
+BEST = ("item_id", "item_tokens", "tiled_tokens", "n_tiles")
 
 _APART = np.zeros(256, bool)
 _APART[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -184,36 +183,36 @@ def best_items(texts: pa.Array, block: Block) -> dict[str, list]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document row: the item it covers most, and the verdict."""
-    narrow = with_package(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    passes = [narrow.mapInArrow(_report(block), REPORT) for block in benchmark_blocks(benchmark)]
-    if not passes:
-        passes = [narrow.mapInArrow(_report(block_of([], [])), REPORT)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for other in passes[1:]:
-        every = every.unionByName(other)
-    top = F.max_by(F.struct(*[c for c in every.columns if c != "doc_id"]),
-                   F.struct("coverage", (-F.coalesce("item_id", F.lit(0))).alias("o")))
-    return every.groupBy("doc_id").agg(top.alias("t")).select("doc_id", "t.*")
-
-
-def _report(block: Block):
+    found = with_package(docs).select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(None).cast("long").alias("item_id"),
+        *(F.lit(0).cast("long").alias(c) for c in ("item_tokens", "tiled_tokens", "n_tiles")))
+    for block in benchmark_blocks(benchmark):
+        found = found.mapInArrow(_better(block), found.schema)
+    share = F.when(F.col("item_tokens") > 0, F.col("tiled_tokens") / F.col("item_tokens")).otherwise(0.0)
+    return found.select("doc_id", "item_id", "item_tokens", "tiled_tokens", "n_tiles", share.alias("coverage"),
+                        (share >= COVERAGE).alias("contaminated"))
+
+
+def _better(block: Block):
+    """Every row with the item of the block if that covers more than the row's item so far."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             best = best_items(batch.column("text"), block)
-            size = [0 if i is None else len(block.tokens[i]) for i in best["item"]]
-            share = [t / n if n else 0.0 for t, n in zip(best["tiled"], size, strict=True)]
+            columns = [batch.column(c).to_pylist() for c in BEST]
+            rows = []
+            for i, tiled, tiles, *have in zip(best["item"], best["tiled"], best["tiles"], *columns, strict=True):
+                if i is not None:
+                    item, size = block.ids[i], len(block.tokens[i])
+                    # Null ids come first, as in a block; a row without an item so far has no tokens tiled.
+                    gain = tiled * (have[1] or 1) - have[2] * size
+                    if gain > 0 or (gain == 0 and have[0] is not None and (item is None or item < have[0])):
+                        have = [item, size, tiled, tiles]
+                rows.append(have)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
-                "item_id": pa.array([None if i is None else block.ids[i] for i in best["item"]], pa.int64()),
-                "item_tokens": pa.array(size, pa.int64()),
-                "tiled_tokens": pa.array(best["tiled"], pa.int64()),
-                "n_tiles": pa.array(best["tiles"], pa.int64()),
-                "coverage": pa.array(share, pa.float64()),
-                "contaminated": pa.array([x >= COVERAGE for x in share], pa.bool_())})
+                "doc_id": batch.column("doc_id"), "text": batch.column("text"),
+                **{c: pa.array(column, pa.int64()) for c, column in zip(BEST, zip(*rows, strict=True), strict=True)}})
     return run
 
 

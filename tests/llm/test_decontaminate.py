@@ -89,3 +89,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = dc.contamination(odd_docs, items.limit(0))
     assert none.count() == odd_docs.count() and none.filter("contaminated").count() == 0
     assert dc.drop_contaminated(odd_docs, items.limit(0)).count() == odd_docs.count()
+
+
+def test_blocks_keep_rows_apart(spark, odd_docs, monkeypatch):
+    extra = spark.createDataFrame([(None, "a whole other text of no id"), (5, "other words with the id five"), (5, "same line same line")],
+                                  "doc_id long, text string")
+    rows = odd_docs.select("doc_id", "text").unionByName(extra)
+    items = spark.createDataFrame([(None, "some words without an id"), (3, "same line same line"), (4, "same line same line"),
+                                   (6, "a whole other text of no id"), (7, "other words with the id five")], ITEM)
+
+    def report():
+        return sorted(map(str, dc.contamination(rows, items).collect()))
+
+    whole = report()
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 20)
+    assert len(list(dc.benchmark_blocks(items))) > 2
+    assert report() == whole and len(whole) == rows.count()
