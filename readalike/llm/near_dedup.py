@@ -96,7 +96,8 @@ def bucket_of(code: np.ndarray) -> np.ndarray:
 
 def idf_table(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of each bucket over all documents: 1 for a shingle of every
-    document, up to 2 for one that no other shares."""
+    document, up to 2 for one that no other shares if it has its bucket to itself; in large tables
+    rare shingles share buckets and weigh less."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(DF_BUCKETS, np.int64)
