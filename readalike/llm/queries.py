@@ -18,6 +18,7 @@ from readalike.llm import (
     training_order,
     url_filter,
     warc_zip,
+    whitening,
 )
 from readalike.sources.store import Store
 
@@ -85,7 +86,12 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), Store(spark))
+
+
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_decontaminate, op3_near_duplicates, op4_main_text,
-        op5_mix_sources, op6_toxicity, op7_url_filter, op8_token_counts, op9_training_order, op10_warc_zip)}
+        op5_mix_sources, op6_toxicity, op7_url_filter, op8_token_counts, op9_training_order, op10_warc_zip,
+        op13_embedding_whitening)}

@@ -11,7 +11,10 @@ COLUMNS = {
     "op2": "doc_id contaminated", "op3": "doc_id class_id kept", "op4": "page_id url text n_chars",
     "op5": "doc_id size source_size target taken", "op6": "doc_id held_out score predicted",
     "op7": "page_id host path rule verdict", "op8": "doc_id n_bytes n_tokens over_limit", "op9": "slot doc_id",
-    "op10": "page_id payload_bytes payload_digest record_type refers_to"}
+    "op10": "page_id payload_bytes payload_digest record_type refers_to",
+    "op13": "vec_id component n deviation whitened explained identity_error"}
+KEYS = {"op4": ("pages", "page_id"), "op7": ("pages", "page_id"), "op10": ("pages", "page_id"), "op13": ("embeddings", "vec_id")}
+ROWS = {"op9": None, "op13": 4}
 
 
 def test_all_are_registered():
@@ -25,11 +28,11 @@ def test_query_returns_its_columns_over_the_whole_table(spark, name):
     out = registered()[name](spark, SF)
     op = name.split("_")[0]
     assert set(COLUMNS[op].split()) <= set(out.columns)
-    key = "page_id" if "page_id" in out.columns else "doc_id"
-    whole = spark.read.parquet(f"{SF}/{'pages' if key == 'page_id' else 'documents'}.parquet")
+    name, key = KEYS.get(op, ("documents", "doc_id"))
+    whole = spark.read.parquet(f"{SF}/{name}.parquet")
     ids = {r[0] for r in whole.select(key).collect()}
     found = [r[0] for r in out.select(key).collect()]
-    assert set(found) == ids and (op == "op9" or len(found) == len(ids))
+    assert set(found) == ids and len(found) == (ROWS.get(op, 1) or len(found) / len(ids)) * len(ids)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
