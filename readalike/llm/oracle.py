@@ -47,4 +47,20 @@ RECORDS = f"""
            CASE WHEN page_id < last THEN last END AS refers_to
     FROM latest"""
 
-ORACLE: dict[str, str] = {"op5_mix_sources": MIX, "op10_warc_zip": RECORDS}
+LINKED = r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+    flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+    links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id
+        GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+    reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+    FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = doc_id"""
+
+ORACLE: dict[str, str] = {"op5_mix_sources": MIX, "op10_warc_zip": RECORDS, "op11_ngram_join": LINKED}

@@ -12,7 +12,9 @@ from readalike.llm import (
     html_text,
     mixing,
     near_dedup,
+    ngram_join,
     quality,
+    spelling,
     token_counts,
     toxicity,
     training_order,
@@ -86,6 +88,14 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), Store(spark))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), Store(spark))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), Store(spark))
 
@@ -94,4 +104,4 @@ def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_decontaminate, op3_near_duplicates, op4_main_text,
         op5_mix_sources, op6_toxicity, op7_url_filter, op8_token_counts, op9_training_order, op10_warc_zip,
-        op13_embedding_whitening)}
+        op11_ngram_join, op12_spelling_variants, op13_embedding_whitening)}
