@@ -93,8 +93,20 @@ def mix(docs: DataFrame, store: Store, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, columns unchanged."""
     targets = source_targets(
         docs.select("source", word_count(F.col("text")).alias("size")), store)
-    rates = targets.select(F.struct("source", "rate").alias("__mix"))
-    taken = docs.join(rates, docs["source"].eqNullSafe(F.col("__mix.source")))
-    taken_times = copies(F.col("__mix.rate"), docs["doc_id"], seed)
-    return taken.select(*[docs[c] for c in docs.columns],
-                        F.explode(F.array_repeat(F.lit(True), taken_times)).alias("__copy")).drop("__copy")
+    rate, copy = free_names(docs, "rate", "copy")
+    rates = targets.select(F.struct("source", "rate").alias(rate))
+    taken = docs.join(rates, docs["source"].eqNullSafe(F.col(f"{rate}.source")))
+    taken_times = copies(F.col(f"{rate}.rate"), docs["doc_id"], seed)
+    return taken.select(*[docs[quoted(c)] for c in docs.columns],
+                        F.explode(F.array_repeat(F.lit(True), taken_times)).alias(copy)).drop(copy)
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in names]

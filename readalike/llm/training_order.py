@@ -307,4 +307,6 @@ def read_shards(manifest: DataFrame, first_slot: int = 0, step: int = 4096) -> D
                         at += n
 
     wanted = with_package(manifest).filter(F.col("first_slot") + F.col("n_records") > first_slot)
-    return wanted.repartition(F.col("shard")).mapInArrow(read, SEQUENCES)
+    # The shards left follow each other, so each gets a task of its own.
+    parts = max(1, wanted.count())
+    return wanted.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).mapInArrow(read, SEQUENCES)

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readalike.llm.files import open_ranges, write_whole
@@ -199,7 +199,10 @@ def record_ranges(manifest: DataFrame) -> DataFrame:
                     "path": [path] * len(lines), "begin": [begin + int(a) for a, _ in lines],
                     "length": [int(b) for _, b in lines]})
 
-    return with_package(manifest).repartition(F.col("path")).mapInArrow(locate, RANGES)
+    # A task for each package; the manifest has one short row per package, so numbering it is small.
+    number = F.row_number().over(Window.orderBy("path")) - 1
+    placed = with_package(manifest).withColumn("number", number)
+    return placed.repartitionById(max(1, manifest.count()), F.col("number")).mapInArrow(locate, RANGES)
 
 
 def parsed(raw: bytes) -> dict[str, object]:

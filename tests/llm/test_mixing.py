@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from readalike.llm import mixing
 
@@ -50,6 +51,15 @@ def test_mix_repeats_rows_as_planned(docs, store):
     assert taken == {i: n for i, n in plan.items() if n}
 
 
+@pytest.mark.parametrize("names", [("__copy", "__mix"), ("copy", "Rate"), ("rate", "copy_"), ("a.b", "source_size")])
+def test_columns_of_any_name_come_through(docs, store, names):
+    named = docs.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    mixed = mixing.mix(named, store)
+    assert mixed.columns == named.columns
+    assert mixed.count() == mixing.mix(docs, store).count()
+    assert {tuple(r[-2:]) for r in mixed.collect()} == {(0, 1)}
+
+
 def test_large_sources_come_near_their_targets(spark, store):
     rows = spark.range(60_000).selectExpr(
         "id AS doc_id", "repeat('w ', int(1 + id % 50)) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END AS source")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readalike.llm import training_order as to
 from readalike.llm.queries import tokenizer_file
@@ -41,6 +42,8 @@ def test_round_trip_in_many_shards(docs, texts, store, monkeypatch):
     assert manifest.count() > 3
     every = to.read_shards(manifest)
     assert written(every) == expected(texts.items())
+    reading = every.select("shard", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r["task"] for r in reading}) == len(reading) == manifest.count()
     rest = {tuple(r) for r in to.read_shards(manifest, first_slot=157).collect()}
     assert rest == {tuple(r) for r in every.filter("slot >= 157").collect()}
     again = to.read_shards(to.write_shards(docs, store, tokenizer_file()))

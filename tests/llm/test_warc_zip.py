@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from readalike.llm import warc_zip as wz
 
@@ -21,7 +22,11 @@ def digest(text):
 def test_round_trip(spark, store, monkeypatch):
     monkeypatch.setattr(wz, "PACKAGE_BYTES", 20_000)
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    found = {r["page_id"]: r for r in read(pages, store).collect()}
+    manifest = wz.write_packages(pages, store)
+    records = wz.read_records(wz.record_ranges(manifest))
+    tasks = {r[0] for r in records.select(F.spark_partition_id()).distinct().collect()}
+    assert len(tasks) == manifest.count() > 3
+    found = {r["page_id"]: r for r in records.collect()}
     for page in pages.collect():
         r = found.pop(page["page_id"])
         assert r["payload"].decode() == page["html"] and r["url"] == page["url"]
