@@ -6,8 +6,9 @@ n-grams. Entries of AAᵀ are overlaps, and two documents are linked if the over
 
 1. Equal sets are one row of A, whatever their number. Sizes a <= b can be linked only if 5 * a >= 4 * b.
 2. Columns have one order, n-grams of rare hash buckets first (counted over all documents, in a table of fixed size;
-   it decides cost, not results). A linked pair shares at least 4/5 of the larger row, so it shares one of the first
-   n - ceil(4 n / 5) + 1 columns of each: only this block of A is multiplied out. Columns in which it has a single entry go.
+   it decides cost, not results). A linked pair shares at least 4/5 of the larger row, so of the first
+   n - ceil(4 n / 5) + l columns of each it shares l or more: only this block of A is multiplied out, with l = n / 20 + 1
+   of the smaller row. Columns in which the block has a single entry go, then rows with fewer than the least l of a fitting size.
 3. A column with m entries would add m * m / 2 products. First each entry meets two centres of its column, the row with most
    companions and one by hash; these pairs are verified, and linked rows are joined to components. Columns whose rows are one component
    have nothing left to say.
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readalike.llm import text_arrays as ta
@@ -53,9 +54,9 @@ LIGHT = 64              # entries of a column that is multiplied out as rows
 CELL = 1 << 20          # n-grams in a chunk of a cell
 FILTER_BITS = 1 << 27   # of the bitmap of ids at most
 
-_COUNTED = "bucket int, df long"
-_ROW = "doc_id long, n long, digest binary, prefix array<long>"
-_ENTRY = "shingle long, member long, n long"
+_COUNTED = "doc_id long, n int, digest binary, bucket int, df long"
+_ROW = "digest binary, doc_id long, n int, prefix array<long>"
+_ENTRY = "shingle long, member long, n int"
 _SET = "member long, codes binary"
 _LINK = "a long, b long, overlap long"
 LOWER = np.arange(256, dtype=np.uint8)
@@ -74,48 +75,66 @@ def bucket_of(code: np.ndarray) -> np.ndarray:
     return (code >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many sets have an n-gram in each hash bucket, over all documents."""
+def digest_of(codes: np.ndarray) -> bytes:
+    return hashlib.md5(codes.tobytes(), usedforsecurity=False).digest()
+
+
+def counted_rows(docs: DataFrame, store: Store) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, digest) of every document, stored, and how many sets have an n-gram in each hash bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for *_, code in sets(batch.column("text")):
+            for part, who, first, last, code in sets(batch.column("text")):
                 df += np.bincount(bucket_of(code), minlength=BUCKETS)
+                size = np.zeros(part.n, np.int32)
+                size[who] = last - first
+                digests: list[bytes | None] = [None] * part.n
+                for t, a, b in zip(who.tolist(), first.tolist(), last.tolist(), strict=True):
+                    digests[t] = digest_of(code[a:b])
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").slice(part.first, part.n), "n": size, "digest": pa.array(digests, pa.binary()),
+                    "bucket": pa.nulls(part.n, pa.int32()), "df": pa.nulls(part.n, pa.int64())})
         used = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"bucket": used.astype(np.int32), "df": df[used]})
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": pa.nulls(len(used), pa.int64()), "n": pa.nulls(len(used), pa.int32()), "digest": pa.nulls(len(used), pa.binary()),
+            "bucket": used.astype(np.int32), "df": df[used]})
 
-    rows = docs.select("text").mapInArrow(count, _COUNTED).groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
+    both = store.write(docs.mapInArrow(count, _COUNTED))
+    found = both.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
     counts = np.zeros(BUCKETS, np.int64)
-    counts[rows["bucket"]] = rows["df"]
-    return counts
+    counts[found["bucket"]] = found["df"]
+    return both.filter("bucket IS NULL").select("doc_id", "n", "digest"), counts
+
+
+def least_shared(n: int) -> int:
+    """Columns of the block that a linked pair shares, whose smaller row has ``n``."""
+    return n // 20 + 1
 
 
 def prefix_length(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+    return min(n, n - (4 * n + 4) // 5 + least_shared(n))
 
 
 def matrix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Per document: size and digest of its set and its first columns in the common order."""
+    """(member, n, prefix): of each distinct set its smallest id, its size and its columns of the block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for part, who, first, last, code in sets(batch.column("text")):
-                size = np.zeros(part.n, np.int64)
-                size[who] = last - first
-                digests: list[bytes | None] = [None] * part.n
-                prefixes: list[np.ndarray | None] = [None] * part.n
                 df = counts[bucket_of(code)]
-                for t, a, b in zip(who.tolist(), first.tolist(), last.tolist(), strict=True):
+                digests, prefixes = [], []
+                for a, b in zip(first.tolist(), last.tolist(), strict=True):
                     mine = code[a:b]
-                    digests[t] = hashlib.md5(mine.tobytes(), usedforsecurity=False).digest()
-                    prefixes[t] = mine[np.lexsort((mine, df[a:b]))[:prefix_length(b - a)]].view(np.int64)
+                    digests.append(digest_of(mine))
+                    prefixes.append(mine[np.lexsort((mine, df[a:b]))[:prefix_length(b - a)]].view(np.int64))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids.slice(part.first, part.n), "n": size, "digest": pa.array(digests, pa.binary()),
-                    "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+                    "digest": pa.array(digests, pa.binary()), "doc_id": batch.column("doc_id").take(pa.array(who + part.first)),
+                    "n": (last - first).astype(np.int32), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(rows, _ROW)
+    found = docs.filter("doc_id IS NOT NULL").mapInArrow(rows, _ROW)
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("first"))
+    return first.select(F.col("first.doc_id").alias("member"), "first.n", "first.prefix")
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
@@ -171,7 +190,7 @@ def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 9 * overlap >= 4 * (a + b)
 
 
-def sizes_fit(a: str, b: str):
+def sizes_fit(a: str, b: str) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
@@ -215,6 +234,18 @@ def centre_pairs(entries: DataFrame, store: Store) -> DataFrame:
     return met.select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b")).distinct()
 
 
+def shared_by(n: str) -> Column:
+    """``least_shared`` of the smallest set that fits a column's size."""
+    return F.expr(f"(4 * {n} + 4) div 5 div 20 + 1")
+
+
+def full_rows(entries: DataFrame, store: Store) -> DataFrame:
+    """Entries of rows that have enough of them to be linked with any other."""
+    counted = entries.groupBy("member", "n").agg(F.count(F.lit(1)).alias("entries"))
+    enough_of = store.write(counted.filter(F.col("entries") >= shared_by("n")).select("member", "n"))
+    return store.write(entries.join(enough_of, ["member", "n"], "left_semi"))
+
+
 def light_pairs(light: DataFrame, heavy: DataFrame) -> DataFrame:
     """Pairs of different components that share a light column, unless the overlap accumulated over the light columns is
     too small even if all heavy columns and all of the larger rest were shared."""
@@ -226,8 +257,10 @@ def light_pairs(light: DataFrame, heavy: DataFrame) -> DataFrame:
         (F.col("x.member") < F.col("y.member")) & (F.col("x.part") != F.col("y.part")) & sizes_fit("x.n", "y.n"))
     overlap = met.groupBy(F.col("x.member").alias("a"), F.col("y.member").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn")).agg(
         F.count(F.lit(1)).alias("seen"), F.max(F.least("x.heavy", "y.heavy")).alias("heavy"))
-    rest = F.expr("(4 * greatest(an, bn) + 4) div 5 - 1")  # the columns outside the block
-    return overlap.filter(9 * (F.col("seen") + F.col("heavy") + rest) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b").distinct()
+    at_most = F.col("seen") + F.col("heavy")
+    rest = F.greatest(F.lit(0), *[F.expr(f"(4 * {n} + 4) div 5 - {n} div 20 - 1") for n in ("an", "bn")])  # columns outside the block
+    return overlap.filter((9 * (at_most + rest) >= 4 * (F.col("an") + F.col("bn")))
+                          & (at_most >= F.expr("least(an, bn) div 20 + 1"))).select("a", "b").distinct()
 
 
 def cell_links(table: pa.Table) -> pa.Table:
@@ -278,10 +311,11 @@ def heavy_links(heavy: DataFrame, packed: DataFrame, store: Store) -> DataFrame:
     return filled.groupBy("shingle", "i", "j").applyInArrow(cell_links, _LINK)
 
 
-def links(texts: DataFrame, docs: DataFrame, store: Store) -> DataFrame:
-    """Verified links (a, b, overlap) between the rows (member, n, prefix) that connect every component."""
-    entries = texts.select(F.explode("prefix").alias("shingle"), "member", "n")
-    entries = store.write(shared_entries(entries))
+def links(docs: DataFrame, counts: np.ndarray, store: Store) -> DataFrame:
+    """Verified links (a, b, overlap) between the smallest ids of distinct sets, which connect every component."""
+    rows = matrix_rows(docs, counts)
+    entries = store.write(shared_entries(rows.select(F.explode("prefix").alias("shingle"), "member", "n")))
+    entries = full_rows(entries, store)
     members = store.write(entries.select("member").distinct())
     packed = packed_sets(docs.filter("doc_id IS NOT NULL"), id_bitmap(members, members.count()))
     packed = store.write(packed.join(members, "member", "left_semi").dropDuplicates(["member", "codes"]))
@@ -301,16 +335,14 @@ def links(texts: DataFrame, docs: DataFrame, store: Store) -> DataFrame:
 def jaccard_components(docs: DataFrame, store: Store) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document row."""
     read = with_package(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = store.write(matrix_rows(read, bucket_counts(read)))
-    known = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    texts = known.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    texts = store.write(texts.select("digest", F.col("first.doc_id").alias("member"), F.col("first.n").alias("n"),
-                                     F.col("first.prefix").alias("prefix"), "copies"))
-    found = links(texts.select("member", "n", "prefix"), read, store)
-
-    same = store.write(texts.filter("copies > 1").select("digest", "member"))
-    placed = store.write(rows.select("doc_id", "n", "digest").join(same, "digest", "left").select(
-        "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("member", "doc_id")).alias("member")))
+    rows, counts = counted_rows(read, store)
+    found = links(read, counts, store)
+
+    sets_of = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("copies"))
+    same = store.write(sets_of.filter("copies > 1").select("digest", "member"))
+    placed = store.write(rows.join(same, "digest", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n"), F.when(F.col("doc_id").isNotNull(), F.coalesce("member", "doc_id")).alias("member")))
     # an id with several sets links them
     several = placed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("member").alias("a"), F.max("member").alias("high"))
     several = several.filter("a < high").select("doc_id", "a")
