@@ -28,8 +28,9 @@ fixed size: the frequency table and a bitmap of the ids whose texts are compared
 these texts are found again without shuffling all texts.
 
 Defined cases: null or wordless texts are never duplicates; a null id is left
-out of the result and kept by ``drop_near_duplicates``; rows that share an id are one
-document (one of them stays); the smallest id of a group stands for it. Only
+out of the result and kept by ``drop_near_duplicates``; rows that share an id are one document in
+``near_duplicates``, but ``drop_near_duplicates`` judges each by its own text, and of rows with the same
+id and text one stays; the smallest id of a group stands for it. Only
 ``doc_id`` and ``text`` are read.
 """
 
@@ -45,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readalike.llm import text_arrays as ta
+from readalike.llm.mixing import free_names, quoted
 from readalike.llm.shipping import with_package
 from readalike.sources.store import Store
 
@@ -58,7 +60,7 @@ FILTER_BITS = 1 << 23
 
 _COUNTED = "bucket int, df long"
 _SIGNED = "doc_id long, digest binary, bands array<long>"
-_VECTOR = "doc_id long, shingles binary, weights binary"
+_VECTOR = "doc_id long, digest binary, shingles binary, weights binary"
 _SCORED = "a long, b long, similarity double"
 _PREFIX = "member long, shingle long, spare double, total double, light boolean"
 # What two texts share is at least this part of the sum of their weights; a little less, for rounding.
@@ -163,6 +165,11 @@ def band_keys(sampled: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def digests(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.md5(x.as_buffer(), usedforsecurity=False).digest() for x in texts.cast(pa.large_binary())],
+                    pa.binary())
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """Per document with an id and a word: digest of the text and its band keys."""
 
@@ -177,12 +184,10 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                 keys = band_keys(samples(code, times * idf[bucket_of(code)], first))
                 rows = pa.array(owner[first] + part.first)
-                digests = [hashlib.md5(x.as_buffer(), usedforsecurity=False).digest()
-                           for x in plain.take(rows).cast(pa.large_binary())]
                 flat = pa.array(keys.ravel())
                 offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids.take(rows), "digest": pa.array(digests, pa.binary()),
+                    "doc_id": ids.take(rows), "digest": digests(plain.take(rows)),
                     "bands": pa.ListArray.from_arrays(offsets, flat)})
 
     narrow = with_package(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -210,15 +215,17 @@ def vectors(docs: DataFrame, idf: np.ndarray, wanted: np.ndarray) -> DataFrame:
             batch = batch.filter(pa.array((wanted[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
             if not batch.num_rows:
                 continue
-            for part in ta.slices(lower(batch.column("text")), SLICE):
+            plain = batch.column("text")
+            for part in ta.slices(lower(plain), SLICE):
                 owner, code, times = shingles(part)
                 if not len(owner):
                     continue
                 weight = (times * idf[bucket_of(code)]).astype(np.float32)
                 first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                 last = np.append(first[1:], len(code))
+                rows = pa.array(owner[first] + part.first)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").take(pa.array(owner[first] + part.first)),
+                    "doc_id": batch.column("doc_id").take(rows), "digest": digests(plain.take(rows)),
                     "shingles": pa.array([code[a:b].tobytes() for a, b in zip(first, last, strict=True)]),
                     "weights": pa.array([weight[a:b].tobytes() for a, b in zip(first, last, strict=True)])})
 
@@ -341,14 +348,29 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
-    """(doc_id, class_id) of every document with an id: class_id is the smallest id of its group."""
-    idf = idf_table(docs)
-    signed = store.write(signatures(docs, idf))
+def distinct_texts(signed: DataFrame, store: Store) -> tuple[DataFrame, bool]:
+    """(digest, doc_id, member, bands, n) of each text: its smallest id, the number that stands for it, and how many rows
+    have it. That number is the id, unless the id is the smallest of several texts: all but one of these get a hash of id
+    and text. Says whether there are such ids."""
     texts = signed.groupBy("digest").agg(
         F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("n"))
-    texts = store.write(texts.select("digest", F.col("first.doc_id").alias("member"),
+    texts = store.write(texts.select("digest", F.col("first.doc_id").alias("doc_id"),
                                      F.col("first.bands").alias("bands"), "n"))
+    several = texts.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    several = store.write(several.filter("low < high").select("doc_id", "low"))
+    if several.isEmpty():
+        return texts.withColumn("member", F.col("doc_id")), False
+    own = F.col("low").isNull() | (F.col("low") == F.col("digest"))
+    return store.write(texts.join(several, "doc_id", "left").withColumn(
+        "member", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "digest"))).drop("low")), True
+
+
+def text_classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest) that have an id and a word; and of each distinct text (digest) the id of its group's
+    first text (smallest id, then digest), ``class_id``, and whether it is that text, ``stands``."""
+    idf = idf_table(docs)
+    signed = store.write(signatures(docs, idf))
+    texts, several = distinct_texts(signed, store)
     banded = texts.select("member", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("member").alias("low"), F.max("member").alias("high"))
     crowded = store.write(crowded.filter("low < high").select("bucket"))
@@ -356,9 +378,13 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     sizes = store.write(crowd.groupBy("bucket").agg((F.count(F.lit(1)) - 1).alias("others")))
     mates = store.write(crowd.join(sizes, "bucket").groupBy("member").agg(F.sum("others").alias("mates")))
     buckets = store.write(crowd.join(mates, "member"))
-    wanted = store.write(buckets.select(F.col("member").alias("doc_id")).distinct())
+    wanted = store.write(buckets.select("member").distinct().join(texts, "member").select("member", "doc_id", "digest")
+                         if several else buckets.select("member", F.col("member").alias("doc_id")).distinct())
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed = store.write(vectors(read.filter("doc_id IS NOT NULL"), idf, id_filter(wanted)))
+    packed = vectors(read.filter("doc_id IS NOT NULL"), idf, id_filter(wanted))
+    if several:
+        packed = packed.join(wanted, ["doc_id", "digest"]).drop("doc_id").withColumnRenamed("member", "doc_id")
+    packed = store.write(packed.select("doc_id", "shingles", "weights"))
 
     members = buckets.withColumn("part", F.col("member"))
     compared = candidates(members, store, 0, None)
@@ -391,25 +417,46 @@ def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     if not found.isEmpty():
         joined = components(edges.unionByName(found), store)
 
-    same = texts.filter("n > 1").select("digest", "member")
-    first = signed.select("doc_id", "digest").join(store.write(same), "digest", "left").select(
-        "doc_id", F.coalesce("member", "doc_id").alias("member"))
-    placed = first.join(joined, F.col("member") == F.col("id"), "left").select(
-        "doc_id", F.coalesce("label", "member").alias("class_id"))
-    # An id whose rows have different texts is one document, in the smallest of their groups.
-    placed = placed.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    every = read.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    classes = texts.join(joined, F.col("member") == F.col("id"), "left").select(
+        "digest", "doc_id", F.coalesce("label", "member").alias("label"))
+    if several:
+        classes = store.write(classes)
+        firsts = classes.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+        classes = classes.join(store.write(firsts), "label").select(
+            "digest", F.col("first.doc_id").alias("class_id"), (F.col("first.digest") == F.col("digest")).alias("stands"))
+    else:
+        classes = classes.select("digest", F.col("label").alias("class_id"), (F.col("doc_id") == F.col("label")).alias("stands"))
+    return signed.select("doc_id", "digest"), store.write(classes)
+
+
+def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
+    """(doc_id, class_id) of every document with an id: class_id is the smallest id of its group."""
+    rows, classes = text_classes(docs, store)
+    # An id whose rows have different texts is one document here, in the smallest of their groups.
+    placed = rows.join(classes, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    every = docs.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
     return every.join(placed, "doc_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
-    """The documents that stand for their group, all columns as they are."""
-    classes = store.write(near_duplicates(docs, store))
-    gone = store.write(classes.filter("class_id <> doc_id").select("doc_id"))
-    stay = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
-    if repeated.isEmpty():
+    """One row for each group of texts, its first, all columns as they are; rows without an id or a word stay.
+
+    Rows are judged by their own text: one of a repeated id goes only if its text belongs to a group that
+    another row stands for.
+    """
+    rows, classes = text_classes(docs, store)
+    judged = rows.join(classes, "digest").groupBy("doc_id", "digest").agg(
+        F.max(F.col("stands") & (F.col("doc_id") == F.col("class_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = store.write(judged.filter("NOT stays OR n > 1").select("doc_id", "digest", "stays"))
+    key, text, stays, digest = free_names(docs, "key", "text_digest", "stays", "digest")
+    named = docs.withColumn(text, F.upper(F.md5(docs["text"].cast("string"))))
+    marks = marked.select(F.col("doc_id").alias(key), F.hex("digest").alias(digest), F.col("stays").alias(stays))
+    same = (docs["doc_id"].cast("long") == F.col(key)) & (F.col(text) == F.col(digest))
+    back = [quoted(c) for c in docs.columns]
+    stay = named.join(marks, same, "left_anti").select(*back)
+    if marked.filter("stays").isEmpty():
         return stay
-    return stay.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(
-        stay.filter("doc_id IS NULL"))
+    # Repeated rows of a text that stays: any one of them.
+    once = named.join(marks.filter(F.col(stays)), same).dropDuplicates([key, text]).select(*back)
+    return stay.unionByName(once)

@@ -123,6 +123,32 @@ def test_odd_rows(odd_docs, no_docs, store):
     assert nd.drop_near_duplicates(no_docs, store).count() == 0
 
 
+def some_text(seed, n=60, changed=()):
+    words = [f"w{seed}x{k}" for k in range(n)]
+    for k in changed:
+        words[k] += "y"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, store, turned):
+    a, x, unique, y = some_text(1), some_text(2), some_text(3), some_text(4)
+    near_x, near_y = some_text(2, changed=[30]), some_text(4, changed=[20])
+    rows = [(1, a), (7, a), (7, unique), (8, x), (8, y), (9, near_x), (10, ""), (10, None), (10, some_text(5)), (10, some_text(5)),
+            (11, some_text(6)), (11, some_text(6, changed=[9])), (3, near_y), (None, a), (12, some_text(7)), (12, some_text(7, changed=[9])),
+            (2, some_text(7, changed=[40]))]
+    stay = [(1, a), (7, unique), (8, x), (10, ""), (10, None), (10, some_text(5)), (3, near_y), (None, a), (2, some_text(7, changed=[40]))]
+    df = spark.createDataFrame([(i, t, "k", "s", 1) for i, t in (rows[::-1] if turned else rows)],
+                               "doc_id long, text string, `key` string, stays string, digest long")
+    kept = nd.drop_near_duplicates(df, store)
+    assert kept.columns == df.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    eleven = [t for i, t in found if i == 11]
+    assert len(eleven) == 1 and eleven[0] in (some_text(6), some_text(6, changed=[9]))
+    assert sorted((f for f in found if f[0] != 11), key=str) == sorted(stay, key=str)
+    assert classes(df, store) == {1: 1, 7: 1, 8: 3, 9: 8, 10: 10, 11: 11, 3: 3, 12: 2, 2: 2}
+
+
 def test_filter_lets_every_wanted_id_pass(spark):
     ids = spark.range(-500, 100_000, 37).withColumnRenamed("id", "doc_id")
     bitmap = nd.id_filter(ids)
