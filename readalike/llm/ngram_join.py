@@ -9,8 +9,8 @@ n-grams. Entries of AAᵀ are overlaps, and two documents are linked if the over
    it decides cost, not results). A linked pair shares at least 4/5 of the larger row, so of the first
    n - ceil(4 n / 5) + l columns of each it shares l or more: only this block of A is multiplied out, with l = n / 20 + 1
    of the smaller row. Columns in which the block has a single entry go, then rows with fewer than the least l of a fitting size.
-3. A column with m entries would add m * m / 2 products. First each entry meets two centres of its column, the row with most
-   companions and one by hash; these pairs are verified, and linked rows are joined to components. Columns whose rows are one component
+3. A column with m entries would add m * m / 2 products. First each entry meets two of its column, the row with most entries
+   and its neighbour in that order; these pairs are verified, and linked rows are joined to components. Columns whose rows are one component
    have nothing left to say.
 4. Other columns of at most ``LIGHT`` entries are multiplied out for rows of different components. Overlaps
    are accumulated over all columns, and a pair is discarded if even with all columns that can still count it stays
@@ -22,7 +22,7 @@ n-grams. Entries of AAᵀ are overlaps, and two documents are linked if the over
 
 Every link that is used was verified on whole sets, and every pair that could be a link was verified or lies in one
 component already, so the components are exact but for collisions of 64-bit n-gram hashes. Which links connect a component depends
-on the centres; ``links`` are enough to connect it, not all pairs in it.
+on that order; ``links`` are enough to connect it, not all pairs in it.
 
 What goes through the driver has a fixed size: the bucket counts, and a bitmap of ids that tells which texts
 are read again. Where that is full in very large tables, more sets are stored than needed; results don't change.
@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readalike.llm import text_arrays as ta
@@ -219,19 +219,15 @@ def common(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[place] == p).sum())
 
 
-def centre_pairs(entries: DataFrame, store: Store) -> DataFrame:
-    """Every entry's row with the two centres of its column, as pairs a < b of fitting sizes."""
-    sizes = store.write(entries.groupBy("shingle").agg((F.count(F.lit(1)) - 1).alias("others")))
-    mates = store.write(entries.select("shingle", "member").join(sizes, "shingle").groupBy("member").agg(
-        F.sum("others").alias("mates")))
+def centre_pairs(entries: DataFrame) -> DataFrame:
+    """Every entry's row with the first of its column and with the one before it, as pairs a < b of fitting sizes. Rows with
+    most entries come first: a text that others were made from shares more columns than they do."""
+    by_entries = Window.partitionBy("shingle").orderBy(F.desc("entries"), "n", "member")
     row = F.struct("member", "n")
-    centres = store.write(entries.join(mates, "member").groupBy("shingle").agg(
-        F.max_by(row, F.struct("mates", F.bitwise_not("member"))).alias("hub"),
-        F.min_by(row, F.struct(F.xxhash64("member").alias("h"), "member")).alias("any")))
-    centres = centres.select("shingle", F.explode(F.array_distinct(F.array("hub", "any"))).alias("c")).select(
-        "shingle", F.col("c.member").alias("centre"), F.col("c.n").alias("centre_n"))
-    met = entries.join(centres, "shingle").filter((F.col("member") != F.col("centre")) & sizes_fit("n", "centre_n"))
-    return met.select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b")).distinct()
+    placed = entries.select("member", "n", F.first(row).over(by_entries).alias("top"), F.lag(row).over(by_entries).alias("last"))
+    met = placed.select("member", "n", F.explode(F.array("top", "last")).alias("c"))
+    met = met.filter((F.col("member") != F.col("c.member")) & sizes_fit("n", "c.n"))
+    return met.select(F.least("member", "c.member").alias("a"), F.greatest("member", "c.member").alias("b")).distinct()
 
 
 def shared_by(n: str) -> Column:
@@ -240,10 +236,10 @@ def shared_by(n: str) -> Column:
 
 
 def full_rows(entries: DataFrame, store: Store) -> DataFrame:
-    """Entries of rows that have enough of them to be linked with any other."""
+    """Entries of rows that have enough of them to be linked with any other, and how many they have."""
     counted = entries.groupBy("member", "n").agg(F.count(F.lit(1)).alias("entries"))
-    enough_of = store.write(counted.filter(F.col("entries") >= shared_by("n")).select("member", "n"))
-    return store.write(entries.join(enough_of, ["member", "n"], "left_semi"))
+    enough_of = store.write(counted.filter(F.col("entries") >= shared_by("n")))
+    return store.write(entries.join(enough_of, ["member", "n"]))
 
 
 def light_pairs(light: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -320,7 +316,7 @@ def links(docs: DataFrame, counts: np.ndarray, store: Store) -> DataFrame:
     packed = packed_sets(docs.filter("doc_id IS NOT NULL"), id_bitmap(members, members.count()))
     packed = store.write(packed.join(members, "member", "left_semi").dropDuplicates(["member", "codes"]))
 
-    found = store.write(verified(store.write(centre_pairs(entries, store)), packed))
+    found = store.write(verified(store.write(centre_pairs(entries)), packed))
     joined = components(found, store)
     parted = store.write(entries.join(joined, F.col("member") == F.col("id"), "left").select(
         "shingle", "member", "n", F.coalesce("label", "member").alias("part")))
@@ -328,7 +324,9 @@ def links(docs: DataFrame, counts: np.ndarray, store: Store) -> DataFrame:
         F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high")
     rest = store.write(parted.join(store.write(open_columns.select("shingle", "m")), "shingle"))
     heavy = store.write(rest.filter(F.col("m") > LIGHT))
-    more = verified(store.write(light_pairs(rest.filter(F.col("m") <= LIGHT), heavy)), packed)
+    more = store.write(light_pairs(rest.filter(F.col("m") <= LIGHT), heavy))
+    ids = store.write(more.select(F.explode(F.array("a", "b")).alias("member")).distinct())
+    more = verified(more, store.write(packed.join(ids, "member", "left_semi")))
     return store.write(found.unionByName(more).unionByName(heavy_links(heavy, packed, store)))
 
 
