@@ -19,7 +19,7 @@ from readalike.plans.queries import registered  # noqa: E402
 from readalike.plans.workspace import workspace  # noqa: E402
 
 STAGES = ("all_ratings", "books", "ratings", "users", "index", "pair_table", "pairs", "similarity", "stats",
-          "dominant", "top_books", "metadata", "enriched", "catalogue", "vectors", "explicit_once", "explored",
+          "dominant", "top_books", "title_index", "metadata", "enriched", "catalogue", "vectors", "explicit_once", "explored",
           "explored_index", "fan_table")
 HEADLINE = (
     "clean_ratings", "clean_books", "item_similarity", "book_stats", "age_group_dominant",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readalike import params
 from readalike.functions.text import is_blank, title_by_author
+from readalike.sources.store import Store
 
 NO_SUBJECTS = "array<string>"
 
@@ -81,6 +82,36 @@ def upsert_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     return cache.join(new.select("isbn"), "isbn", "left_anti").unionByName(new)
 
 
+def _bucketed(entries: DataFrame, buckets: int) -> DataFrame:
+    return entries.select("isbn", "description", "subjects", F.pmod(F.xxhash64("isbn"), F.lit(buckets)).cast("int").alias("bucket"))
+
+
+def write_cache(entries: DataFrame, path: str, buckets: int = params.CACHE_BUCKETS) -> None:
+    """Store a metadata cache (isbn, description, subjects), a folder for each of ``buckets`` hashes of the isbn."""
+    _bucketed(entries, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    schema = "isbn string, description string, subjects array<string>, bucket int"
+    return spark.read.schema(schema).parquet(path)
+
+
+def upsert_cache_table(spark: SparkSession, path: str, new: DataFrame, store: Store,
+                       buckets: int = params.CACHE_BUCKETS) -> DataFrame:
+    """Upsert into the cache that ``write_cache`` stored with as many ``buckets``; returns it without its buckets.
+
+    Only folders with a new isbn are read and replaced. Their new contents are written aside first, so a run that breaks
+    off before the last step leaves the cache as it was; the folders are then replaced as the last job commits.
+    """
+    fresh = store.write(_bucketed(new, buckets))
+    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]   # at most ``buckets``
+    kept = read_cache(spark, path).filter(F.col("bucket").isin(touched)).select(*fresh.columns)
+    merged = store.write(upsert_cache(kept, fresh))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "bucket").parquet(path)
+    return read_cache(spark, path).drop("bucket")
+
+
 def enrich_books(books: DataFrame, metadata: DataFrame) -> DataFrame:
     """(isbn, title, author, description, subjects), subjects comma-joined.
 

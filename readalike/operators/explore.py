@@ -180,35 +180,41 @@ def author_by_mean(seeds: DataFrame, books: DataFrame, ratings: DataFrame,
     return join_per_key(wanted, lists, "author").select("seed_isbn", F.inline("best"))
 
 
-def exact_median(df: DataFrame, col: str, bins: int = 65_536) -> Column:
-    """Exact median as a scalar, without gathering the column in one task.
+def exact_median(df: DataFrame, col: str, bins: int = 4_096) -> Column:
+    """Exact median, without gathering the column in one task; null values are left out.
 
-    Equal-width bins locate the one or two middle ranks. Only the values of
-    those bins are then counted, and distinct values of a bin are few for a
-    column that was rounded.
+    Radix passes over the order of doubles: the first bins values by sign and power of two, the later ones cut the bin of the middle
+    rank into ``bins`` equal parts, from its least to its largest value. Each pass is one grouped count of at most
+    some thousand rows; an outlier has a bin of its own, and a bin of one distinct value ends the search.
+    ``df`` should be a stored table, as each pass reads it.
     """
     values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), n_rows().alias("n"))
-    low = bounds.select("lo").scalar()
-    high = bounds.select("hi").scalar()
-    total = bounds.select("n").scalar()
-    width = F.nullif(high - low, F.lit(0.0))
-    bin_of = F.coalesce(F.least(F.floor((F.col("v") - low) / width * bins), F.lit(bins - 1)),
-                        F.lit(0))
-    binned = values.withColumn("bin", bin_of)
-    per_bin = binned.groupBy("bin").agg(n_rows().alias("n")).withColumn(
-        "upto", F.sum("n").over(Window.orderBy("bin")))  # at most ``bins`` rows
-    first, second = F.floor((total + 1) / 2), F.floor(total / 2) + 1
-    before = F.col("upto") - F.col("n")
-    middle = per_bin.filter((F.col("upto") >= first) & (before < second)).select(
-        "bin", before.alias("before"))
-    ranked = (
-        binned.join(F.broadcast(middle), "bin").groupBy("bin", "before", "v").agg(n_rows().alias("n"))
-        .withColumn("upto", F.col("before") + F.sum("n").over(
-            Window.partitionBy("bin").orderBy("v")))
-    )
-    hit = [F.min(F.when(F.col("upto") >= rank, F.col("v"))) for rank in (first, second)]
-    return ranked.agg(((hit[0] + hit[1]) / 2).alias("median")).scalar()
+    size = F.abs(F.col("v"))
+    power = (F.when(F.isnan("v"), 5_000).when(size == float("inf"), 4_000).when(size == 0, 0)
+             .otherwise(F.floor(F.log2(size)) + 2_000).cast("int"))
+    bin_of = F.when((F.col("v") < 0) & ~F.isnan("v"), -power).otherwise(power)
+    rank = None
+    while True:
+        found = sorted(tuple(r) for r in values.groupBy(bin_of.alias("bin")).agg(
+            n_rows().alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+        if rank is None:
+            total = sum(n for _, n, _, _ in found)
+            if not total:
+                return F.lit(None).cast("double")
+            # ranks from 0; an odd number of values has one middle
+            rank, two = (total - 1) // 2, total % 2 == 0
+        before = 0
+        for at, (_, n, low, high) in enumerate(found):
+            if rank < before + n:
+                break
+            before += n
+        if two and rank == before + n - 1:
+            return F.lit((high + found[at + 1][2]) / 2)   # the last of this bin and the first of the next
+        if not low < high:
+            return F.lit(float(low))
+        values = values.filter(F.col("v").between(low, high))
+        rank -= before
+        bin_of = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
 
 
 def similarity_report(sim: DataFrame, books: DataFrame) -> DataFrame:

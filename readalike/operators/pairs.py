@@ -11,7 +11,7 @@ the table. So users are split by their rating count:
   by lookups, only the second kind is paired, in cells of bounded size.
 
 ``co_rated_pairs`` is complete. Rankings and thresholds of two or more common raters use
-``_counting_pairs``: exact for every pair with two or more common raters, and for every
+``pair_sums``: exact for every pair with two or more common raters, and for every
 pair of light users; ``_single_heavy_pairs`` adds what a ranking can still need.
 """
 
@@ -113,8 +113,9 @@ def _cell_pairs(ratings: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _heavy_contributions(split: RaterSplit, light_pairs: DataFrame) -> DataFrame:
-    """Heavy users' part of every pair that has two or more common raters."""
+def _heavy_contributions(split: RaterSplit, known: DataFrame) -> DataFrame:
+    """Heavy users' part of every pair that has two or more common raters. ``known``: the pairs of light users,
+    a stored table, of which only those between books of heavy users take part in the lookups."""
     heavy = split.heavy
     raters = heavy.groupBy("isbn").agg(F.count(F.lit(1)).alias("heavy_raters"))
     heavy = heavy.join(raters, "isbn")
@@ -125,7 +126,9 @@ def _heavy_contributions(split: RaterSplit, light_pairs: DataFrame) -> DataFrame
     both_shared = _cell_pairs(
         shared.select("user_id", "isbn", *_values(shared)).join(counts, "user_id"), split.limit)
 
-    known = light_pairs.select("isbn_a", "isbn_b").distinct()
+    # narrow keys first: most pairs have a book that no heavy user rated
+    for side in "ab":
+        known = known.join(raters.select(F.col("isbn").alias(f"isbn_{side}")), f"isbn_{side}", "left_semi")
     # isbn_a has one heavy rater: did that one rate isbn_b too?
     first_single = (
         known.join(_side(single, "a"), "isbn_a")
@@ -149,16 +152,9 @@ def co_rated_pairs(split: RaterSplit) -> DataFrame:
     return light.unionByName(_cell_pairs(split.heavy, split.limit))
 
 
-def _counting_pairs(split: RaterSplit) -> DataFrame:
-    """``co_rated_pairs`` without the pairs that a single heavy user alone has rated."""
-    light = _plain_pairs(split.light)
-    return light.unionByName(_heavy_contributions(split, light)) if split.has_heavy else light
-
-
-def pair_sums(split: RaterSplit, exhaustive: bool = False) -> DataFrame:
-    """Sums per unordered pair: of the values and, where ratings carry a centred one, of its
+def _sums(pairs: DataFrame) -> DataFrame:
+    """Per pair: common raters, sums of the values and, where ratings carry a centred one, of its
     products. The optimizer prunes what nobody reads."""
-    pairs = co_rated_pairs(split) if exhaustive else _counting_pairs(split)
     sums = [F.count(F.lit(1)).alias("common_raters"),
             F.sum("value_a").alias("sum_a"), F.sum("value_b").alias("sum_b")]
     if "adj_a" in pairs.columns:
@@ -167,6 +163,22 @@ def pair_sums(split: RaterSplit, exhaustive: bool = False) -> DataFrame:
     return pairs.groupBy("isbn_a", "isbn_b").agg(*sums)
 
 
+def pair_sums(split: RaterSplit, exhaustive: bool = False) -> DataFrame:
+    """Sums per unordered pair; unless ``exhaustive``, without the pairs that a single heavy user alone has rated.
+
+    Light users' pairs are expanded once: their sums are stored, and the heavy route reads its known pairs from there.
+    """
+    if exhaustive:
+        return _sums(co_rated_pairs(split))
+    light = _sums(_plain_pairs(split.light))
+    if not split.has_heavy:
+        return light
+    light = Store(split.heavy.sparkSession).write(light)
+    heavy = _sums(_heavy_contributions(split, light.select("isbn_a", "isbn_b")))
+    added = [F.sum(name).alias(name) for name in light.columns if not name.startswith("isbn_")]
+    return light.unionByName(heavy).groupBy("isbn_a", "isbn_b").agg(*added)
+
+
 @dataclass
 class PairTable:
     """Pair sums of one ratings table, stored: similarities and rankings start from them, so the
@@ -227,20 +239,39 @@ def _single_heavy_pairs(heavy: DataFrame, known: DataFrame, order: list[Column],
     )
 
 
-def _co_ratings_of(seeds: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Co-ratings of a few seeds: their raters, then those raters' other books."""
+def _co_ratings_of(seeds: DataFrame, ratings: DataFrame, limit: int) -> DataFrame:
+    """Co-ratings of a few seeds: their raters, then those raters' other books.
+
+    The books of a user with more than ``limit`` ratings are dealt to chunks of about that many, and the user's seeds go to each
+    of them, so that no key holds more than ``limit`` ratings times the few seeds.
+    """
     raters = (
         ratings.join(F.broadcast(seeds), F.col("isbn") == F.col("seed_isbn"))
         .select("user_id", "seed_isbn")
     )
+    heavy = rating_counts_per_user(ratings).filter(F.col("user_n") > limit)
+    key, left, right = ["user_id"], raters, ratings
+    if not heavy.isEmpty():
+        chunks = Store(ratings.sparkSession).write(heavy.join(raters, "user_id", "left_semi").select(
+            "user_id", F.ceil(F.col("user_n") / limit).cast("int").alias("chunks")))
+        key = ["user_id", "chunk"]
+        left, right = (side_with_chunks(side, chunks) for side in (raters, ratings))
+        left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        right = right.withColumn("chunk", F.pmod(F.xxhash64("isbn"), F.col("chunks")).cast("int"))
     return (
-        raters.join(ratings, "user_id")
+        left.join(right, key)
         .filter(F.col("isbn") != F.col("seed_isbn"))
         .groupBy("seed_isbn", "isbn")
         .agg(F.count(F.lit(1)).alias("co_raters"), F.sum("value").alias("rating_sum"))
     )
 
 
+def side_with_chunks(side: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows with their user's number of chunks, one for users that aren't heavy. A heavy user has more than
+    ``limit`` ratings, so there are few; adaptive execution broadcasts their table or splits the key."""
+    return side.join(chunks, "user_id", "left").fillna(1, subset=["chunks"])
+
+
 def ranked_co_ratings(seeds: DataFrame, ratings: DataFrame, by: str, k: int,
                       index: DataFrame | None = None,
                       limit: int = params.LIGHT_USER_RATINGS,
@@ -257,7 +288,7 @@ def ranked_co_ratings(seeds: DataFrame, ratings: DataFrame, by: str, k: int,
     seeds = seeds.select("seed_isbn").distinct()
     if table is None and at_most(seeds, few):
         valued = ratings.select("user_id", "isbn", F.col("rating").alias("value"))
-        index, directed = None, _co_ratings_of(seeds, valued)
+        index, directed = None, _co_ratings_of(seeds, valued, limit)
     else:
         narrow = ratings.select("user_id", "isbn", "rating")
         table = table or pair_table(narrow, Store(ratings.sparkSession), index, limit)

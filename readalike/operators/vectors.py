@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,10 @@ from pyspark.sql import types as T
 from readalike import params
 from readalike.functions.text import is_blank, title_by_author
 from readalike.operators.ranking import top_k
+from readalike.sources.store import Store
+
+
+Encoder = Callable[[pd.Series], np.ndarray]
 
 
 def embedding_text(enriched: DataFrame) -> DataFrame:
@@ -32,34 +35,59 @@ def embedding_text(enriched: DataFrame) -> DataFrame:
     return enriched.select("isbn", text.alias("text"))
 
 
-def encode(df: DataFrame, col: str = "text",
-           encoder: Callable[[pd.Series], np.ndarray] | None = None,
-           dim: int | None = None) -> DataFrame:
+def hashed_tf_idf(texts: DataFrame, dim: int) -> DataFrame:
+    """(isbn, embedding): counts of a text's words in ``dim`` hash buckets times the inverse document
+    frequency of the bucket, ln((documents + 1) / (documents with it + 1)).
+
+    Counts combine before their shuffle; frequencies are a table of ``dim`` rows.
+    """
+    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\w+"), F.lit(0)))
+    bucket = F.pmod(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    counts = texts.select("isbn", word.alias("word")).groupBy("isbn", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    total = texts.agg(F.count(F.lit(1))).scalar()
+    weights = counts.groupBy("bucket").agg(F.log((total + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("idf"))
+    pairs = counts.join(F.broadcast(weights), "bucket").groupBy("isbn").agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", (F.col("n") * F.col("idf")).alias("weight")))).alias("weights"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
+        F.try_element_at("weights", i), F.lit(0.0)))
+    nothing = F.array_repeat(F.lit(0.0), dim)
+    return texts.select("isbn").join(pairs, "isbn", "left").select(
+        "isbn", F.when(F.col("weights").isNull(), nothing).otherwise(places).alias("embedding"))
+
+
+def _checked(make_encoder: Callable[[], Encoder], dim: int | None) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        encoder = make_encoder()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            rows = np.asarray(encoder(pd.Series(texts)), dtype=np.float32)
+            if rows.ndim != 2 or len(rows) != len(texts) or rows.shape[1] != (dim or rows.shape[1]):
+                raise ValueError(f"the encoder gave {rows.shape} for {len(texts)} texts of {dim} values")
+            return rows
+
+        return predict
+
+    return make
+
+
+def encode(df: DataFrame, col: str = "text", encoder: Encoder | None = None, dim: int | None = None,
+           make_encoder: Callable[[], Encoder] | None = None, batch_size: int = params.ENCODE_BATCH_TEXTS) -> DataFrame:
     """(isbn, embedding): unit vectors of ``dim`` floats.
 
-    ``encoder`` turns a batch of texts into a (rows, dim) array, which is checked, and runs in
-    Arrow batches inside the tasks; without ``dim`` any width will do. Without an encoder: hashed term counts weighted by
-    inverse document frequency.
+    An encoder turns a batch of texts into a (rows, dim) array, which is checked; without ``dim`` any width
+    will do. ``make_encoder`` makes one, which each Python worker does once and keeps for all its batches, so a model is
+    loaded where it is used and never sent with a task; a light encoder can be given itself. Without either: hashed
+    term counts weighted by inverse document frequency, in ``params.EMBEDDING_DIM`` buckets.
     """
-    if encoder is None:
-        texts = df.select("isbn", F.coalesce(F.col(col), F.lit("")).alias("_text"))
-        stages = [
-            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+"),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim or params.EMBEDDING_DIM),
-            IDF(inputCol="_counts", outputCol="_vector"),
-        ]
-        weighted = Pipeline(stages=stages).fit(texts).transform(texts)
-        vectors = weighted.select("isbn", vector_to_array("_vector").alias("embedding"))
+    texts = df.select("isbn", F.coalesce(F.col(col), F.lit("")).alias("text"))
+    if encoder is not None:
+        def make_encoder() -> Encoder:
+            return encoder
+    if make_encoder is None:
+        vectors = hashed_tf_idf(texts, dim or params.EMBEDDING_DIM)
     else:
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in batches:
-                rows = np.asarray(encoder(texts), dtype=np.float32)
-                if rows.ndim != 2 or len(rows) != len(texts) or rows.shape[1] != (dim or rows.shape[1]):
-                    raise ValueError(f"the encoder gave {rows.shape} for {len(texts)} texts of {dim} values")
-                yield pd.Series(list(rows))
-
-        vectors = df.select("isbn", run(F.coalesce(F.col(col), F.lit(""))).alias("embedding"))
+        run = predict_batch_udf(_checked(make_encoder, dim), return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+        vectors = texts.select("isbn", run("text").alias("embedding"))
     unit = l2_normalize(vectors, "embedding")
     return unit.withColumn("embedding", F.col("embedding").cast("array<float>"))
 
@@ -135,48 +163,138 @@ def _block_top_k(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def _nearest_pivot(pivots: np.ndarray, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to every vector its nearest pivot and the distance from it."""
+    squares = (pivots * pivots).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
+            apart = squares - 2.0 * (x @ pivots.T)
+            cluster = apart.argmin(axis=1)
+            far = np.linalg.norm(x - pivots[cluster], axis=1)
+            yield pa.RecordBatch.from_pydict({
+                "isbn": batch.column("isbn"), "embedding": batch.column("embedding"),
+                "cluster": cluster.astype(np.int32), "far": far})
+
+    return run
+
+
+def _open_clusters(pivots: np.ndarray, radius: np.ndarray, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(seed_isbn, cluster): clusters that can hold a vector whose product with the seed reaches ``least``.
+
+    A member x of a cluster around p has q.x = q.p + q.(x - p) <= q.p + |q| radius.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = batch.column("seed_embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
+            least = batch.column("least").to_numpy(zero_copy_only=False)
+            norm = np.linalg.norm(q, axis=1)[:, None]
+            most = q @ pivots.T + norm * radius
+            # room for the rounding of scores and of the sums here
+            room = 1e-8 * (1.0 + norm * (np.linalg.norm(pivots, axis=1) + np.maximum(radius, 0.0)))
+            rows, cluster = np.nonzero((most + room >= least[:, None]) & (radius >= 0.0))
+            yield pa.RecordBatch.from_pydict({
+                "seed_isbn": batch.column("seed_isbn").take(pa.array(rows)),
+                "seed_embedding": batch.column("seed_embedding").take(pa.array(rows)),
+                "home": batch.column("home").take(pa.array(rows)), "own_block": batch.column("own_block").take(pa.array(rows)),
+                "cluster": cluster.astype(np.int32)})
+
+    return run
+
+
+def _products(left: DataFrame, right: DataFrame, cell: list[str], k: int, dim: int) -> DataFrame:
+    """Best ``k`` of each cell's items for each of its seeds, one matrix product a cell."""
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
+        _block_top_k(k, dim), "seed_isbn string, isbn string, score double")
+
+
+def _hash_part(key: str, parts: Column | int) -> Column:
+    return F.pmod(F.xxhash64(key), parts if isinstance(parts, Column) else F.lit(parts)).cast("int")
+
+
+@dataclass
+class BlockReport:
+    """How many (seed, block) products were made, of how many that there are."""
+    compared: int
+    possible: int
+
+
 def knn(items: DataFrame, seeds: DataFrame, k: int,
-        block_bytes: int = params.VECTOR_BLOCK_BYTES) -> DataFrame:
+        block_bytes: int = params.VECTOR_BLOCK_BYTES, pivots: int = params.VECTOR_PIVOTS,
+        store: Store | None = None, reports: list[BlockReport] | None = None) -> DataFrame:
     """Exact ``k`` nearest items of each seed by inner product, itself included.
 
-    ``items``: (isbn, embedding); ``seeds``: (seed_isbn), those with a vector
-    answer. Items without a vector are left out; vectors of unequal length are an error, counted
-    before any work. Both sides are hashed into blocks of about ``block_bytes`` and
-    every seed block meets every item block once, as one matrix product that
-    returns only its best ``k`` per seed. With B rows to a block, sides of S and N rows move
-    2 * S * N / B vectors, in the precision in which they are stored; no pair is ever a row
-    before the cut. Returns seed_isbn, isbn, score (9 decimals), rank.
+    ``items``: (isbn, embedding); ``seeds``: (seed_isbn), those with a vector answer. Items without a vector
+    are left out; vectors of unequal length are an error, counted before any work.
+
+    Items that fit in one block of ``block_bytes`` meet all seeds as one matrix product per
+    seed block. More of them are clustered around ``pivots`` items chosen by hash, and a cluster is cut into blocks:
+
+    1. A seed meets the block that its own vector lies in: its k-th score there is a bound.
+    2. A cluster whose product with the seed can't reach the bound (pivot's product + seed's
+       length x cluster's radius) is skipped; the seed meets the blocks of the others.
+
+    Every product returns only its best ``k`` per seed, so no pair is a row before the cut. Pivots, radii and counts
+    are a table of ``pivots`` rows, whatever the data. Without any cluster skipped, S seeds
+    and N items move 2 * S * N / B vectors for B rows to a block. ``reports`` gets what was compared, at the cost of a count.
+    Returns seed_isbn, isbn, score (9 decimals), rank.
     """
     vectors = items.select("isbn", "embedding").filter(F.col("embedding").isNotNull())
-    first = vectors.select(F.size("embedding")).first()
-    dim = first[0] if first else 1
-    check_dim(vectors, dim)
+    length = F.size("embedding")
+    shape = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("dim"), F.count_if(F.exists(
+        "embedding", lambda x: x.isNull())).alias("gaps"), F.min(length).alias("least")).first()
+    dim = shape.dim or 1
+    if shape.n and (shape.gaps or shape.least != dim):
+        check_dim(vectors, dim)
     width = 4 if dict(vectors.dtypes)["embedding"] == "array<float>" else 8
     block_rows = max(1, block_bytes // (width * max(1, dim)))
     wanted = seeds.select("seed_isbn").distinct()
-    seed_vectors = vectors.select(
-        F.col("isbn").alias("seed_isbn"), F.col("embedding").alias("seed_embedding")
-    ).join(wanted, "seed_isbn", "left_semi")
-
-    def blocks(df: DataFrame) -> Column:
-        rows = df.agg(F.count(F.lit(1))).scalar()
-        return F.greatest(F.ceil(rows / block_rows), F.lit(1)).cast("int")
-
-    item_blocks, seed_blocks = blocks(vectors), blocks(wanted)
-
-    def own_block(key: str, blocks: Column) -> Column:
-        return F.pmod(F.xxhash64(key), blocks).cast("int")
-
-    def every_block(blocks: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), blocks - 1))
-
-    left = seed_vectors.select(
-        "seed_isbn", "seed_embedding", own_block("seed_isbn", seed_blocks).alias("seed_block"),
-        every_block(item_blocks).alias("item_block"))
-    right = vectors.select(
-        "isbn", "embedding", own_block("isbn", item_blocks).alias("item_block"),
-        every_block(seed_blocks).alias("seed_block"))
-    cell = ["seed_block", "item_block"]
-    best = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
-        _block_top_k(k, dim), "seed_isbn string, isbn string, score double")
-    return top_k(best, ["seed_isbn"], [F.desc("score"), F.asc("isbn")], k)
+    order = [F.desc("score"), F.asc("isbn")]
+
+    if shape.n <= block_rows:
+        seed_vectors = vectors.select(
+            F.col("isbn").alias("seed_isbn"), F.col("embedding").alias("seed_embedding")).join(wanted, "seed_isbn", "left_semi")
+        parts = max(1, -(-shape.n // params.SEED_BLOCK_ROWS))
+        left = seed_vectors.withColumn("part", _hash_part("seed_isbn", parts))
+        right = vectors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return top_k(_products(left, right, ["part"], k, dim), ["seed_isbn"], order, k)
+
+    store = store or Store(items.sparkSession)
+    chosen = vectors.orderBy(F.xxhash64("isbn"), "isbn").limit(max(1, pivots)).collect()
+    centres = np.array([r.embedding for r in chosen], np.float64)
+    schema = T.StructType([*vectors.select("isbn", "embedding").schema, T.StructField("cluster", T.IntegerType()),
+                           T.StructField("far", T.DoubleType())])
+    assigned = store.write(vectors.mapInArrow(_nearest_pivot(centres, dim), schema))
+    clusters = {r.cluster: r for r in assigned.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
+    radius = np.array([clusters[c].radius if c in clusters else -1.0 for c in range(len(centres))])
+    blocks = [-(-clusters[c].n // block_rows) if c in clusters else 1 for c in range(len(centres))]
+    blocks_of = F.element_at(F.array(*[F.lit(n) for n in blocks]), F.col("cluster") + 1)
+    placed = assigned.select("isbn", "embedding", "cluster", _hash_part("isbn", blocks_of).alias("block"))
+    asked = store.write(placed.join(wanted.withColumnRenamed("seed_isbn", "isbn"), "isbn", "left_semi").select(
+        F.col("isbn").alias("seed_isbn"), F.col("embedding").alias("seed_embedding"), "cluster", "block"))
+    n_seeds = asked.count()
+    parts = max(1, -(-n_seeds // block_rows))
+    cell = ["cluster", "block", "part"]
+
+    def products(left: DataFrame) -> DataFrame:
+        """Only the cells that a seed has: their list is as short as there are blocks."""
+        left = store.write(left.withColumn("part", _hash_part("seed_isbn", parts)))
+        cells = store.write(left.select(*cell).distinct())
+        return store.write(_products(left, placed.join(cells, ["cluster", "block"]), cell, k, dim))
+
+    near = products(asked)
+    least = top_k(near, ["seed_isbn"], order, k).filter(F.col("rank") == k).select("seed_isbn", F.col("score").alias("least"))
+    bounded = asked.join(least, "seed_isbn", "left").select(
+        "seed_isbn", "seed_embedding", F.col("cluster").alias("home"), F.col("block").alias("own_block"),
+        F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    schema = T.StructType([f for f in bounded.schema if f.name != "least"] + [T.StructField("cluster", T.IntegerType())])
+    reached = bounded.mapInArrow(_open_clusters(centres, radius, dim), schema)
+    others = reached.withColumn("block", F.explode(F.sequence(F.lit(0), blocks_of - 1))).filter(
+        (F.col("cluster") != F.col("home")) | (F.col("block") != F.col("own_block"))).drop("home", "own_block")
+    if reports is not None:
+        others = store.write(others)
+        reports.append(BlockReport(n_seeds + others.count(), n_seeds * sum(
+            n for c, n in enumerate(blocks) if c in clusters)))
+    return top_k(near.unionByName(products(others)), ["seed_isbn"], order, k)

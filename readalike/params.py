@@ -86,7 +86,12 @@ STRATEGIES = (
 # Physical limits. They change plans, never results.
 HOT_SHARE = 1_000             # a key with more than 1 / this of the rows is joined by broadcast (or 1 / partitions)
 LIGHT_USER_RATINGS = 10_000   # a user above this is paired by the heavy-user route
-RARE_TAG_BOOKS = 1_000        # a tag above this is compared per tag signature
+TAG_PROBES = 4                # of a book's rarest tags, for the first bound of its list
 VECTOR_BLOCK_BYTES = 8 << 20   # bytes of vectors per block of the blocked inner product
+ENCODE_BATCH_TEXTS = 256      # texts of one call of a supplied encoder
+CACHE_BUCKETS = 64            # folders of the stored metadata cache
+SEED_BLOCK_ROWS = 4_096       # seeds of a product with the only block
+VECTOR_PIVOTS = 64            # clusters of vectors, where there is more than a block
 FEW_SEEDS = 500               # up to this many seeds are broadcast and looked up
+TITLE_CHUNK = 4_096           # titles of a posting cell at most
 SCAN_QUERIES = 64             # up to this many search texts are broadcast

@@ -318,7 +318,9 @@ def _(w: Workspace) -> DataFrame:
 @query("upsert_metadata")
 def _(w: Workspace) -> DataFrame:
     fetched = w.metadata.join(w.books.select("isbn"), "isbn", "left_semi")
-    return _joined_subjects(enrich.upsert_cache(w.cache(), fetched))
+    path = w.store.folder("metadata_cache")
+    enrich.write_cache(w.cache(), path)
+    return _joined_subjects(enrich.upsert_cache_table(w.spark, path, fetched, w.store))
 
 
 @query("enrich_books")
@@ -340,7 +342,9 @@ def _(w: Workspace) -> DataFrame:
 
 @query("encode_text")
 def _(w: Workspace) -> DataFrame:
-    return vectors.encode(vectors.embedding_text(w.enriched))
+    """The places of each vector that aren't 0."""
+    encoded = vectors.encode(vectors.embedding_text(w.enriched)).select("isbn", F.posexplode("embedding").alias("pos", "value"))
+    return encoded.withColumn("value", F.round(F.col("value").cast("double"), 6)).filter("value <> 0")
 
 
 @query("l2_normalize")
@@ -366,6 +370,13 @@ def _(w: Workspace) -> DataFrame:
     return vectors.knn(items, items.select(F.col("isbn").alias("seed_isbn")), params.TOP_K)
 
 
+@query("knn_inner_product_blocks")
+def _(w: Workspace) -> DataFrame:
+    items = w.raw("book_embeddings")
+    return vectors.knn(items, items.select(F.col("isbn").alias("seed_isbn")), params.TOP_K,
+                       block_bytes=1 << 14, pivots=16, store=w.store)
+
+
 # strategies
 
 @query("readers_also")
@@ -439,13 +450,13 @@ def _(w: Workspace) -> DataFrame:
 @query("search_books")
 def _(w: Workspace) -> DataFrame:
     titles = w.raw("raw_books").select(F.col("title").alias("query"))
-    return _round(lookup.search_books(titles, w.stats), "bayesian_rating")
+    return _round(lookup.search_books(titles, w.title_index), "bayesian_rating")
 
 
 @query("search_books_by_word")
 def _(w: Workspace) -> DataFrame:
     words = w.raw("raw_books").select(F.explode(F.split(F.trim("title"), " ")).alias("query"))
-    return _round(lookup.search_books(words.distinct(), w.stats), "bayesian_rating")
+    return _round(lookup.search_books(words.distinct(), w.title_index), "bayesian_rating")
 
 
 @query("get_books")
@@ -459,7 +470,7 @@ def _(w: Workspace) -> DataFrame:
     nothing = F.lit(None).cast("string")
     requests = raw.select(F.col("isbn").alias("request_isbn"), nothing.alias("request_title")).union(
         raw.select(nothing, F.col("title")).distinct())
-    return _round(lookup.resolve_seeds(requests, w.stats), "bayesian_rating")
+    return _round(lookup.resolve_seeds(requests, w.title_index), "bayesian_rating")
 
 
 @query("recommend_all")
@@ -521,7 +532,7 @@ def _(w: Workspace) -> DataFrame:
 @query("subject_jaccard_hot_tags")
 def _(w: Workspace) -> DataFrame:
     return baselines.subject_jaccard(
-        w.seeds, w.enriched, index=w.index, store=w.store, rare_limit=100)
+        w.seeds, w.enriched, index=w.index, store=w.store, probes=1)
 
 
 @query("author_or_subject")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from readalike import params
 from readalike.operators import clean, enrich, explore, features, strategies, vectors
+from readalike.operators.lookup import TitleIndex, title_index
 from readalike.operators.pairs import PairTable, pair_table
 from readalike.sources.store import Store
 from readalike.sources.views import role_view
@@ -80,6 +81,10 @@ class Workspace:
         return self.store.write(features.age_group_top_books(
             self.ratings, self.users, self.stats), "age_group_top_books")
 
+    @cached_property
+    def title_index(self) -> TitleIndex:
+        return title_index(self.stats, self.store)
+
     # text and vectors
     def payloads(self) -> DataFrame:
         """Fetched responses as JSON text; every other description is an object."""

@@ -30,14 +30,14 @@ def brute_jaccard(data, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("rare_limit", [0, 4, 25, 1000])
-def test_jaccard_is_exact_for_any_rare_limit(spark, store, rare_limit):
+@pytest.mark.parametrize("probes", [0, 2, 20])
+def test_jaccard_is_exact_for_any_number_of_probes(spark, store, probes):
     for seed, k in ((1, 3), (2, 8)):
         data = tagged(seed)
         enriched = spark.createDataFrame(data, "isbn string, subjects string")
         seeds = enriched.select(F.col("isbn").alias("seed_isbn"))
         got = rows(baselines.subject_jaccard(
-            seeds, enriched, k, index=item_index(store, enriched), rare_limit=rare_limit))
+            seeds, enriched, k, index=item_index(store, enriched), probes=probes))
         expected = brute_jaccard(data, k)
         assert [r[:3] for r in got] == [r[:3] for r in expected]
         assert [r[3] for r in got] == pytest.approx([r[3] for r in expected], abs=1.1e-6)

@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -12,7 +13,9 @@ RATINGS = "user_id int, isbn string, rating int"
 
 @pytest.mark.parametrize("values", [
     [1.0], [1.0, 2.0], [0.5] * 30 + [0.1, 0.9], [round(random.Random(i).random(), 3) for i in range(101)],
-    [round(random.Random(i).random(), 2) for i in range(100)]])
+    [round(random.Random(i).random(), 2) for i in range(100)], [1e300] + [random.Random(i).gauss(0, 1) for i in range(200)],
+    [-1e300, 1e300, 5e-324, -5e-324], [0.0, -0.0, 0.0], [float("inf"), 2.0, 3.0], [float("-inf"), -2.0, -3.0, -2.5],
+    [-7.0] * 9 + [7.0] * 9, [math.ldexp(random.Random(i).random(), i % 60 - 30) for i in range(301)]])
 def test_exact_median(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
     for bins in (2, 65_536):

@@ -28,6 +28,24 @@ def test_search(spark, stats, scan_limit):
         "a.b": ["4"], "c++": ["4"], "x": ["5"]}
 
 
+def test_no_cell_of_the_index_is_above_its_bound(spark, store):
+    """A gram in all titles, asked for by many queries."""
+    titles = [(f"{k:04d}", f"{'the ring' if k % 3 else 'ring the'} no {k % 50}", "a", k % 97, 5.0) for k in range(600)]
+    books = spark.createDataFrame(titles, STATS)
+    index = lookup.title_index(books, store, 32)
+    sizes = [r[0] for r in index.cells.select(F.size("numbers")).collect()]
+    assert max(sizes) <= 32 and index.counts.filter("gram = 'rin'").first()["n"] == 600
+    asked = ["ring", "the", "ring the", "e", "ng no 4", "no 49", "in", "the ring no 7", "ring no 12", "x", "the rung"] + [
+        f"ring no {k}" for k in range(90)]
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    got = {}
+    for r in lookup.search_books(queries, index, 4, 0, store).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.isbn))
+    for q in asked:
+        hits = sorted((t != q, -n, i) for i, t, _, n, _ in titles if q in t)[:4]
+        assert [i for _, i in sorted(got.get(q, []))] == [i for *_, i in hits]
+
+
 def test_get_books_and_resolution(spark, stats):
     isbns = spark.createDataFrame([("3",), ("3",), ("9",)], "isbn string")
     assert [r[0] for r in rows(lookup.get_books(isbns, stats))] == ["3"]

@@ -42,6 +42,16 @@ def test_edition_ratio_matches_brute_force(spark):
         assert r.n == lcs(r.a, r.b)
 
 
+def test_lcs_of_several_words_of_bits(spark):
+    rng = random.Random(5)
+    pairs = [("a" * 62, "a" * 62), ("a" * 63, "a" * 61), ("ab" * 31, "ba" * 31), ("x" * 124, "y"), ("é" * 70 + "z", "z" + "é" * 70)]
+    for n in (61, 62, 63, 124, 125, 200, 200):
+        pairs.append(tuple("".join(rng.choice("abcdé ") for _ in range(n + rng.randint(-2, 2))) for _ in "ab"))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.withColumn("n", lcs_length(F.col("a"), F.col("b"))).collect():
+        assert r.n == lcs(r.a, r.b), (r.a, r.b)
+
+
 def test_metadata_parsing(spark):
     data = [
         ("s", '{"description": "plain", "subjects": [{"name": "A"}, {"url": "u"}, {"name": "B"}]}'),
@@ -70,6 +80,26 @@ def test_fetch_plan_and_cache(spark, store):
     assert rows(filled) == [("000", "", [])]
 
 
+def test_upsert_replaces_only_the_folders_it_touches(spark, store, tmp_path):
+    schema = "isbn string, description string, subjects array<string>"
+    cache = spark.createDataFrame([(f"i{k:03d}", f"old {k}", ["a", None]) for k in range(200)], schema)
+    new = spark.createDataFrame([("i007", "new", []), ("i900", None, None)], schema)
+    path = str(tmp_path / "cache")
+    enrich.write_cache(cache, path, 16)
+
+    def files():
+        return {str(f.relative_to(path)) for f in (tmp_path / "cache").rglob("*.parquet")}
+
+    before = files()
+    merged = enrich.upsert_cache_table(spark, path, new, store, 16)
+    assert merged.columns == ["isbn", "description", "subjects"]
+    assert rows(merged) == rows(enrich.upsert_cache(cache, new))
+    gone = {f.split("/")[0] for f in before - files()}
+    assert 1 <= len(gone) <= 2 and len(before & files()) >= len(before) - 2
+    again = enrich.upsert_cache_table(spark, path, new.limit(0), store, 16)
+    assert rows(again) == rows(merged) and enrich.read_cache(spark, path).count() == 201
+
+
 def test_enriched_rows_and_text(spark):
     books = spark.createDataFrame(
         [("a", "t", "w"), ("b", "t", None), ("c", "t", ""), ("d", "t", "w")],

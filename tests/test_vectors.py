@@ -1,9 +1,10 @@
+import hashlib
 import math
+import os
 import random
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from readalike.operators import vectors
@@ -48,11 +49,28 @@ def test_knn_is_exact_for_any_block_size(spark, block_bytes):
             (i, pytest.approx(-s, abs=2e-9)) for s, i in expected]
 
 
+def test_blocks_that_cannot_reach_a_list_are_skipped(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 16)) * 4
+    data = [(f"i{i:04d}", (centres[i % 12] + 0.1 * rng.standard_normal(16)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(data, VECTORS)
+    seeds = df.select(F.col("isbn").alias("seed_isbn"))
+    whole = sorted(map(tuple, vectors.knn(df, seeds, 5).collect()))
+    reports = []
+    blocked = sorted(map(tuple, vectors.knn(df, seeds, 5, 64 * 50, reports=reports).collect()))
+    assert [r[:2] + r[3:] for r in blocked] == [r[:2] + r[3:] for r in whole]
+    assert [r[2] for r in blocked] == pytest.approx([r[2] for r in whole], abs=2e-9)
+    assert 0 < reports[0].compared < reports[0].possible / 2
+
+
 def test_default_encoder_is_hashed_tf_idf(spark):
     data = [("a", "Red ring red"), ("b", "blue ring"), ("c", None)]
     df = spark.createDataFrame(data, "isbn string, text string")
     got = {r.isbn: np.array(r.embedding) for r in vectors.encode(df, dim=32).collect()}
-    bucket = HashingTF(numFeatures=32).indexOf
+
+    def bucket(word):
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 32
+
     docs = {i: (t or "").lower().split() for i, t in data}
     seen = {}
     for words in docs.values():
@@ -77,6 +95,23 @@ def test_supplied_encoder(spark):
     assert got["b"] == pytest.approx([1 / math.sqrt(5), 2 / math.sqrt(5)])
 
 
+def test_an_encoder_is_made_once_per_worker(spark, tmp_path):
+    made = str(tmp_path / "made")
+
+    def make():
+        with open(made, "a") as out:
+            print(os.getpid(), file=out)
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    df = spark.range(2000).selectExpr("cast(id as string) AS isbn", "repeat('x', 1 + int(id % 7)) AS text").repartition(6)
+    got = vectors.encode(df, make_encoder=make, dim=2, batch_size=16).collect()
+    assert len(got) == 2000 and got[0].embedding == pytest.approx(
+        np.array([1 + int(got[0].isbn) % 7, 1.0]) / math.hypot(1 + int(got[0].isbn) % 7, 1.0))
+    with open(made) as lines:
+        pids = lines.read().split()
+    assert len(pids) == len(set(pids)) <= 8
+
+
 def test_dot_products_keep_partition_independence(spark):
     df = spark.createDataFrame(items(40, 4, 3), VECTORS)
     seeds = df.select(F.col("isbn").alias("seed_isbn"))
