@@ -307,14 +307,20 @@ def heavy_links(heavy: DataFrame, packed: DataFrame, store: Store) -> DataFrame:
     return filled.groupBy("shingle", "i", "j").applyInArrow(cell_links, _LINK)
 
 
-def links(docs: DataFrame, counts: np.ndarray, store: Store) -> DataFrame:
-    """Verified links (a, b, overlap) between the smallest ids of distinct sets, which connect every component."""
-    rows = matrix_rows(docs, counts)
-    entries = store.write(shared_entries(rows.select(F.explode("prefix").alias("shingle"), "member", "n")))
+def links(docs: DataFrame, rows: DataFrame, counts: np.ndarray, store: Store) -> DataFrame:
+    """Verified links (a, b, overlap) between the smallest ids of distinct sets, which connect every component;
+    ``rows`` and ``counts`` are those of ``counted_rows``."""
+    block = matrix_rows(docs, counts)
+    entries = store.write(shared_entries(block.select(F.explode("prefix").alias("shingle"), "member", "n")))
     entries = full_rows(entries, store)
     members = store.write(entries.select("member").distinct())
-    packed = packed_sets(docs.filter("doc_id IS NOT NULL"), id_bitmap(members, members.count()))
-    packed = store.write(packed.join(members, "member", "left_semi").dropDuplicates(["member", "codes"]))
+    bitmap = id_bitmap(members, members.count())
+    packed = packed_sets(docs.filter("doc_id IS NOT NULL"), bitmap)
+    if len(bitmap) << 5 == FILTER_BITS:
+        packed = packed.join(members, "member", "left_semi")     # a full bitmap lets too many pass
+    if not rows.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        packed = packed.dropDuplicates(["member", "codes"])
+    packed = store.write(packed)
 
     found = store.write(verified(store.write(centre_pairs(entries)), packed))
     joined = components(found, store)
@@ -334,7 +340,7 @@ def jaccard_components(docs: DataFrame, store: Store) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document row."""
     read = with_package(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows, counts = counted_rows(read, store)
-    found = links(read, counts, store)
+    found = links(read, rows, counts, store)
 
     sets_of = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("copies"))

@@ -87,9 +87,9 @@ def test_odd_rows(spark, store, odd_docs, no_docs):
 def test_links_are_verified_and_connect(spark, store):
     texts = variants(3, 60, 80, 4)
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    _, counts = j.counted_rows(docs, store)
+    rows, counts = j.counted_rows(docs, store)
     sets = [shingle_set(t) for t in texts]
-    for r in j.links(docs, counts, store).collect():
+    for r in j.links(docs, rows, counts, store).collect():
         same = len(sets[r.a] & sets[r.b])
         assert r.a < r.b and r.overlap == same and 100 * same >= 80 * len(sets[r.a] | sets[r.b])
 
