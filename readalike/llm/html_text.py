@@ -3,12 +3,15 @@
 A page becomes its text blocks in order, each with the tag path from the root to it. Tags that
 only format a run of text (bold, links and the like) belong to no path. For each path
 the blocks' text lengths (without link text) and punctuation marks are summed and
-divided by the number of blocks; every block gets its path's two ratios, both are smoothed along
-the page and fused to one. A path of which a block reaches a share of the page's highest value is
-content, and so is what stands between the blocks of such paths, or shares the part of the page (an
-article, or the parent element) that holds the best of them. A path through an element that says it isn't content (navigation, footer,
-form, an advert's or a comment's class and so on) has ratio 0, and one through ``article`` or ``main``
-counts for more than one beside it.
+divided by the number of blocks; every block gets its path's two ratios, both are smoothed among
+neighbours in the same element and fused to one. A path of which a block reaches ``SHARE`` of the page's highest value is
+content where the element around the block holds at least ``PART_SHARE`` of what the best one holds; so is what stands between
+such blocks, or shares the part of the page (an article, or the element around it) that holds the best of them.
+
+Names only help. Outside an article a path through an element that says it isn't content (navigation, footer, form, an advert's class and
+so on) has ratio 0. Within ``article`` or ``main``, whose paths count for more than those beside them, a name must say so as a whole
+("comment-list", not "related-work"), and names that sections of articles have as well ("discussion", "search") only raise a
+doubt, which the share of text in links and the punctuation of the part settle.
 
 Blocks are whole: character references are decoded, white space within a block becomes
 one space, and the chosen blocks are joined by line ends in page order.
@@ -24,8 +27,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,9 @@ from pyspark.sql import functions as F
 
 from readalike.llm.shipping import with_package
 
-SHARE = 0.04                           # of the highest fused value, to be content
+SHARE = 0.1                            # of the highest fused value, for a path to be content
+PART_SHARE = 0.04                      # of the best part's sum of values, for another part of the page
+LINK_SHARE = 0.5                       # of a doubtful part's text in links, to be no content
 SMOOTHING = np.array([0.25, 0.5, 0.25])
 INSIDE_ARTICLE = 8.0
 
@@ -65,6 +70,7 @@ CLOSES_P = frozenset(("address article aside blockquote center details dialog di
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+WALLS = CLOSES_P - {"p"}
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 # Elements that end an open svg or math, and those within which they don't.
 BREAKS_OUT = frozenset(("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta "
@@ -77,25 +83,45 @@ OTHER_NAMES = frozenset((
     "advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal "
     "overlay comment comments commentlist reply replies respond discussion disqus form login signup signin subscribe subscription newsletter "
     "share sharing social related recommended recommendations widget toolbar pagination pager copyright legal disclaimer search skip").split())
-
-
-def says_other(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element says that it isn't content."""
+# Of these names an article has sections too: what they hold decides within one.
+DOUBTFUL_NAMES = frozenset(("discussion discuss related recommended recommendations search share sharing social legal copyright "
+                            "disclaimer header banner reply replies respond alert overlay menu navigation skip form login").split())
+# Parts of a name that say nothing of what an element holds.
+NEUTRAL_NAMES = frozenset(("area block body bottom box col column container content group holder inner item items left line list main "
+                           "new outer page panel post posts right row section site slot the top unit wrap wrapper").split())
+YES, MAYBE, NO = 2, 1, 0
+
+
+def named_other(value: str, in_article: bool) -> int:
+    """What the words of a class or id say. Within an article a word among others ("related-work") says nothing, and
+    one that article sections have as well raises a doubt."""
+    found = NO
+    for token in value.split():
+        parts = {p.lower() for p in _NAME_PART.findall(token)}
+        telling = parts & OTHER_NAMES
+        if telling and not in_article:
+            return YES
+        if telling and parts <= telling | NEUTRAL_NAMES:
+            found = max(found, MAYBE if telling <= DOUBTFUL_NAMES else YES)
+    return found
+
+
+def says_other(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element says that it isn't content: YES, MAYBE or NO."""
     if tag in OTHER_TAGS or (tag == "header" and not in_article):
-        return True
+        return YES
+    found = NO
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return YES
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return YES
         if name == "role" and value.lower() in OTHER_ROLES:
-            return True
+            return YES
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            parts = {p.lower() for p in _NAME_PART.findall(value)}
-            if parts & OTHER_NAMES and not (in_article and parts & {"header", "banner"} and len(parts & OTHER_NAMES) == 1):
-                return True
-    return False
+            found = max(found, named_other(value, in_article))
+    return found
 
 
 def closes_itself(attributes: str) -> bool:
@@ -112,9 +138,18 @@ class Page:
         self.article: list[bool] = [False]
         self.above: list[int] = [0]             # path of the parent; the root is its own
         self.whole: list[bool] = [True]         # root, html and body hold the page, not one part of it
-        self.blocks: list[tuple[int, str, int]] = []
-        # Open elements: tag and the path up to and with it.
-        self.open: list[tuple[str, int]] = [("", 0)]
+        self.doubtful: list[int] = []           # paths of elements whose name raises a doubt
+        # Path, text, its characters outside of links, and the element around the block's own.
+        self.blocks: list[tuple[int, str, int, int]] = []
+        # Open elements: tag, the path up to and with it, number of the element.
+        self.open: list[tuple[str, int, int]] = [("", 0, 0)]
+        # Of each element the number of blocks before it, and before what follows it.
+        self.begins, self.ends = [0], [-1]
+        # Places of open elements by tag, of those that a closing rule stops at, and of those that aren't inline: so a
+        # tag that isn't open, or lies behind such an element, is known without a look at all that is open.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []
+        self.solid: list[int] = [0]
         self.pieces: list[str] = []
         self.link_chars = self.links = at = 0
         self.hidden = 0                          # place of the open head or embedded element around all that follows
@@ -145,27 +180,48 @@ class Page:
             if self.links:
                 self.link_chars += len(piece)
 
+    def push(self, tag: str, path: int) -> None:
+        place = len(self.open)
+        self.open.append((tag, path, len(self.begins)))
+        self.begins.append(len(self.blocks))
+        self.ends.append(-1)
+        self.places[tag].append(place)
+        if tag in WALLS:
+            self.walls.append(place)
+        if tag not in INLINE:
+            self.solid.append(place)
+
+    def cut(self, place: int) -> None:
+        """Close the elements from this place on."""
+        while len(self.open) > place:
+            tag, _, number = self.open.pop()
+            self.ends[number] = len(self.blocks)
+            at = self.places[tag].pop()
+            for stack in (self.walls, self.solid):
+                if stack and stack[-1] == at:
+                    stack.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags, 0 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def show(self) -> None:
         """Leave the head or embedded element; the block before it goes on."""
         if self.hidden:
-            del self.open[self.hidden:]
+            self.cut(self.hidden)
             self.hidden = 0
 
     def foreign(self) -> bool:
         """Whether svg or math is open, and no HTML within it."""
-        for tag, _ in reversed(self.open[self.hidden:] if self.hidden else ()):
-            if tag in HOLDS_HTML:
-                return False
-            if tag in ("svg", "math"):
-                return True
-        return False
+        inner = self.last(("svg", "math"))
+        return bool(self.hidden) and inner >= self.hidden and self.last(HOLDS_HTML) < inner
 
     def appear(self, tag: str) -> None:
         """Leave what cannot hold an element of this tag."""
         if not self.hidden:
             return
         outer = self.open[self.hidden][0]
-        if outer == "head" and not any(t == "template" for t, _ in self.open[self.hidden:]) and tag not in IN_HEAD:
+        if outer == "head" and self.last(("template",)) < self.hidden and tag not in IN_HEAD:
             self.show()
         elif outer == "select" and tag in ("select", "input", "textarea"):
             self.show()
@@ -177,17 +233,18 @@ class Page:
         if tag in VOID or (closes_itself(attributes) and (tag in ("svg", "math") or self.foreign())):
             return
         if self.hidden:
-            self.open.append((tag, self.open[-1][1]))
-        elif tag != "head" or all(t in ("", "html") for t, _ in self.open):
+            self.push(tag, self.open[-1][1])
+        elif tag != "head" or len(self.open) == 1 + len(self.places["html"]):
             self.hidden = len(self.open)
-            self.open.append((tag, self.open[-1][1]))
+            self.push(tag, self.open[-1][1])
 
     def finish(self) -> None:
         """The text so far is a block of the innermost open element."""
         if self.pieces:
             block = " ".join(html.unescape("".join(self.pieces)).split())
             if block:
-                self.blocks.append((self.open[-1][1], block, max(0, len(block) - self.link_chars)))
+                around = self.open[-2][2] if len(self.open) > 1 else 0
+                self.blocks.append((self.open[-1][1], block, max(0, len(block) - self.link_chars), around))
             self.pieces = []
         self.link_chars = 0
 
@@ -201,7 +258,7 @@ class Page:
             self.conceal(tag, attributes)
             return
         self.runs[tag] += tag in INLINE and tag not in VOID
-        if tag in INLINE and not says_other(tag, attributes, True):
+        if tag in INLINE and says_other(tag, attributes, True) != YES:
             self.links += tag == "a"
             if tag in ("br", "wbr", "img"):
                 self.pieces.append(" " if tag != "wbr" else "")
@@ -217,15 +274,18 @@ class Page:
         above = self.open[-1][1]
         inside = self.article[above]
         names = [v for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for v in values if v]
-        other = self.other[above] or says_other(tag, attributes, inside)
+        said = says_other(tag, attributes, inside)
+        other = self.other[above] or said == YES
         key = above, " ".join([tag, *names]), other
         number = self.paths.setdefault(key, len(self.other))
         if number == len(self.other):
+            if said == MAYBE and not other:
+                self.doubtful.append(number)
             self.other.append(other)
             self.article.append(inside or tag in ("article", "main"))
             self.above.append(above)
             self.whole.append(tag in ("html", "body"))
-        self.open.append((tag, number))
+        self.push(tag, number)
 
     def container(self, path: int) -> int:
         """The outermost article or main around a path, else its parent."""
@@ -244,80 +304,101 @@ class Page:
 
     def leave(self, tags: set[str], limits: set[str]) -> None:
         """Close open elements of ``tags`` and what they hold, up to an element of ``limits``."""
-        for k in range(len(self.open) - 1, max(0, len(self.open) - 200), -1):
-            if self.open[k][0] in tags:
-                if k < self.hidden:
-                    self.show()
-                    self.finish()
-                del self.open[k:]
-                return self.leave(tags, limits)
-            if self.open[k][0] in limits or self.open[k][0] in CLOSES_P - {"p"}:
-                return None
-        return None
+        while (place := self.last(tags)) and place >= max(self.last(limits), self.walls[-1] if self.walls else 0):
+            if place < self.hidden:
+                self.show()
+                self.finish()
+            self.cut(place)
 
     def close(self, tag: str) -> None:
+        place = self.last((tag,))
         if self.hidden:
-            k = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k][0] == tag), 0)
-            if k > self.hidden:
-                del self.open[k:]
+            if place > self.hidden:
+                self.cut(place)
                 return
-            if k == self.hidden:
+            if place == self.hidden:
                 self.show()
                 return
-            if not k and not self.runs[tag]:
+            if not place and not self.runs[tag]:
                 return
             self.show()
         self.runs[tag] = max(0, self.runs[tag] - 1)
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
-            for k in range(len(self.open) - 1, 0, -1):     # an inline element that opened a path
-                if self.open[k][0] == tag:
-                    self.finish()
-                    del self.open[k:]
-                    return
-                if self.open[k][0] not in INLINE:
-                    return
+            if place > self.solid[-1]:     # an inline element that opened a path
+                self.finish()
+                self.cut(place)
             return
         self.finish()
         self.links = 0
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if place:
+            self.cut(place)
+
+    def settle_doubts(self) -> None:
+        """A doubtful part whose text is mostly links, or has no punctuation at all, isn't content."""
+        chars, plain, marks = ([0] * len(self.above) for _ in range(3))
+        for path, text, outside, _ in self.blocks:
+            chars[path] += len(text)
+            plain[path] += outside
+            marks[path] += len(_PUNCTUATION.findall(text))
+        for number in range(len(self.above) - 1, 0, -1):    # a path's number is larger than its parent's
+            for total in (chars, plain, marks):
+                total[self.above[number]] += total[number]
+        gone = {part for part in self.doubtful if plain[part] < (1 - LINK_SHARE) * chars[part] or not marks[part]}
+        for number in range(1, len(self.above)):
+            self.other[number] = self.other[number] or self.other[self.above[number]] or number in gone
 
 
 def main_text(source: str) -> str:
     page = Page(source)
     if not page.blocks:
         return ""
+    if page.doubtful:
+        page.settle_doubts()
     path = np.array([b[0] for b in page.blocks])
     chars = np.array([b[2] for b in page.blocks], float)
     marks = np.array([len(_PUNCTUATION.findall(b[1])) for b in page.blocks], float)
+    elements, around = np.unique([b[3] for b in page.blocks], return_inverse=True)
     n = np.maximum(1, np.bincount(path, minlength=len(page.other)))
-    counts = np.where(np.array(page.other)[path], 0.0, np.where(np.array(page.article)[path], INSIDE_ARTICLE, 1.0))
+    article = np.array(page.article)[path]
+    counts = np.where(np.array(page.other)[path], 0.0, np.where(article, INSIDE_ARTICLE, 1.0))
     text_ratio = (np.bincount(path, chars, len(n)) / n)[path] * counts
     mark_ratio = (np.bincount(path, marks, len(n)) / n)[path] * counts
     # Blocks that aren't content take no part, so that a value isn't smoothed across them.
     mine = np.flatnonzero(counts > 0)
     if not len(mine):
         return ""
-    smooth_text, smooth_marks = smoothed(text_ratio[mine]), smoothed(mark_ratio[mine])
+    # Only neighbours in the same element are smoothed: text beside content isn't raised by it.
+    run = np.cumsum(np.append(True, around[mine][1:] != around[mine][:-1]))
+    smooth_text, smooth_marks = smoothed(text_ratio[mine], run), smoothed(mark_ratio[mine], run)
     fused = smooth_text * (1.0 + smooth_marks)
-    # A path is content if one of its blocks is; so is what stands between content blocks, and what
-    # shares the part of the page that holds the best path.
+    best = int(fused.argmax())
+    # A path is content if one of its blocks is, where the part of the page that holds the block is not much less than the best part.
+    mass = np.bincount(around[mine], fused)
+    passing = (fused >= SHARE * fused.max()) & (mass[around[mine]] >= PART_SHARE * mass.max())
     content = np.zeros(len(n), bool)
-    content[path[mine[fused >= SHARE * fused.max()]]] = True
-    part = page.container(int(path[mine[fused.argmax()]]))
-    if not page.whole[part]:
-        content |= page.below(part)
-    inside = np.flatnonzero(content[path[mine]])
-    chosen = mine[inside[0]:inside[-1] + 1]
-    return "\n".join(page.blocks[k][1] for k in chosen)
-
-
-def smoothed(values: np.ndarray) -> np.ndarray:
-    edges = np.concatenate([values[:1], values, values[-1:]])
-    return np.convolve(edges, SMOOTHING, "valid")
+    content[path[mine[passing]]] = True
+    chosen = content[path[mine]] & (mass[around[mine]] >= PART_SHARE * mass.max())
+    # So is what shares the part that holds the best block: an article, or the element around it.
+    part = page.container(int(path[mine[best]]))
+    if article[mine[best]]:
+        chosen |= page.below(part)[path[mine]]
+    elif not page.whole[part]:
+        element = elements[around[mine[best]]]
+        end = page.ends[element]
+        chosen |= page.below(part)[path[mine]] & (mine >= page.begins[element]) & ((mine < end) | (end < 0))
+    chosen[best] = True
+    # And what stands between content blocks.
+    inside = np.flatnonzero(chosen)
+    return "\n".join(page.blocks[k][1] for k in mine[inside[0]:inside[-1] + 1])
+
+
+def smoothed(values: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Weighted mean of each value and its neighbours of the same run; at an end the value stands for the one that is missing."""
+    before, after = np.append(values[:1], values[:-1]), np.append(values[1:], values[-1:])
+    first, last = np.append(True, run[1:] != run[:-1]), np.append(run[1:] != run[:-1], True)
+    return (SMOOTHING[0] * np.where(first, values, before) + SMOOTHING[1] * values
+            + SMOOTHING[2] * np.where(last, values, after))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

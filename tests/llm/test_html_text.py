@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -66,3 +67,37 @@ def test_odd_rows(spark):
     found = [(r["page_id"], r["n_chars"]) for r in html_text.page_texts(pages).collect()]
     assert sorted(found, key=str) == sorted([(1, 0), (None, 1), (None, 1), (2, 1_199_999)], key=str)
     assert html_text.page_texts(pages.limit(0)).count() == 0
+
+
+PROSE = "The quick brown fox, which had slept, jumps over the lazy dog; then it rests. " * 3
+LONG = f"<p>{PROSE}</p>"
+
+
+def test_page_without_a_telling_name():
+    source = ("<body><div><a href=1>Home</a> <a href=2>News and more</a></div><div><p>Side note, short.</p></div>"
+              f"<div><div>{LONG * 6}</div></div><div><p>Other side, here.</p></div><div>Imprint. All rights reserved.</div></body>")
+    assert html_text.main_text(source) == "\n".join([PROSE.strip()] * 6)
+
+
+def test_sections_of_an_article_are_kept_whole_whatever_their_name():
+    kept = [f'<section id="related-work">{LONG}</section>', f'<div class="search-algorithms">{LONG}</div>', f'<div id="discussion">{LONG}</div>',
+            f'<div class="legal"><h2>Law</h2>{LONG}</div>']
+    gone = ['<div class="related"><a href=1>One, two.</a><a href=2>Three.</a></div>', f'<div class="comment-list">{LONG}</div>',
+            f'<div class="newsletter">{LONG}</div>', '<div class="share">Share this</div>', f'<aside>{LONG}</aside>']
+    for order in (kept + gone, gone + kept, [x for pair in zip(kept, gone, strict=False) for x in pair] + gone[4:]):
+        found = html_text.main_text(f"<body><article><h1>Title</h1>{LONG}{''.join(order)}</article></body>").split("\n")
+        assert found == ["Title", *[PROSE.strip()] * 4, "Law", PROSE.strip()]
+
+
+@pytest.mark.parametrize("depth", [100, 198, 199, 400, 5000])
+def test_depth_changes_nothing(depth):
+    assert "x, y" in html_text.main_text("<div><p>start, one." + "<b hidden>" * depth + "zz<div>x, y")
+
+
+@pytest.mark.parametrize("source", [
+    "<div></section>" * 50_000, "<head>" + "<noscript>" * 50_000, "<b hidden>" * 50_000 + "</i>" * 50_000, "<div><p>" * 50_000,
+    "<i hidden><div>" + "<b hidden>" * 30_000 + "</i>" * 30_000, "<article>" + "<div class=related>" * 50_000, "<svg>" + "<g>" * 50_000 + "</a>" * 50_000])
+def test_time_is_linear(source):
+    started = time.perf_counter()
+    html_text.main_text(f"<p>a, b.</p>{source}x, y.")
+    assert time.perf_counter() - started < 4
