@@ -448,15 +448,22 @@ def drop_near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     rows, classes = text_classes(docs, store)
     judged = rows.join(classes, "digest").groupBy("doc_id", "digest").agg(
         F.max(F.col("stands") & (F.col("doc_id") == F.col("class_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
-    marked = store.write(judged.filter("NOT stays OR n > 1").select("doc_id", "digest", "stays"))
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    repeated = store.write(ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    gone = store.write(judged.filter("NOT stays").select("doc_id").distinct())
+    if repeated.isEmpty():
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    # Only rows of ids that repeat are told apart by their texts.
+    marked = store.write(judged.filter("NOT stays OR n > 1").join(repeated, "doc_id", "left_semi").select("doc_id", "digest", "stays"))
+    decided = store.write(gone.unionByName(repeated).distinct())
     key, text, stays, digest = free_names(docs, "key", "text_digest", "stays", "digest")
-    named = docs.withColumn(text, F.upper(F.md5(docs["text"].cast("string"))))
-    marks = marked.select(F.col("doc_id").alias(key), F.hex("digest").alias(digest), F.col("stays").alias(stays))
-    same = (docs["doc_id"].cast("long") == F.col(key)) & (F.col(text) == F.col(digest))
     back = [quoted(c) for c in docs.columns]
+    single = docs.join(decided, docs["doc_id"].cast("long") == decided["doc_id"], "left_anti")
+    several = docs.join(repeated, docs["doc_id"].cast("long") == repeated["doc_id"], "left_semi")
+    named = several.withColumn(text, F.upper(F.md5(several["text"].cast("string"))))
+    marks = marked.select(F.col("doc_id").alias(key), F.hex("digest").alias(digest), F.col("stays").alias(stays))
+    same = (named["doc_id"].cast("long") == F.col(key)) & (F.col(text) == F.col(digest))
     stay = named.join(marks, same, "left_anti").select(*back)
-    if marked.filter("stays").isEmpty():
-        return stay
     # Repeated rows of a text that stays: any one of them.
     once = named.join(marks.filter(F.col(stays)), same).dropDuplicates([key, text]).select(*back)
-    return stay.unionByName(once)
+    return single.unionByName(stay).unionByName(once)
