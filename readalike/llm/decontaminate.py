@@ -5,7 +5,8 @@ non-ASCII characters. A text and an item meet if they share a seed of ``SEED`` t
 hashes of all windows of that length come from a running polynomial; seeds
 on one diagonal join to matches, the longest match whose tokens are free on both
 sides becomes a tile, what is left of cut matches goes back to the queue, and so on
-until no free match of ``SEED`` tokens is left. Tiles may lie in any order, so
+until no free match of ``SEED`` tokens is left. Where tokens repeat so often that places with the same seed are too many to list,
+the same tiles are found length by length in memory of both texts' size. Tiles may lie in any order, so
 reordered passages count in full. A text is contaminated if the tiles of one item
 cover ``COVERAGE`` of its tokens.
 
@@ -39,6 +40,7 @@ SEED = 5
 COVERAGE = 0.5
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 20
+PAIRS = 1 << 18    # of places with the same seed, up to which they are listed
 
 BEST = ("item_id", "item_tokens", "tiled_tokens", "n_tiles")
 
@@ -48,7 +50,8 @@ _APART[:128] = [not chr(c).isalnum() for c in range(128)]
 
 @dataclass
 class Block:
-    """Items and their seeds, sorted by hash within each seed length."""
+    """Items, and by seed length the distinct pairs of seed and item, sorted by hash, with their number
+    and a filter of the hashes."""
     ids: list[int | None]
     tokens: list[np.ndarray]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -61,7 +64,7 @@ def tokens(texts: pa.Array) -> Iterator[tuple[ta.Slice, ta.Words]]:
 
 def block_of(ids: list[int | None], texts: list[str | None]) -> Block:
     items: list[np.ndarray] = []
-    by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for part, found in tokens(pa.array(texts, pa.large_string())):
         first = found.first
         for i in range(part.n):
@@ -71,18 +74,26 @@ def block_of(ids: list[int | None], texts: list[str | None]) -> Block:
             item = found.text[at]
             mine = (found.per_text[item] == n) if n < SEED else np.ones(len(at), bool)
             if mine.any():
-                by_length.setdefault(n, []).append(
-                    (code[mine], item[mine] + part.first, (at - first[item])[mine]))
+                by_length.setdefault(n, []).append((code[mine], item[mine] + part.first))
     seeds = {}
     for n, rows in by_length.items():
-        code, item, place = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.argsort(code, kind="stable")
+        code, item, times = counted(*(np.concatenate(x) for x in zip(*rows, strict=True)))
         may = np.zeros(1 << FILTER_BITS, bool)
         may[(code >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        seeds[n] = code[order], item[order], place[order], may
+        seeds[n] = code, item, times, may
     return Block(ids, items, seeds)
 
 
+def counted(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of hash and owner in that order, and how often each occurs."""
+    order = np.lexsort((owner, code))
+    code, owner = code[order], owner[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(new)
+    return code[begin], owner[begin], np.diff(np.append(begin, len(code)))
+
+
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[Block]:
     """Blocks of the benchmark; each goes through the driver by itself."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
@@ -93,20 +104,93 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield block_of([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
-def hits(found: ta.Words, block: Block) -> tuple[np.ndarray, ...]:
-    """Shared seeds of a slice: text, item, place in the text, place in the item, length."""
+def meetings(found: ta.Words, block: Block) -> list[tuple[int, int, int, int]]:
+    """Texts and items that share seeds: (text, item, seed length, pairs of places with the same seed)."""
     out = []
-    for n, (code, item, place, may) in block.seeds.items():
+    for n, (code, item, times, may) in block.seeds.items():
         mine, at = ta.grams(found, n)
         keep = may[(mine >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-        mine, at = mine[keep], at[keep]
+        mine, text, often = counted(mine[keep], found.text[at[keep]])
         low, high = np.searchsorted(code, mine, "left"), np.searchsorted(code, mine, "right")
-        times = high - low
-        which = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        at = np.repeat(at, times)
-        text = found.text[at]
-        out.append((text, item[which], at - found.first[text], place[which], np.full(len(at), n)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        size = high - low
+        which = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        text, item_of, pairs = np.repeat(text, size), item[which], np.repeat(often, size) * times[which]
+        order = np.lexsort((item_of, text))
+        text, item_of, pairs = text[order], item_of[order], pairs[order]
+        if len(text):
+            begin = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (item_of[1:] != item_of[:-1])))
+            out.extend(zip(text[begin].tolist(), item_of[begin].tolist(), [n] * len(begin),
+                           np.add.reduceat(pairs, begin).tolist(), strict=True))
+    return sorted(out)
+
+
+def windows(sequence: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hash of every window of ``n`` tokens, from running sums."""
+    up, down = ta.powers(len(sequence) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sequence * up[:len(sequence)], dtype=np.uint64)])
+        return ta.mixed((sums[n:] - sums[:-n]) * down[:len(sequence) - n + 1])
+
+
+def places(text: np.ndarray, item: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places in text and item with the same ``n`` tokens (by hash)."""
+    mine, theirs = windows(text, n), windows(item, n)
+    order = np.argsort(theirs, kind="stable")
+    low, high = np.searchsorted(theirs[order], mine, "left"), np.searchsorted(theirs[order], mine, "right")
+    size = high - low
+    which = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(np.arange(len(mine)), size), order[which]
+
+
+def tile_by_length(text: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """The tiles of ``tile`` without its list of all pairs of places, which for repeated tokens is as long as
+    both texts' product: the largest length at which free windows agree is found by bisection with
+    running Karp-Rabin hashes, its matches are marked in order of place, and so on with smaller lengths."""
+    taken_p, taken_q = np.zeros(len(text), np.int64), np.zeros(len(item), np.int64)
+    tiles: list[tuple[int, int, int]] = []
+
+    def free(taken: np.ndarray, length: int) -> np.ndarray:
+        sums = np.append(0, np.cumsum(taken))
+        return sums[length:] == sums[:-length]
+
+    def agreeing(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Free places of the text that agree with a free window of the item, and the item's free places and hashes."""
+        q = np.flatnonzero(free(taken_q, length))
+        theirs = windows(item, length)[q]
+        p = np.flatnonzero(free(taken_p, length))
+        return p[np.isin(windows(text, length)[p], theirs)], q, theirs
+
+    most = min(len(text), len(item))
+    while most >= n:
+        low, high = n - 1, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(agreeing(middle)[0]) else (low, middle - 1)
+        if low < n:
+            break
+        p, q, theirs = agreeing(low)
+        mine = windows(text, low)
+        waiting: dict[int, list[int]] = {}
+        for place, code in zip(q[::-1].tolist(), theirs[::-1].tolist(), strict=True):
+            waiting.setdefault(code, []).append(place)      # the first place is the last of the list
+        before = len(tiles)
+        end = 0
+        for a in p.tolist():
+            if a < end or not waiting:
+                continue
+            left = waiting.get(int(mine[a]), [])
+            while left and taken_q[left[-1]:left[-1] + low].any():
+                left.pop()
+            if not left:
+                waiting.pop(int(mine[a]), None)
+                continue
+            b = left.pop()
+            if (text[a:a + low] == item[b:b + low]).all():
+                tiles.append((low, a, b))
+                taken_p[a:a + low] = taken_q[b:b + low] = 1
+                end = a + low
+        most = low if len(tiles) > before else low - 1
+    return tiles
 
 
 def matches(p: np.ndarray, q: np.ndarray, n: int) -> list[tuple[int, int, int]]:
@@ -163,15 +247,10 @@ def best_items(texts: pa.Array, block: Block) -> dict[str, list]:
     for part, found in tokens(texts):
         best: list[tuple[int | None, int, int]] = [(None, 0, 0)] * part.n
         if block.seeds and len(found.hash):
-            text, item, p, q, n = hits(found, block)
-            order = np.lexsort((item, text))
-            text, item, p, q, n = text[order], item[order], p[order], q[order], n[order]
-            change = np.flatnonzero((text[1:] != text[:-1]) | (item[1:] != item[:-1])) + 1
-            edges = np.concatenate(([0], change, [len(text)])) if len(text) else np.zeros(0, np.int64)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                t, i = int(text[a]), int(item[a])
+            for t, i, n, pairs in meetings(found, block):
                 begin = found.first[t]
-                tiles = tile(found.hash[begin:begin + found.per_text[t]], block.tokens[i], p[a:b], q[a:b], int(n[a]))
+                text, item = found.hash[begin:begin + found.per_text[t]], block.tokens[i]
+                tiles = tile(text, item, *places(text, item, n), n) if pairs <= PAIRS else tile_by_length(text, item, n)
                 covered = sum(x[0] for x in tiles)
                 have = best[t]
                 if covered and (have[0] is None or covered * len(block.tokens[have[0]]) > have[1] * len(block.tokens[i])):

@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -105,3 +107,22 @@ def test_blocks_keep_rows_apart(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_BYTES", 20)
     assert len(list(dc.benchmark_blocks(items))) > 2
     assert report() == whole and len(whole) == rows.count()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_tiles_by_length_are_the_tiles(seed):
+    rng = np.random.default_rng(seed)
+    text = rng.integers(0, 2 + seed % 4, 60 + seed).astype(np.uint64) + np.uint64(1)
+    item = rng.integers(0, 2 + seed % 4, 10 + seed).astype(np.uint64) + np.uint64(1)
+    n = 2 + seed % 4
+    assert dc.tile_by_length(text, item, n) == dc.tile(text, item, *dc.places(text, item, n), n)
+
+
+def test_a_long_text_of_one_token(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "word other " * 50_000), (3, "some other text here and now")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "word " * 1000), (8, "word other " * 400)], "item_id long, text string")
+    started = time.perf_counter()
+    found = {r.doc_id: r for r in dc.contamination(docs, items).collect()}
+    assert (found[1].item_id, found[1].tiled_tokens, found[1].n_tiles) == (7, 1000, 1)
+    assert (found[2].item_id, found[2].tiled_tokens, found[2].n_tiles) == (8, 800, 1)
+    assert found[3].item_id is None and time.perf_counter() - started < 30
