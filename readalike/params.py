@@ -89,6 +89,7 @@ LIGHT_USER_RATINGS = 10_000   # a user above this is paired by the heavy-user ro
 TAG_PROBES = 4                # of a book's rarest tags, for the first bound of its list
 VECTOR_BLOCK_BYTES = 8 << 20   # bytes of vectors per block of the blocked inner product
 ENCODE_BATCH_TEXTS = 256      # texts of one call of a supplied encoder
+EDGE_BUCKETS = 16             # of the similarity table; about one for 256 MB of it
 CACHE_BUCKETS = 64            # folders of the stored metadata cache
 SEED_BLOCK_ROWS = 4_096       # seeds of a product with the only block
 VECTOR_PIVOTS = 64            # clusters of vectors, where there is more than a block

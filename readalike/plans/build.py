@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readalike import params
 from readalike.operators import clean, enrich, features, strategies, vectors
+from readalike.sources.buckets import read_bucketed, write_bucketed
 from readalike.sources.raw import load_processed, read_raw, save
 from readalike.sources.store import Store
 
+EDGE_ORDER = ("isbn", "similarity")
 # Raw file names
 RAW_FILES = {"books": "Books.csv", "ratings": "Ratings.csv", "users": "Users.csv"}
 
@@ -43,8 +45,8 @@ def ingest(spark: SparkSession, raw_folder: str, out_folder: str) -> dict[str, i
 def build_features(spark: SparkSession, in_folder: str, out_folder: str) -> dict[str, int]:
     """Processed tables to feature tables; returns their row counts.
 
-    The similarity table is laid out by isbn and by similarity within it, so a
-    lookup of a few seeds skips most files and row groups.
+    The similarity table is laid out in buckets of isbn, by similarity within it, so no strategy
+    shuffles it.
     """
     books, ratings, users = load_processed(spark, in_folder)
     counts: dict[str, int] = {}
@@ -56,8 +58,8 @@ def build_features(spark: SparkSession, in_folder: str, out_folder: str) -> dict
 
     index = put("item_index", features.item_index(Store(spark), books))
     pairs = put("item_pairs", features.item_similarity(ratings, index=index))
-    put("item_similarity", features.symmetric_similarity(pairs, books)
-        .repartitionByRange("isbn", "similarity").sortWithinPartitions("isbn", "similarity"))
+    edges = write_bucketed(features.symmetric_similarity(pairs, books), f"{out_folder}/item_similarity.parquet", *EDGE_ORDER)
+    counts["item_similarity"] = edges.count()
     stats = put("book_stats", features.book_stats(books, ratings))
     put("age_group_dominant", features.age_group_dominant(ratings, users))
     put("age_group_top_books", features.age_group_top_books(ratings, users, stats))
@@ -90,11 +92,12 @@ def build_metadata(spark: SparkSession, in_folder: str, cache: DataFrame,
 
 
 def build_vectors(spark: SparkSession, folder: str, dim: int = params.EMBEDDING_DIM,
-                  encoder: Callable | None = None) -> dict[str, int]:
+                  encoder: Callable | None = None, make_encoder: Callable | None = None) -> dict[str, int]:
     """Enriched table to unit vectors, checked before they are kept, and the catalogue that
     recommendations get their columns from."""
     enriched, stats = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("enriched", "book_stats"))
-    encoded = Store(spark).write(vectors.encode(vectors.embedding_text(enriched), encoder=encoder, dim=dim))
+    encoded = Store(spark).write(vectors.encode(
+        vectors.embedding_text(enriched), encoder=encoder, dim=dim, make_encoder=make_encoder))
     return {"book_embeddings": save(vectors.check_dim(encoded, dim), f"{folder}/book_embeddings.parquet"),
             "catalogue": save(strategies.catalogue(stats, enriched), f"{folder}/catalogue.parquet")}
 
@@ -103,4 +106,18 @@ def artefacts(spark: SparkSession, folder: str) -> strategies.Artefacts:
     """What ``strategies.recommend`` needs, from a folder that the builds have filled."""
     names = ("item_similarity", "book_embeddings", "book_stats", "age_group_dominant",
              "age_group_top_books", "catalogue")
-    return strategies.Artefacts(*[spark.read.parquet(f"{folder}/{name}.parquet") for name in names])
+    tables = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names[1:]}
+    return strategies.Artefacts(read_bucketed(spark, f"{folder}/item_similarity.parquet", *EDGE_ORDER), *tables.values())
+
+
+def build_all(spark: SparkSession, raw_folder: str, processed_folder: str, folder: str, cache: DataFrame,
+              fetch: Callable[[DataFrame], DataFrame], dim: int = params.EMBEDDING_DIM, encoder: Callable | None = None,
+              make_encoder: Callable | None = None) -> dict[str, dict[str, float]]:
+    """Every stage from the CSV folder on: cleaned tables, features, metadata, vectors. Returns what each reports; then
+    ``artefacts(spark, folder)`` has all that recommendations need."""
+    return {
+        "ingest": dict(ingest(spark, raw_folder, processed_folder)),
+        "features": dict(build_features(spark, processed_folder, folder)),
+        "metadata": build_metadata(spark, processed_folder, cache, fetch, folder),
+        "vectors": dict(build_vectors(spark, folder, dim, encoder, make_encoder)),
+    }

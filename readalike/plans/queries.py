@@ -83,13 +83,16 @@ def _(w: Workspace) -> DataFrame:
 
 @query("built_features")
 def _(w: Workspace) -> DataFrame:
-    """Rows of every feature table after a build from stored tables."""
+    """Rows of every feature table after a build from stored tables, and the sum of its values."""
     folder, out = w.store.folder("processed"), w.store.folder("features")
     for name in ("books", "ratings", "users"):
         raw.save(getattr(w, name), f"{folder}/{name}.parquet")
     built = build.build_features(w.spark, folder, out)
-    return _stack({name: w.spark.read.parquet(f"{out}/{name}.parquet").agg(F.count(F.lit(1)).alias("n"))
-                   for name in built})
+    values = {"item_index": F.col("idx"), "item_pairs": F.col("similarity") * 1e9, "item_similarity": F.col("similarity") * 1e9,
+              "book_stats": F.round("bayesian_rating", 9) * 1e6, "age_group_dominant": F.col("age_group_count"),
+              "age_group_top_books": F.round("bayesian_rating", 9) * 1e6}
+    return _stack({name: w.spark.read.parquet(f"{out}/{name}.parquet").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.round(values[name]).cast("long")).alias("total")) for name in built})
 
 
 @query("stage_counts")

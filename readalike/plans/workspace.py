@@ -15,6 +15,7 @@ from readalike import params
 from readalike.operators import clean, enrich, explore, features, strategies, vectors
 from readalike.operators.lookup import TitleIndex, title_index
 from readalike.operators.pairs import PairTable, pair_table
+from readalike.sources.buckets import write_bucketed
 from readalike.sources.store import Store
 from readalike.sources.views import role_view
 
@@ -65,7 +66,7 @@ class Workspace:
     @cached_property
     def similarity(self) -> DataFrame:
         edges = features.symmetric_similarity(self.pairs, self.books)
-        return self.store.write(edges, "item_similarity")
+        return write_bucketed(edges, self.store.folder("item_similarity"), "isbn", "similarity")
 
     @cached_property
     def stats(self) -> DataFrame:

@@ -66,10 +66,16 @@ def test_entry(spark):
 
 
 def test_lists_are_cut_before_the_shuffle(spark):
-    plan = QUERIES["readers_also"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["co_rated_top"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_lists_of_stored_edges_are_made_without_a_shuffle(spark):
+    plan = QUERIES["readers_also"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
 def test_scans_are_pruned(spark):
     plan = QUERIES["item_similarity"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<isbn:string,user_id:int,rating:int>" in plan

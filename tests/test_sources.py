@@ -49,25 +49,46 @@ def test_from_csv_to_recommendations(spark, tmp_path):
     from readalike.sources.store import Store
     write_raw(tmp_path)
     processed, out = f"{tmp_path}/processed", f"{tmp_path}/features"
-    build.ingest(spark, str(tmp_path), processed)
-    build.build_features(spark, processed, out)
     cache = spark.createDataFrame([("000", "cached words", ["S"])], "isbn string, description string, subjects array<string>")
 
     def fetch(plan):
         return plan.select("batch_id", F.lit(
             '{"ISBN:001": {"description": {"value": "fetched words"}, "subjects": [{"name": "T"}]}}').alias("payload"))
 
-    counts = build.build_metadata(spark, processed, cache, fetch, out)
-    assert (counts["metadata"], counts["enriched"]) == (6, 6)
+    counts = build.build_all(spark, str(tmp_path), processed, out, cache, fetch, dim=16)
+    assert (counts["ingest"]["books"], counts["metadata"]["metadata"], counts["metadata"]["enriched"]) == (6, 6, 6)
     enriched = {r.isbn: r for r in spark.read.parquet(f"{out}/enriched.parquet").collect()}
     assert [enriched[i].description for i in ("000", "001")] == ["cached words", "fetched words"]
     assert enriched["002"].subjects == "" and enriched["002"].description
-    assert build.build_vectors(spark, out, dim=16) == {"book_embeddings": 6, "catalogue": 6}
+    assert counts["vectors"] == {"book_embeddings": 6, "catalogue": 6}
     seeds = spark.createDataFrame([("000",)], "seed_isbn string")
     found = strategies.recommend_all(seeds, build.artefacts(spark, out), Store(spark)).collect()
     assert {"age_group", "same_author"} <= {r.strategy for r in found}
 
 
+def test_bucketed_edges_are_read_without_a_shuffle(spark, tmp_path):
+    from readalike.operators.strategies import cf_candidates
+    from readalike.sources import buckets
+    edges = spark.createDataFrame([(f"s{a}", f"b{b}", (a * b % 7) / 7) for a in range(40) for b in range(30)],
+                                  "isbn string, other_isbn string, similarity double")
+    path = str(tmp_path / "edges")
+    for _ in range(2):   # a second build replaces the first
+        stored = buckets.write_bucketed(edges, path, "isbn", "similarity", buckets=4)
+    assert rows(stored) == rows(edges) and len(list((tmp_path / "edges").glob("*.parquet"))) == 4
+    spark.sql(f"DROP TABLE {buckets._table(path)}")     # what a new session knows
+    again = buckets.read_bucketed(spark, path, "isbn", "similarity", buckets=4)
+    assert rows(again) == rows(edges)
+    seeds = spark.createDataFrame([("s1",), ("s7",)], "seed_isbn string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lists = cf_candidates(seeds, again, 5)
+        assert rows(lists) == rows(cf_candidates(seeds, edges, 5))
+        plan = lists._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan     # that of the seeds
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_save_overwrites_and_counts(spark, tmp_path):
     assert raw.save(spark.range(10), f"{tmp_path}/t") == 10
     assert raw.save(spark.range(3), f"{tmp_path}/t") == 3
