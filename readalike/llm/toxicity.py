@@ -6,8 +6,9 @@ learning rate of its own, from the squared gradients it has seen, and an L1 term
 that keeps weights at exactly 0 until evidence exceeds it, so that the model is a
 short list of (bucket, weight), at most ``BUCKETS`` of them.
 
-It learns from at most ``TRAIN_ROWS`` labelled rows, lowest hash of the id first, and only from
-rows whose crc32 of the id modulo 3 isn't 1; that bound makes training one task
+It learns from at most ``TRAIN_ROWS`` labelled rows, lowest hash of the id first, as far as their features fit in
+``TRAIN_FEATURES`` (a row that doesn't fit any more is left out), and only from
+rows whose crc32 of the id modulo 3 isn't 1; these bounds make training one task
 of known size. Every text is scored, whole.
 
 Defined cases: a null or empty text has the score of the bias alone; without
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from readalike.llm import text_arrays as ta
 from readalike.llm.decontaminate import _APART
 from readalike.llm.shipping import with_package
+from readalike.sources.store import Store
 
 BUCKETS = 1 << 20
 BIAS = BUCKETS
 TRAIN_ROWS = 20_000
+TRAIN_FEATURES = 80_000_000   # four bytes each
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 8.0, 0.0
 TOXIC_WEIGHT = 3.0     # of a toxic row, as there are fewer of them
@@ -93,7 +96,18 @@ def training_rows(labels: DataFrame, rows: int = TRAIN_ROWS) -> pd.Series:
     return pd.Series(chosen["toxic"].to_numpy(np.float64), chosen["doc_id"].to_numpy(np.int64))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
+def fitting(sizes: dict[int, int], order: list[int], limit: int) -> list[int]:
+    """Ids in order as far as their sizes fit in ``limit``."""
+    kept, used = [], 0
+    for i in order:
+        if i in sizes and used + sizes[i] <= limit:
+            kept.append(i)
+            used += sizes[i]
+    return kept
+
+
+def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, limit: int = TRAIN_FEATURES,
+            store: Store | None = None) -> np.ndarray:
     """Weights of all buckets and the bias."""
     wanted = training_rows(labels, rows)
     if wanted.empty:
@@ -128,7 +142,13 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.nd
     read = with_package(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows_read = read.filter("doc_id IS NOT NULL").mapInArrow(extract, "doc_id long, buckets array<int>")
     # Rows that share an id have to be learnt in one order: the smallest feature list is taken.
-    single = rows_read.groupBy("doc_id").agg(F.min("buckets").alias("buckets"))
+    store = store or Store(docs.sparkSession)
+    single = store.write(rows_read.groupBy("doc_id").agg(F.min("buckets").alias("buckets")))
+    sizes = {r.doc_id: r.size for r in single.select("doc_id", F.size("buckets").alias("size")).collect()}   # at most ``rows``
+    kept = fitting(sizes, wanted.index.tolist(), limit)
+    if len(kept) < len(sizes):
+        wanted = wanted[kept]
+        single = single.filter(F.col("doc_id").isin(kept))
     found = single.coalesce(1).mapInArrow(learn, "bucket int, weight double").toPandas()
     weights = np.zeros(BUCKETS + 1)
     weights[found["bucket"]] = found["weight"]

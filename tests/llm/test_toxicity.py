@@ -55,3 +55,35 @@ def test_odd_rows(odd_docs, no_docs, labels):
     assert {r["score"] for r in toxicity.scores(odd_docs, none).collect()} == {0.5}
     assert not toxicity.trained(no_docs, labels).any()
     assert toxicity.scores(no_docs, weights).count() == 0
+
+
+def test_training_takes_what_fits(spark, store, docs, labels):
+    assert toxicity.fitting({1: 5, 2: 9, 3: 4, 4: 1}, [2, 7, 1, 3, 4], 14) == [2, 1]
+    assert toxicity.fitting({1: 5, 2: 90, 3: 4}, [2, 1, 3], 10) == [1, 3]
+    whole = toxicity.trained(docs, labels, store=store)
+    assert (toxicity.trained(docs, labels, limit=10**9, store=store) == whole).all() and whole.any()
+    assert not toxicity.trained(docs, labels, limit=0, store=store).any()
+
+
+def test_query_equals_a_plain_version(spark):
+    """The whole query by dictionaries: features, order of learning, bounds, scores."""
+    from readalike.llm.queries import op6_toxicity, table
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in table(spark, folder, "documents").collect()}
+    marks = table(spark, folder, "labels").filter("toxic IS NOT NULL")
+    order = [r.doc_id for r in marks.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").collect()]
+    toxic = {r.doc_id: r.toxic for r in marks.collect()}
+    rows = {}
+    for i, text in docs.items():
+        (_, _, _, bucket), = toxicity.features(pa.array([text or ""]))
+        rows[i] = np.unique(bucket)
+    model = toxicity.Ftrl()
+    for _ in range(toxicity.EPOCHS):
+        for i in order:
+            if i in docs and zlib.crc32(str(i).encode()) % 3 != 1:
+                model.learn(rows[i], float(toxic[i]))
+    w = model.weights(slice(None))
+    for r in op6_toxicity(spark, folder).collect():
+        score = 1 / (1 + np.exp(-(w[toxicity.BIAS] + w[rows[r.doc_id]].sum())))
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == int(r.score >= toxicity.THRESHOLD)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
