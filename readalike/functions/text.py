@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ def age_bracket(age: Column) -> Column:
 def genre(subjects: Column, keywords=params.GENRE_KEYWORDS) -> Column:
     """First genre, in the fixed order, with a keyword inside the subjects."""
     text = F.lower(subjects)
-    hits = [F.when(text.rlike("|".join(words)), name) for name, words in keywords]
+    hits = [F.when(reduce(or_, (text.contains(word) for word in words)), name) for name, words in keywords]
     return F.coalesce(*hits, F.lit("Other"))
 
 

@@ -158,11 +158,22 @@ class Workspace:
         return self.store.write(recs, "recommendations")
 
 
-_workspaces: dict[tuple[str, str], Workspace] = {}
+_workspaces: dict[tuple[str, str], tuple[list[tuple[str, int, int]], Workspace]] = {}
+
+
+def _files(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """Name, time and size of what lies in a folder, and in folders in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    entries = system.listStatus(path)
+    entries = [*entries, *(e for top in entries if top.isDirectory() for e in system.listStatus(top.getPath()))]
+    return sorted((e.getPath().toString(), e.getModificationTime(), e.getLen()) for e in entries)
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _workspaces:
-        _workspaces[key] = Workspace(spark, sf_dir.rstrip("/"))
-    return _workspaces[key]
+    """The tables of one folder, made anew when its files have changed."""
+    folder = sf_dir.rstrip("/")
+    key, files = (spark.sparkContext.applicationId, folder), _files(spark, folder)
+    if key not in _workspaces or _workspaces[key][0] != files:
+        _workspaces[key] = files, Workspace(spark, folder)
+    return _workspaces[key][1]
