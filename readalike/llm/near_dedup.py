@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 DF_BUCKETS = 1 << 18
 SLICE = 1 << 18
+PIECE = 1024
 LEVELS = 1 << 16
 FILTER_BITS = 1 << 23
 
@@ -88,6 +90,13 @@ def shingles(part: ta.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[begin], code[begin], np.diff(np.append(begin, len(code)))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``PIECE`` rows, so that copies of their texts stay small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, PIECE):
+            yield batch.slice(k, PIECE)
+
+
 def lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts.cast(pa.large_string()))
 
@@ -104,7 +113,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(DF_BUCKETS, np.int64)
         n = 0
-        for batch in batches:
+        for batch in pieces(batches):
             n += batch.num_rows
             for part in ta.slices(lower(batch.column("text")), SLICE):
                 df += np.bincount(bucket_of(shingles(part)[1]), minlength=DF_BUCKETS)
@@ -121,6 +130,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     return 1.0 + np.log(np.maximum(1.0, n / df)) / np.log(DF_BUCKETS)
 
 
+@lru_cache
 def gamma_levels() -> np.ndarray:
     """Quantiles of the Gamma(2, 1) distribution at the middle of each level."""
     u = (np.arange(LEVELS) + 0.5) / LEVELS
@@ -174,7 +184,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """Per document with an id and a word: digest of the text and its band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column("doc_id")
             plain = batch.column("text")
             for part in ta.slices(lower(plain), SLICE):
@@ -210,7 +220,7 @@ def vectors(docs: DataFrame, idf: np.ndarray, wanted: np.ndarray) -> DataFrame:
     numbers."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             bit = batch.column("doc_id").to_numpy() % FILTER_BITS
             batch = batch.filter(pa.array((wanted[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
             if not batch.num_rows:
