@@ -95,6 +95,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, PIECE):
             yield batch.slice(k, PIECE)
+    pa.default_memory_pool().release_unused()
 
 
 def lower(texts: pa.Array) -> pa.Array:
@@ -376,8 +377,9 @@ def distinct_texts(signed: DataFrame, store: Store) -> tuple[DataFrame, bool]:
 
 
 def text_classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, digest) that have an id and a word; and of each distinct text (digest) the id of its group's
-    first text (smallest id, then digest), ``class_id``, and whether it is that text, ``stands``."""
+    """Rows (doc_id, digest) that have an id and a word; and of each distinct text (digest) with several rows, or that is not the
+    first text of its group (smallest id, then digest), the id of that first text, ``class_id``, and whether it is that text,
+    ``stands``."""
     idf = idf_table(docs)
     signed = store.write(signatures(docs, idf))
     texts, several = distinct_texts(signed, store)
@@ -428,22 +430,23 @@ def text_classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         joined = components(edges.unionByName(found), store)
 
     classes = texts.join(joined, F.col("member") == F.col("id"), "left").select(
-        "digest", "doc_id", F.coalesce("label", "member").alias("label"))
+        "digest", "doc_id", "n", F.coalesce("label", "member").alias("label"))
     if several:
         classes = store.write(classes)
         firsts = classes.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
         classes = classes.join(store.write(firsts), "label").select(
-            "digest", F.col("first.doc_id").alias("class_id"), (F.col("first.digest") == F.col("digest")).alias("stands"))
+            "digest", "n", F.col("first.doc_id").alias("class_id"), (F.col("first.digest") == F.col("digest")).alias("stands"))
     else:
-        classes = classes.select("digest", F.col("label").alias("class_id"), (F.col("doc_id") == F.col("label")).alias("stands"))
-    return signed.select("doc_id", "digest"), store.write(classes)
+        classes = classes.select("digest", "n", F.col("label").alias("class_id"), (F.col("doc_id") == F.col("label")).alias("stands"))
+    # The only row of a text that stands for its group is in the group of its id: nothing has to be said of it.
+    return signed.select("doc_id", "digest"), store.write(classes.filter("n > 1 OR NOT stands").drop("n"))
 
 
 def near_duplicates(docs: DataFrame, store: Store) -> DataFrame:
     """(doc_id, class_id) of every document with an id: class_id is the smallest id of its group."""
     rows, classes = text_classes(docs, store)
     # An id whose rows have different texts is one document here, in the smallest of their groups.
-    placed = rows.join(classes, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    placed = rows.join(classes, "digest").groupBy("doc_id").agg(F.min(F.least("class_id", "doc_id")).alias("class_id"))
     every = docs.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
     return every.join(placed, "doc_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
