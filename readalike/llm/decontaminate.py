@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readalike.llm import text_arrays as ta
+from readalike.llm.near_dedup import pieces
 from readalike.llm.shipping import with_package
 
 SEED = 5
@@ -301,7 +302,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def clean(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 if batch.num_rows:
                     best = best_items(batch.column(place), block)
                     yield batch.filter(pa.array([
