@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,24 +36,44 @@ def embedding_text(enriched: DataFrame) -> DataFrame:
     return enriched.select("isbn", text.alias("text"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. What is merely named is copied by the optimizer to wherever
+    it is read, and in a lambda computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _runs(ordered: Column) -> Column:
+    """(bucket, n) of each run of equal values of a sorted array, in one pass."""
+    starts = F.filter(F.transform(ordered, lambda b, i: F.when(~b.eqNullSafe(F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+    return _let(starts, lambda p: F.transform(p, lambda at, j: F.struct(
+        F.get(ordered, at).alias("bucket"), (F.coalesce(F.get(p, j + 1), F.size(ordered)) - at).alias("n"))))
+
+
 def hashed_tf_idf(texts: DataFrame, dim: int) -> DataFrame:
     """(isbn, embedding): counts of a text's words in ``dim`` hash buckets times the inverse document
     frequency of the bucket, ln((documents + 1) / (documents with it + 1)).
 
-    Counts combine before their shuffle; frequencies are a table of ``dim`` rows.
+    Each row is counted where it is read; the counts are stored, so that texts are split once. Nothing
+    but the frequencies is shuffled, ``dim`` rows a task.
     """
-    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\w+"), F.lit(0)))
-    bucket = F.pmod(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    counts = texts.select("isbn", word.alias("word")).groupBy("isbn", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = texts.agg(F.count(F.lit(1))).scalar()
-    weights = counts.groupBy("bucket").agg(F.log((total + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("idf"))
-    pairs = counts.join(F.broadcast(weights), "bucket").groupBy("isbn").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", (F.col("n") * F.col("idf")).alias("weight")))).alias("weights"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
-        F.try_element_at("weights", i), F.lit(0.0)))
-    nothing = F.array_repeat(F.lit(0.0), dim)
-    return texts.select("isbn").join(pairs, "isbn", "left").select(
-        "isbn", F.when(F.col("weights").isNull(), nothing).otherwise(places).alias("embedding"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\w+"), F.lit(0))
+    buckets = F.sort_array(F.transform(words, lambda word: F.pmod(
+        F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")))
+    counts = Store(texts.sparkSession).write(texts.select("isbn", _let(buckets, _runs).alias("counts")))
+    total = counts.count()
+    found = counts.select(F.explode("counts.bucket").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("with_it"))
+    with_it = dict(map(tuple, found.collect()))  # at most ``dim`` rows
+    idf = F.lit([math.log((total + 1.0) / (with_it.get(b, 0) + 1.0)) for b in range(dim)])
+
+    def last_bucket(place: Column) -> Column:
+        return F.coalesce(F.get("counts", place)["bucket"], F.lit(-1))
+
+    def zeros(before: Column, place: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), (place - before - 1).cast("int"))
+
+    filled = F.flatten(F.transform("counts", lambda c, i: F.concat(
+        zeros(last_bucket(i - 1), c["bucket"]), F.array(c["n"] * F.get(idf, c["bucket"])))))
+    return counts.select("isbn", F.concat(filled, zeros(last_bucket(F.size("counts") - 1), F.lit(dim))).alias("embedding"))
 
 
 def _checked(make_encoder: Callable[[], Encoder], dim: int | None) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
@@ -98,11 +119,11 @@ def _norm(vector: Column) -> Column:
 
 def l2_normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
     """Unit length in double; a zero vector stays zero."""
-    vector = F.col(col).cast("array<double>")
-    with_norm = df.withColumn("_norm", _norm(vector)).withColumn(
-        "_norm", F.when(F.col("_norm") == 0, F.lit(1.0)).otherwise(F.col("_norm")))
-    return with_norm.withColumn(
-        col, F.transform(vector, lambda x: x / F.col("_norm"))).drop("_norm")
+    def divided(vector: Column) -> Column:
+        return _let(_norm(vector), lambda norm: F.transform(
+            vector, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm)))
+
+    return df.withColumn(col, _let(F.col(col).cast("array<double>"), divided))
 
 
 def dim_report(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:

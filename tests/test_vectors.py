@@ -2,6 +2,7 @@ import hashlib
 import math
 import os
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -137,3 +138,19 @@ def test_encoder_of_another_width_is_refused(spark):
     df = spark.createDataFrame([("a", "x")], "isbn string, text string")
     with pytest.raises(Exception, match="of 4 values"):
         vectors.encode(df, encoder=lambda texts: np.ones((len(texts), 3)), dim=4).collect()
+
+
+def test_long_texts_are_encoded_in_time_and_exploded(spark):
+    """The dense vector and its norm are made once a row, also below an explode, whose filter is pushed down to them."""
+    texts = [(f"b{i}", " ".join(f"w{i * j % 997}" for j in range(1, 400))) for i in range(40)]
+    df = spark.createDataFrame([*texts, ("none", None)], "isbn string, text string")
+    stop = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        rows = vectors.encode(df).select("isbn", F.posexplode("embedding")).filter("col <> 0").groupBy("isbn").agg(
+            F.sum(F.col("col").cast("double") * F.col("col")).alias("squares")).collect()
+    finally:
+        stop.cancel()
+    # all words of w0 are one, which every document may have
+    assert {r.isbn for r in rows} >= {f"b{i}" for i in range(1, 40)} and "none" not in {r.isbn for r in rows}
+    assert all(abs(r.squares - 1) < 1e-5 for r in rows)
