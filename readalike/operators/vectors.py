@@ -141,13 +141,15 @@ def check_dim(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
     return df
 
 
-def _block_top_k(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Best ``k`` items of one item block for each seed of one seed block.
+def _best_products(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Best ``k`` items for each seed of one cell; a seed that lists ``open`` clusters meets only their items,
+    and one with a ``least`` score only what reaches it.
 
     The returned function refers to nothing of this package, so the executors
     need only numpy and pyarrow.
     """
     schema = pa.schema([("seed_isbn", pa.string()), ("isbn", pa.string()), ("score", pa.float64())])
+    seed_step, item_step = 256, 2048
 
     def matrix(table: pa.Table, col: str) -> np.ndarray:
         values = table.column(col).combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -155,30 +157,61 @@ def _block_top_k(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             raise ValueError(f"a vector does not have {dim} values")
         return values.astype(np.float64).reshape(table.num_rows, dim)
 
+    def first(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, seeds: int) -> tuple:
+        """The first ``k`` of each row, by score, then by item."""
+        order = np.lexsort((cols, -scores, rows))
+        rows, cols, scores = rows[order], cols[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(seeds))[rows]
+        return rows[place < k], cols[place < k], scores[place < k], place[place < k]
+
+    def best(seeds: np.ndarray, items: np.ndarray, least: np.ndarray) -> tuple:
+        """(row, item, score) for items in isbn order: what ties with the k-th of earlier ones is out, and only the few products
+        that come near a bound are rounded and sorted."""
+        least, tied_out = least.copy(), np.zeros(len(seeds), bool)
+        rows, cols, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for start in range(0, len(items), item_step):
+            block = seeds @ items[start:start + item_step].T
+            near = least.copy()
+            unbound = np.isneginf(least)
+            if unbound.any() and block.shape[1] > k:
+                near[unbound] = np.partition(block[unbound], block.shape[1] - k, axis=1)[:, block.shape[1] - k]
+            bound = np.isfinite(near)
+            near[bound] -= 1e-8 * (1.0 + np.abs(near[bound]))   # scores have nine decimals
+            r, c = np.nonzero(block >= near[:, None])
+            s = np.round(block[r, c], 9) + 0.0
+            kept = np.where(tied_out[r], s > least[r], s >= least[r])
+            rows, cols, scores, place = first(np.concatenate([rows, r[kept]]), np.concatenate([cols, c[kept] + start]),
+                                              np.concatenate([scores, s[kept]]), len(seeds))
+            full = place == k - 1
+            least[rows[full]], tied_out[rows[full]] = scores[full], True
+        return rows, cols, scores
+
     def run(seeds: pa.Table, items: pa.Table) -> pa.Table:
         if not seeds.num_rows or not items.num_rows:
             return schema.empty_table()
         items = items.sort_by("isbn")
         item_rows, seed_rows = matrix(items, "embedding"), matrix(seeds, "seed_embedding")
-        kept = min(k, items.num_rows)
-        seed_at, item_at, scores = [], [], []
-        for start in range(0, seeds.num_rows, 256):
-            block = np.round(seed_rows[start:start + 256] @ item_rows.T, 9) + 0.0
-            bound = np.partition(block, items.num_rows - kept, axis=1)[:, items.num_rows - kept]
-            # ties with the k-th score come along and are cut in isbn order
-            rows, cols = np.nonzero(block >= bound[:, None])
-            values = block[rows, cols]
-            order = np.lexsort((cols, -values, rows))
-            rows, cols, values = rows[order], cols[order], values[order]
-            first = np.searchsorted(rows, np.arange(block.shape[0]))
-            keep = np.arange(len(rows)) - first[rows] < kept
-            seed_at.append(rows[keep] + start)
-            item_at.append(cols[keep])
-            scores.append(values[keep])
+        least = np.full(len(seed_rows), -np.inf)
+        if "least" in seeds.column_names:
+            least = seeds.column("least").to_numpy()
+        every = np.arange(len(seed_rows))
+        meetings = [(every, np.arange(len(item_rows)))]
+        if "open" in seeds.column_names:
+            open_lists = seeds.column("open").combine_chunks()
+            of_seed, cluster = np.repeat(every, open_lists.value_lengths().to_numpy()), open_lists.flatten().to_numpy()
+            item_cluster = items.column("cluster").to_numpy()
+            meetings = [(of_seed[cluster == c], np.flatnonzero(item_cluster == c)) for c in np.unique(item_cluster)]
+        found = []
+        for wanted, at in meetings:
+            for start in range(0, len(wanted), seed_step):
+                rows = wanted[start:start + seed_step]
+                r, c, s = best(seed_rows[rows], item_rows[at], least[rows])
+                found.append((rows[r], at[c], s))
+        if not found:
+            return schema.empty_table()
+        rows, cols, scores, _ = first(*(np.concatenate(part) for part in zip(*found)), len(seed_rows))
         return pa.Table.from_arrays([
-            seeds.column("seed_isbn").take(pa.array(np.concatenate(seed_at))),
-            items.column("isbn").take(pa.array(np.concatenate(item_at))),
-            pa.array(np.concatenate(scores)),
+            seeds.column("seed_isbn").take(pa.array(rows)), items.column("isbn").take(pa.array(cols)), pa.array(scores),
         ], schema=schema)
 
     return run
@@ -201,11 +234,15 @@ def _nearest_pivot(pivots: np.ndarray, dim: int) -> Callable[[Iterator[pa.Record
     return run
 
 
-def _open_clusters(pivots: np.ndarray, radius: np.ndarray, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(seed_isbn, cluster): clusters that can hold a vector whose product with the seed reaches ``least``.
+def _open_bundles(pivots: np.ndarray, radius: np.ndarray, blocks: np.ndarray, bundles: np.ndarray,
+                  dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(seed, bundle, open): the bundles with the clusters in them that can hold a vector whose product with the seed
+    reaches ``least``, but not the block that the seed has met.
 
     A member x of a cluster around p has q.x = q.p + q.(x - p) <= q.p + |q| radius.
     """
+    first_block = np.concatenate([[0], np.cumsum(blocks)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = batch.column("seed_embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
@@ -215,25 +252,47 @@ def _open_clusters(pivots: np.ndarray, radius: np.ndarray, dim: int) -> Callable
             # room for the rounding of scores and of the sums here
             room = 1e-8 * (1.0 + norm * (np.linalg.norm(pivots, axis=1) + np.maximum(radius, 0.0)))
             rows, cluster = np.nonzero((most + room >= least[:, None]) & (radius >= 0.0))
+            # every block of these clusters, numbered through
+            many = blocks[cluster]
+            rows, cluster = np.repeat(rows, many), np.repeat(cluster, many)
+            block = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+            met = first_block[batch.column("cluster").to_numpy()] + batch.column("block").to_numpy()
+            new = first_block[cluster] + block != met[rows]
+            rows, cluster, bundle = rows[new], cluster[new], (bundles[cluster] + block)[new]
+            # bundles rise with their clusters, so those of one bundle stand together
+            starts = np.flatnonzero(np.diff(rows, prepend=-1) | np.diff(bundle, prepend=-1))
+            taken = pa.array(rows[starts])
             yield pa.RecordBatch.from_pydict({
-                "seed_isbn": batch.column("seed_isbn").take(pa.array(rows)),
-                "seed_embedding": batch.column("seed_embedding").take(pa.array(rows)),
-                "home": batch.column("home").take(pa.array(rows)), "own_block": batch.column("own_block").take(pa.array(rows)),
-                "cluster": cluster.astype(np.int32)})
+                "seed_isbn": batch.column("seed_isbn").take(taken), "seed_embedding": batch.column("seed_embedding").take(taken),
+                "least": batch.column("least").take(taken), "bundle": pa.array(bundle[starts].astype(np.int32)),
+                "open": pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)),
+                                                 pa.array(cluster.astype(np.int32)))})
 
     return run
 
 
 def _products(left: DataFrame, right: DataFrame, cell: list[str], k: int, dim: int) -> DataFrame:
-    """Best ``k`` of each cell's items for each of its seeds, one matrix product a cell."""
+    """Best ``k`` of each cell's items for each of its seeds."""
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
-        _block_top_k(k, dim), "seed_isbn string, isbn string, score double")
+        _best_products(k, dim), "seed_isbn string, isbn string, score double")
 
 
 def _hash_part(key: str, parts: Column | int) -> Column:
     return F.pmod(F.xxhash64(key), parts if isinstance(parts, Column) else F.lit(parts)).cast("int")
 
 
+def _bundled(sizes: list[int], blocks: list[int], rows: int) -> list[int]:
+    """The first bundle of each cluster: one for each block of a large cluster, a common one for small ones
+    that follow each other and have at most ``rows`` members together."""
+    first, at, room = [], -1, 0
+    for n, cuts in zip(sizes, blocks, strict=True):
+        if cuts > 1 or n > room:
+            at, room = at + 1, rows
+        first.append(at)
+        at, room = (at + cuts - 1, 0) if cuts > 1 else (at, room - n)
+    return first
+
+
 @dataclass
 class BlockReport:
     """How many (seed, block) products were made, of how many that there are."""
@@ -243,22 +302,24 @@ class BlockReport:
 
 def knn(items: DataFrame, seeds: DataFrame, k: int,
         block_bytes: int = params.VECTOR_BLOCK_BYTES, pivots: int = params.VECTOR_PIVOTS,
-        store: Store | None = None, reports: list[BlockReport] | None = None) -> DataFrame:
+        store: Store | None = None, reports: list[BlockReport] | None = None,
+        task_bytes: int = params.VECTOR_BLOCK_BYTES) -> DataFrame:
     """Exact ``k`` nearest items of each seed by inner product, itself included.
 
     ``items``: (isbn, embedding); ``seeds``: (seed_isbn), those with a vector answer. Items without a vector
     are left out; vectors of unequal length are an error, counted before any work.
 
     Items that fit in one block of ``block_bytes`` meet all seeds as one matrix product per
-    seed block. More of them are clustered around ``pivots`` items chosen by hash, and a cluster is cut into blocks:
+    seed block. More of them are clustered around ``pivots`` items chosen by hash; a cluster of more than a block and more
+    than ``task_bytes`` is cut into blocks, and small clusters share a bundle of up to as much:
 
     1. A seed meets the block that its own vector lies in: its k-th score there is a bound.
     2. A cluster whose product with the seed can't reach the bound (pivot's product + seed's
-       length x cluster's radius) is skipped; the seed meets the blocks of the others.
+       length x cluster's radius) is skipped; the seed is sent once to each bundle that holds others, and meets these.
 
     Every product returns only its best ``k`` per seed, so no pair is a row before the cut. Pivots, radii and counts
     are a table of ``pivots`` rows, whatever the data. Without any cluster skipped, S seeds
-    and N items move 2 * S * N / B vectors for B rows to a block. ``reports`` gets what was compared, at the cost of a count.
+    and N items move some 2 * S * N / B vectors for B rows to a bundle. ``reports`` gets what was compared, at the cost of a count.
     Returns seed_isbn, isbn, score (9 decimals), rank.
     """
     vectors = items.select("isbn", "embedding").filter(F.col("embedding").isNotNull())
@@ -282,6 +343,7 @@ def knn(items: DataFrame, seeds: DataFrame, k: int,
         return top_k(_products(left, right, ["part"], k, dim), ["seed_isbn"], order, k)
 
     store = store or Store(items.sparkSession)
+    task_rows = max(block_rows, task_bytes // (width * max(1, dim)))
     chosen = vectors.orderBy(F.xxhash64("isbn"), "isbn").limit(max(1, pivots)).collect()
     centres = np.array([r.embedding for r in chosen], np.float64)
     schema = T.StructType([*vectors.select("isbn", "embedding").schema, T.StructField("cluster", T.IntegerType()),
@@ -290,32 +352,27 @@ def knn(items: DataFrame, seeds: DataFrame, k: int,
     clusters = {r.cluster: r for r in assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
     radius = np.array([clusters[c].radius if c in clusters else -1.0 for c in range(len(centres))])
-    blocks = [-(-clusters[c].n // block_rows) if c in clusters else 1 for c in range(len(centres))]
-    blocks_of = F.element_at(F.array(*[F.lit(n) for n in blocks]), F.col("cluster") + 1)
-    placed = assigned.select("isbn", "embedding", "cluster", _hash_part("isbn", blocks_of).alias("block"))
+    sizes = [clusters[c].n if c in clusters else 0 for c in range(len(centres))]
+    blocks = [max(1, -(-n // task_rows)) for n in sizes]
+    bundles = _bundled(sizes, blocks, task_rows)
+    placed = assigned.select("isbn", "embedding", "cluster", _hash_part(
+        "isbn", F.get(F.lit(blocks), F.col("cluster"))).alias("block"))
     asked = store.write(placed.join(wanted.withColumnRenamed("seed_isbn", "isbn"), "isbn", "left_semi").select(
         F.col("isbn").alias("seed_isbn"), F.col("embedding").alias("seed_embedding"), "cluster", "block"))
     n_seeds = asked.count()
-    parts = max(1, -(-n_seeds // block_rows))
-    cell = ["cluster", "block", "part"]
-
-    def products(left: DataFrame) -> DataFrame:
-        """Only the cells that a seed has: their list is as short as there are blocks."""
-        left = store.write(left.withColumn("part", _hash_part("seed_isbn", parts)))
-        cells = store.write(left.select(*cell).distinct())
-        return store.write(_products(left, placed.join(cells, ["cluster", "block"]), cell, k, dim))
-
-    near = products(asked)
-    least = top_k(near, ["seed_isbn"], order, k).filter(F.col("rank") == k).select("seed_isbn", F.col("score").alias("least"))
-    bounded = asked.join(least, "seed_isbn", "left").select(
-        "seed_isbn", "seed_embedding", F.col("cluster").alias("home"), F.col("block").alias("own_block"),
-        F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    schema = T.StructType([f for f in bounded.schema if f.name != "least"] + [T.StructField("cluster", T.IntegerType())])
-    reached = bounded.mapInArrow(_open_clusters(centres, radius, dim), schema)
-    others = reached.withColumn("block", F.explode(F.sequence(F.lit(0), blocks_of - 1))).filter(
-        (F.col("cluster") != F.col("home")) | (F.col("block") != F.col("own_block"))).drop("home", "own_block")
+    parts = max(1, -(-n_seeds // task_rows))
+
+    near = store.write(_products(asked, placed, ["cluster", "block"], k, dim))
+    least = near.groupBy("seed_isbn").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
+    bounded = asked.join(least.drop("n"), "seed_isbn", "left").fillna(float("-inf"), subset=["least"])
+    schema = T.StructType([f for f in bounded.schema if f.name not in ("cluster", "block")] + [
+        T.StructField("bundle", T.IntegerType()), T.StructField("open", T.ArrayType(T.IntegerType()))])
+    others = bounded.mapInArrow(_open_bundles(centres, radius, np.array(blocks), np.array(bundles), dim), schema)
     if reports is not None:
         others = store.write(others)
-        reports.append(BlockReport(n_seeds + others.count(), n_seeds * sum(
-            n for c, n in enumerate(blocks) if c in clusters)))
-    return top_k(near.unionByName(products(others)), ["seed_isbn"], order, k)
+        met = others.agg(F.coalesce(F.sum(F.size("open")), F.lit(0))).first()[0]
+        reports.append(BlockReport(n_seeds + met, n_seeds * sum(b for n, b in zip(sizes, blocks) if n)))
+    in_bundle = placed.select("isbn", "embedding", "cluster", (F.get(F.lit(bundles), F.col("cluster")) + F.col("block")).alias("bundle"))
+    left = others.withColumn("part", _hash_part("seed_isbn", parts))
+    right = in_bundle.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return top_k(near.unionByName(_products(left, right, ["bundle", "part"], k, dim)), ["seed_isbn"], order, k)

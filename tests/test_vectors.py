@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readalike.operators import vectors
+from readalike.sources.store import Store
 
 VECTORS = "isbn string, embedding array<float>"
 
@@ -154,3 +155,17 @@ def test_long_texts_are_encoded_in_time_and_exploded(spark):
     # all words of w0 are one, which every document may have
     assert {r.isbn for r in rows} >= {f"b{i}" for i in range(1, 40)} and "none" not in {r.isbn for r in rows}
     assert all(abs(r.squares - 1) < 1e-5 for r in rows)
+
+
+def test_small_blocks_do_not_multiply_the_vectors(spark, tmp_path):
+    """Seeds are stored and sent once for each bundle of clusters, not for each block."""
+    data = items(1200, 8, seed=5)
+    df = spark.createDataFrame(data, VECTORS)
+    seeds = df.select(F.col("isbn").alias("seed_isbn"))
+    whole = sorted(map(tuple, vectors.knn(df, seeds, 5).collect()))
+    for task_bytes in (32 * 40, 32 * 300, 1 << 20):
+        root = str(tmp_path / str(task_bytes))
+        got = sorted(map(tuple, vectors.knn(df, seeds, 5, 32 * 4, 16, Store(spark, root), task_bytes=task_bytes).collect()))
+        assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in whole]
+        stored = sum(spark.read.parquet(f"{root}/{name}").count() for name in os.listdir(root))
+        assert stored <= 10 * len(data)
