@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readalike import params
 from readalike.functions.text import lower_trim
-from readalike.operators.ranking import top_k
+from readalike.operators.ranking import at_most, top_k
 from readalike.operators.skew import join_per_key
 from readalike.sources.store import Store
 
@@ -36,7 +36,14 @@ def _frequent(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def min_ratings_per_user(ratings: DataFrame,
                          n: int = params.MIN_RATINGS_PER_USER) -> DataFrame:
-    return join_per_key(ratings, _frequent(ratings, "user_id", n), "user_id", "left_semi")
+    """Users below ``n`` are taken out, as they are the few: up to ``params.RARE_USERS`` of them are broadcast, so the
+    ratings aren't shuffled."""
+    present = drop_nulls(ratings, ["user_id"])
+    per_user = present.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    rare = Store(ratings.sparkSession).write(per_user.filter(F.col("n") < n).select("user_id"))
+    if at_most(rare, params.RARE_USERS):
+        return present.join(F.broadcast(rare), "user_id", "left_anti")
+    return join_per_key(present, _frequent(present, "user_id", n), "user_id", "left_semi")
 
 
 def normalize_text(df: DataFrame, col: str) -> DataFrame:

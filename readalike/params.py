@@ -85,6 +85,7 @@ STRATEGIES = (
 
 # Physical limits. They change plans, never results.
 HOT_SHARE = 1_000             # a key with more than 1 / this of the rows is joined by broadcast (or 1 / partitions)
+RARE_USERS = 500_000          # up to this many users with too few ratings are broadcast
 LIGHT_USER_RATINGS = 10_000   # a user above this is paired by the heavy-user route
 TAG_PROBES = 4                # of a book's rarest tags, for the first bound of its list
 VECTOR_BLOCK_BYTES = 8 << 20   # bytes of vectors per block of the blocked inner product

@@ -62,3 +62,14 @@ def test_isbn_with_two_titles_does_not_multiply_ratings(spark):
     cleaned = clean.clean_books(books, ratings)
     assert [r[:2] for r in rows(cleaned)] == [("a", "one")]
     assert clean.ratings_of_books(ratings, books).count() == 6
+
+
+def test_users_with_few_ratings_leave_without_a_shuffle_of_the_ratings(spark, monkeypatch):
+    data = [(u, f"b{i}", 5) for u in range(30) for i in range(u % 5)] + [(None, "b1", 5)] * 4
+    ratings = spark.createDataFrame(data, "user_id int, isbn string, rating int")
+    wanted = sorted(row for row in data if row[0] is not None and row[0] % 5 >= 3)
+    df = clean.min_ratings_per_user(ratings, 3)
+    assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows(df) == wanted
+    monkeypatch.setattr(clean.params, "RARE_USERS", 2)   # more of them than are broadcast
+    assert rows(clean.min_ratings_per_user(ratings, 3)) == wanted
