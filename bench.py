@@ -20,7 +20,7 @@ from readalike.plans.workspace import workspace  # noqa: E402
 
 STAGES = ("all_ratings", "books", "ratings", "users", "index", "pair_table", "pairs", "similarity", "stats",
           "dominant", "top_books", "title_index", "metadata", "enriched", "catalogue", "vectors", "explicit_once", "explored",
-          "explored_index", "fan_table")
+          "explored_index")
 HEADLINE = (
     "clean_ratings", "clean_books", "item_similarity", "book_stats", "age_group_dominant",
     "age_group_top_books", "enrich_books", "embedding_text", "encode_text", "knn_inner_product",

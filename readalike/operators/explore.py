@@ -121,10 +121,10 @@ def explicit_once(ratings: DataFrame, store: Store) -> DataFrame:
 def explore_clean(books: DataFrame, explicit: DataFrame,
                   min_n: int = params.EXPLORE_MIN_RATINGS) -> tuple[DataFrame, DataFrame]:
     """Books and ratings under the exploratory rules, from ``explicit_once``."""
-    kept = min_ratings_per_book(explicit, explicit, min_n)
-    named = drop_nulls(books, ["title", "author"]).join(kept.select("isbn"), "isbn", "left_semi")
-    kept_books = one_row_per_isbn(named)
-    return kept_books, ratings_of_books(kept, kept_books)
+    named = drop_nulls(books, ["title", "author"])
+    kept_books = one_row_per_isbn(min_ratings_per_book(named, explicit, min_n))
+    # these books have enough ratings, so theirs are all that is kept
+    return kept_books, ratings_of_books(explicit, kept_books)
 
 
 def explore_clean_report(books: DataFrame, explicit: DataFrame) -> DataFrame:

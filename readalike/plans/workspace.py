@@ -11,7 +11,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readalike import params
 from readalike.operators import clean, enrich, explore, features, strategies, vectors
 from readalike.operators.lookup import TitleIndex, title_index
 from readalike.operators.pairs import PairTable, pair_table
@@ -127,14 +126,8 @@ class Workspace:
 
     @cached_property
     def explored(self) -> tuple[DataFrame, DataFrame]:
-        books, ratings = explore.explore_clean(self.raw("raw_books"), self.explicit_once)
-        return (self.store.write(books, "explored_books"),
-                self.store.write(ratings, "explored_ratings"))
-
-    @cached_property
-    def fan_table(self) -> PairTable:
-        fans = self.explored[1].filter(F.col("rating") >= params.FAN_RATING)
-        return pair_table(fans, self.store, self.explored_index)
+        books = self.store.write(explore.explore_clean(self.raw("raw_books"), self.explicit_once)[0], "explored_books")
+        return books, self.store.write(clean.ratings_of_books(self.explicit_once, books), "explored_ratings")
 
     @cached_property
     def explored_index(self) -> DataFrame:

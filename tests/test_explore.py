@@ -1,11 +1,14 @@
 import math
 import random
+import re
 import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readalike.operators import explore
+from readalike.operators.ids import item_index
 from tests.conftest import rows
 
 RATINGS = "user_id int, isbn string, rating int"
@@ -99,3 +102,19 @@ def test_strategy_table_fills_gaps(spark):
     table = {r.strategy: r for r in explore.strategy_table(recs, seeds, strategies(spark)).collect()}
     assert len(table) == 6 and table["readers_also"].title_1 == "X"
     assert table["readers_also"].isbn_2 is None and table["top_picks"].isbn_1 is None
+
+
+def test_fans_are_ranked_where_their_seed_lies(spark, store):
+    """Baskets are sent to their seeds: no row of a pair is shuffled."""
+    rng = random.Random(4)
+    rated = sorted({(u, f"b{rng.randrange(700):03d}") for u in range(900) for _ in range(12)})
+    ratings = spark.createDataFrame([(u, b, rng.randint(5, 10)) for u, b in rated], "user_id int, isbn string, rating int")
+    seeds = ratings.select(F.col("isbn").alias("seed_isbn")).distinct()
+    index = store.write(item_index(store, seeds.withColumnRenamed("seed_isbn", "isbn")))
+    df = explore.fan_co_reads_weighted(seeds, ratings, index=index)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("seed_isbn#"):plan.index("collect_list")]
+    assert "explode" in below and not re.search(r"Exchange hashpartitioning\(seed_isbn#\w+, isbn#", below)
+    few = explore.fan_co_reads_weighted(seeds, ratings, few=1_000)
+    table = explore.fan_co_reads_weighted(seeds, ratings, index=index, limit=5)
+    assert rows(df) == rows(few) == rows(table)
