@@ -115,9 +115,9 @@ def upsert_cache_table(spark: SparkSession, path: str, new: DataFrame, store: St
 def enrich_books(books: DataFrame, metadata: DataFrame) -> DataFrame:
     """(isbn, title, author, description, subjects), subjects comma-joined.
 
-    Left join, so a book whose fetch failed gets the fallback description.
+    Left join, so a book whose fetch failed gets the fallback description. Texts of other isbns leave before it.
     """
-    found = metadata.select("isbn", "description", "subjects")
+    found = metadata.select("isbn", "description", "subjects").join(books.select("isbn"), "isbn", "left_semi")
     fallback = title_by_author(F.col("title"), F.col("author"))
     kept = F.slice(F.coalesce("subjects", _no_subjects()), 1, params.MAX_SUBJECTS)
     return books.select("isbn", "title", "author").join(found, "isbn", "left").select(

@@ -74,7 +74,7 @@ def metadata_tables(books: DataFrame, cache: DataFrame, fetch: Callable[[DataFra
     missing = enrich.missing_keys(books, cache)
     plan = store.write(enrich.fetch_plan(features.item_index(store, missing), batch))
     parsed = enrich.with_failed_defaults(missing, enrich.parse_batches(plan, fetch(plan)))
-    metadata = store.write(enrich.upsert_cache(cache, parsed))
+    metadata = store.write(cache.unionByName(parsed))   # no isbn is in both
     enriched = enrich.enrich_books(books, metadata)
     return {"metadata": metadata, "enriched": enriched}
 

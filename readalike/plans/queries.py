@@ -286,7 +286,7 @@ BATCH_KEYS = 10
 def _responses(w: Workspace, plan: DataFrame) -> DataFrame:
     """What a server would answer: isbns that end in 7 are unknown to it, one batch of five has
     no answer, one an answer that is cut off."""
-    meta = w.raw("raw_metadata").filter(~F.col("isbn").endswith("7"))
+    meta = w.metadata_of_books().filter(~F.col("isbn").endswith("7"))
     names = F.transform(F.split("subjects", ", "), lambda s: F.struct(s.alias("name")))
     entries = meta.select("isbn", F.concat(F.lit('"ISBN:'), "isbn", F.lit('": '), F.to_json(
         F.struct("description", names.alias("subjects")))).alias("entry"))
@@ -309,7 +309,7 @@ def _(w: Workspace) -> DataFrame:
 @query("build_metadata")
 def _(w: Workspace) -> DataFrame:
     tables = build.metadata_tables(
-        w.books, w.cache(), lambda plan: _responses(w, plan), w.store, BATCH_KEYS)
+        w.books, w.store.write(w.cache()), lambda plan: _responses(w, plan), w.store, BATCH_KEYS)
     return tables["enriched"]
 
 

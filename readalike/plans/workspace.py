@@ -16,7 +16,7 @@ from readalike.operators.lookup import TitleIndex, title_index
 from readalike.operators.pairs import PairTable, pair_table
 from readalike.sources.buckets import write_bucketed
 from readalike.sources.store import Store
-from readalike.sources.views import role_view
+from readalike.sources.views import metadata_of, role_view
 
 
 class Workspace:
@@ -86,9 +86,13 @@ class Workspace:
         return title_index(self.stats, self.store)
 
     # text and vectors
-    def payloads(self) -> DataFrame:
+    def metadata_of_books(self) -> DataFrame:
+        """What is known of the processed books, which is all that a catalogue of them can need."""
+        return metadata_of(self.spark, self.sf_dir, self.books)
+
+    def payloads(self, meta: DataFrame | None = None) -> DataFrame:
         """Fetched responses as JSON text; every other description is an object."""
-        meta = self.raw("raw_metadata")
+        meta = self.raw("raw_metadata") if meta is None else meta
         names = F.transform(F.split("subjects", ", "), lambda s: F.struct(s.alias("name")))
         as_text = F.to_json(F.struct("description", names.alias("subjects")))
         value = F.struct(F.lit("/type/text").alias("type"), F.col("description").alias("value"))
@@ -103,7 +107,7 @@ class Workspace:
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return self.store.write(enrich.parse_metadata(self.payloads()), "metadata")
+        return self.store.write(enrich.parse_metadata(self.payloads(self.metadata_of_books())), "metadata")
 
     @cached_property
     def enriched(self) -> DataFrame:

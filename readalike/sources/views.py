@@ -6,6 +6,7 @@ are read from the test schema. One text serves Spark and the SQL checks; the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROLE_VIEWS = {
     "raw_books": """
@@ -48,5 +49,15 @@ def role_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+def metadata_of(spark: SparkSession, sf_dir: str, books: DataFrame) -> DataFrame:
+    """The rows of ``raw_metadata`` whose isbn is among ``books``. The view joins texts; those of other isbns leave
+    where they are read, so they are neither shuffled nor parsed."""
+    part, documents = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "documents"))
+    isbn = F.lpad(F.col("p_partkey").cast("string"), 10, "0")
+    kept = part.join(books.select("isbn"), isbn == F.col("isbn"), "left_semi")
+    texts = documents.join(kept.select("p_partkey"), F.col("doc_id") == F.col("p_partkey"), "left_semi")
+    return spark.sql(ROLE_VIEWS["raw_metadata"], part=kept, documents=texts)
+
+
 def role_sql(name: str) -> str:
     return ROLE_VIEWS[name].format(**{t: t for t in TABLES})

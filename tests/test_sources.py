@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from readalike.plans import build
-from readalike.sources import raw
+from readalike.sources import raw, views
 from tests.conftest import rows
 
 
@@ -118,3 +119,18 @@ def test_store_uses_the_configured_folder(spark, store):
     assert spark.sparkContext.getCheckpointDir() == before
     with pytest.raises(Exception, match="(?i)exist"):
         spark.read.parquet(table.inputFiles()[0])
+
+
+def test_texts_of_other_books_are_not_shuffled(spark, tmp_path):
+    """Metadata of a few books is that of the view, and only their texts reach the join."""
+    part = spark.range(1000).select(F.col("id").alias("p_partkey"), F.lit("a b").alias("p_name"), F.lit("T").alias("p_type"),
+                                    F.lit(1).alias("p_size"))
+    documents = spark.range(0, 1000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    for name, df in (("part", part), ("documents", documents)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    books = spark.createDataFrame([(f"{i:010d}",) for i in (3, 4, 998, 5000)], "isbn string")
+    df = views.metadata_of(spark, str(tmp_path), books)
+    wanted = views.role_view(spark, str(tmp_path), "raw_metadata").join(books, "isbn", "left_semi")
+    assert rows(df) == rows(wanted) and df.count() == 3
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2
