@@ -35,15 +35,16 @@ def _frequent(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def min_ratings_per_user(ratings: DataFrame,
-                         n: int = params.MIN_RATINGS_PER_USER) -> DataFrame:
+                         n: int = params.MIN_RATINGS_PER_USER, store: Store | None = None) -> DataFrame:
     """Users below ``n`` are taken out, as they are the few: up to ``params.RARE_USERS`` of them are broadcast, so the
-    ratings aren't shuffled."""
+    ratings aren't shuffled. With more of them the result is stored, if there is a ``store``."""
     present = drop_nulls(ratings, ["user_id"])
     per_user = present.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     rare = Store(ratings.sparkSession).write(per_user.filter(F.col("n") < n).select("user_id"))
     if at_most(rare, params.RARE_USERS):
         return present.join(F.broadcast(rare), "user_id", "left_anti")
-    return join_per_key(present, _frequent(present, "user_id", n), "user_id", "left_semi")
+    kept = join_per_key(present, _frequent(present, "user_id", n), "user_id", "left_semi")
+    return kept if store is None else store.write(kept)
 
 
 def normalize_text(df: DataFrame, col: str) -> DataFrame:
@@ -78,8 +79,14 @@ def dedupe_editions(books: DataFrame, ratings: DataFrame | None = None) -> DataF
     """Per (title, author) keep the most rated isbn, then the lowest isbn."""
     if ratings is None:
         return top_k(books, ["title", "author"], [F.asc("isbn")], 1).drop("rank")
-    counts = ratings.groupBy("isbn").agg(F.count(F.lit(1)).alias("_n"))
-    counted = books.join(counts, "isbn", "left").fillna(0, subset=["_n"])
+    return _most_rated_edition(books.join(_counts(ratings), "isbn", "left").fillna(0, subset=["_n"]))
+
+
+def _counts(ratings: DataFrame) -> DataFrame:
+    return ratings.groupBy("isbn").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _most_rated_edition(counted: DataFrame) -> DataFrame:
     return top_k(counted, ["title", "author"], [F.desc("_n"), F.asc("isbn")], 1).drop("rank", "_n")
 
 
@@ -97,25 +104,24 @@ def clean_ratings(ratings: DataFrame, lo: int = params.MIN_RATING, hi: int = par
                   store: Store | None = None) -> DataFrame:
     """Null keys, repeated ratings, explicit range, minimum per user.
 
-    The deduped ratings are stored, as the last step reads them more than once.
+    The deduped ratings are stored, as the last step reads them more than once. The result is that table without a few
+    broadcast users, or a table of its own, so it is cheap to read and need not be stored again.
     Ratings below ``lo`` leave before the shuffle: the highest of a group is
     below ``lo`` only when all of the group is, so no result changes.
     """
     present = drop_nulls(ratings, ["user_id", "isbn", "rating"]).filter(F.col("rating") >= lo)
     store = store or Store(ratings.sparkSession)
     explicit = store.write(explicit_ratings(dedupe_ratings(present), lo, hi))
-    return min_ratings_per_user(explicit, min_per_user)
+    return min_ratings_per_user(explicit, min_per_user, store)
 
 
 def clean_books(books: DataFrame, ratings: DataFrame,
                 min_per_book: int = params.MIN_RATINGS_PER_BOOK) -> DataFrame:
-    """``ratings`` are cleaned ones. A minimum of 1 or more implies "has ratings"."""
+    """``ratings`` are cleaned ones, counted once for the minimum and the editions. Counted books have ratings, whatever the minimum."""
     named = drop_nulls(books, ["isbn", "title"])
     tidy = clean_year(normalize_text(normalize_text(named, "title"), "author"))
-    if min_per_book < 1:
-        tidy = books_with_ratings(tidy, ratings)
-    rated = min_ratings_per_book(tidy, ratings, min_per_book)
-    return one_row_per_isbn(dedupe_editions(rated, ratings))
+    rated = tidy.join(_counts(ratings).filter(F.col("_n") >= min_per_book), "isbn")
+    return one_row_per_isbn(_most_rated_edition(rated))
 
 
 def clean_users(users: DataFrame, lo: int = params.MIN_AGE, hi: int = params.MAX_AGE) -> DataFrame:

@@ -24,10 +24,10 @@ def read_raw_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def processed_tables(raw: dict[str, DataFrame], store: Store) -> dict[str, DataFrame]:
     """Books, ratings and users after cleaning.
 
-    Clean ratings and books are stored: each is read by more than one step.
+    Clean ratings (by ``clean_ratings``) and books are stored: each is read by more than one step.
     Users below the minimum after the book restriction are not dropped again.
     """
-    ratings = store.write(clean.clean_ratings(raw["ratings"]))
+    ratings = clean.clean_ratings(raw["ratings"], store=store)
     books = store.write(clean.clean_books(raw["books"], ratings))
     return {
         "books": books,

@@ -31,7 +31,7 @@ class Workspace:
     @cached_property
     def all_ratings(self) -> DataFrame:
         """Clean ratings before the restriction to surviving books."""
-        return self.store.write(clean.clean_ratings(self.raw("raw_ratings")), "all_ratings")
+        return clean.clean_ratings(self.raw("raw_ratings"), store=self.store)
 
     @cached_property
     def books(self) -> DataFrame:

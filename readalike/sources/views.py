@@ -46,6 +46,9 @@ TABLES = ("part", "lineitem", "orders", "customer", "nation", "documents", "embe
 def role_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = ROLE_VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    if "lineitem" in used:
+        # orders are unique and far fewer, so a task hashes its share of them and sorts neither side
+        used["orders"] = used["orders"].hint("shuffle_hash")
     return spark.sql(text, **used)
 
 

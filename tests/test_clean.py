@@ -64,6 +64,27 @@ def test_isbn_with_two_titles_does_not_multiply_ratings(spark):
     assert clean.ratings_of_books(ratings, books).count() == 6
 
 
+def test_ratings_are_written_and_counted_once(spark, monkeypatch):
+    data = [(u, f"b{i}", 5) for u in range(12) for i in range(u % 5 + 1)]
+    ratings = spark.createDataFrame(data, RATINGS)
+    wanted = sorted(row for row in data if row[0] % 5 >= 2)
+    for limit, tables in ((500_000, 2), (0, 3)):   # with many rare users the result is a table of its own
+        monkeypatch.setattr(clean.params, "RARE_USERS", limit)
+        store, written = clean.Store(spark), []
+        monkeypatch.setattr(store, "write", lambda df, _w=store.write, _l=written: (_l.append(df), _w(df))[1])
+        monkeypatch.setattr(clean, "Store", lambda _s, _t=store: _t)
+        kept = clean.clean_ratings(ratings, store=store)
+        assert rows(kept) == wanted and len(written) == tables
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.undo()
+    books = spark.createDataFrame([(f"b{i}", "t", "a", "1999", "p") for i in range(7)], BOOKS)
+    cleaned = clean.clean_books(books, kept)
+    assert [r[0] for r in rows(cleaned)] == ["b0"]
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("count(1)") == 1
+    assert [r[0] for r in rows(clean.clean_books(books, kept, 0))] == ["b0"]
+    assert rows(clean.clean_books(books, kept, 9)) == []
+
+
 def test_users_with_few_ratings_leave_without_a_shuffle_of_the_ratings(spark, monkeypatch):
     data = [(u, f"b{i}", 5) for u in range(30) for i in range(u % 5)] + [(None, "b1", 5)] * 4
     ratings = spark.createDataFrame(data, "user_id int, isbn string, rating int")
