@@ -225,7 +225,8 @@ def attach_metadata(lists: DataFrame, books: DataFrame, strategy: str | None = N
 
 @dataclass(frozen=True)
 class Artefacts:
-    """The stored feature tables that recommendations are read from."""
+    """The stored feature tables that recommendations are read from. What has these names serves as well, so a table
+    may be made when it is first asked for."""
 
     similarity: DataFrame
     vectors: DataFrame

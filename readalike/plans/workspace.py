@@ -145,9 +145,9 @@ class Workspace:
         return self.books.select(F.col("isbn").alias("seed_isbn"))
 
     @property
-    def artefacts(self) -> strategies.Artefacts:
-        return strategies.Artefacts(self.similarity, self.vectors, self.stats,
-                                    self.dominant, self.top_books, self.catalogue)
+    def artefacts(self) -> Workspace:
+        """The workspace itself: a table that a strategy reads is made then, others not at all."""
+        return self
 
     @cached_property
     def recommendations(self) -> DataFrame:

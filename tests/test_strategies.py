@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from readalike import params
 from readalike.functions import scores
 from readalike.operators import strategies
+from readalike.plans.workspace import Workspace
 from tests.conftest import rows
 
 SIM = "isbn string, other_isbn string, similarity double"
@@ -105,6 +106,19 @@ def test_metadata_defaults(spark, art):
     assert row.score == 0.123456
 
 
+@pytest.mark.parametrize("name, unread", [
+    ("same_author", ("similarity", "vectors", "dominant", "top_books")),
+    ("hidden_gems", ("vectors", "dominant", "top_books")),
+    ("similar_themes", ("similarity", "dominant", "top_books"))])
+def test_a_strategy_makes_only_the_tables_it_reads(spark, name, unread):
+    tables = Workspace(spark, "/root/testdata/sf0.001")
+    recs = strategies.recommend(tables.seeds, name, tables.artefacts)
+    made = set(vars(tables))
+    assert {"stats", "catalogue"} <= made
+    assert not made & {*unread, *({"pairs", "pair_table"} if "similarity" in unread else ())}
+    assert not recs.isEmpty()
+
+
 def test_missing_count_in_hidden_gems_is_one(spark):
     sim = spark.createDataFrame([("s", "x", 0.5), ("s", "y", 0.5), ("s", "z", -0.1)], SIM)
     stats = spark.createDataFrame([("x", "t", "a", 100, 5.0)], STATS)
