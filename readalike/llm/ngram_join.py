@@ -10,8 +10,8 @@ n-grams. Entries of AAᵀ are overlaps, and two documents are linked if the over
    n - ceil(4 n / 5) + l columns of each it shares l or more: only this block of A is multiplied out, with l = n / 20 + 1
    of the smaller row. Columns in which the block has a single entry go, then rows with fewer than the least l of a fitting size.
 3. A column with m entries would add m * m / 2 products. First each entry meets two of its column, the row with most entries
-   and its neighbour in that order; these pairs are verified, and linked rows are joined to components. Columns whose rows are one component
-   have nothing left to say.
+   and its neighbour in that order; pairs that meet in l columns or more are verified, and linked rows are joined to components. Columns
+   whose rows are one component have nothing left to say.
 4. Other columns of at most ``LIGHT`` entries are multiplied out for rows of different components. Overlaps
    are accumulated over all columns, and a pair is discarded if even with all columns that can still count it stays
    below the bound: what it shares in the block, at most all of its longer columns, and the larger rest outside the block.
@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from readalike.llm import text_arrays as ta
 from readalike.llm.near_dedup import components, shingles
 from readalike.llm.shipping import with_package
+from readalike.sources.buckets import write_bucketed
 from readalike.sources.store import Store
 
 BUCKETS = 1 << 18
@@ -221,13 +222,17 @@ def common(p: np.ndarray, q: np.ndarray) -> int:
 
 def centre_pairs(entries: DataFrame) -> DataFrame:
     """Every entry's row with the first of its column and with the one before it, as pairs a < b of fitting sizes. Rows with
-    most entries come first: a text that others were made from shares more columns than they do."""
+    most entries come first: a text that others were made from shares more columns than they do. Pairs that meet in fewer
+    columns than a link shares are left out, as they are seldom links and their sets would be sent for nothing; those that
+    are have different components or are joined by others, so steps 4 and 5 find them."""
     by_entries = Window.partitionBy("shingle").orderBy(F.desc("entries"), "n", "member")
     row = F.struct("member", "n")
     placed = entries.select("member", "n", F.first(row).over(by_entries).alias("top"), F.lag(row).over(by_entries).alias("last"))
     met = placed.select("member", "n", F.explode(F.array("top", "last")).alias("c"))
     met = met.filter((F.col("member") != F.col("c.member")) & sizes_fit("n", "c.n"))
-    return met.select(F.least("member", "c.member").alias("a"), F.greatest("member", "c.member").alias("b")).distinct()
+    times = met.groupBy(F.least("member", "c.member").alias("a"), F.greatest("member", "c.member").alias("b")).agg(
+        F.count(F.lit(1)).alias("times"), F.min(F.least("n", "c.n")).alias("small"))
+    return times.filter(F.col("times") >= F.expr("small div 20 + 1")).select("a", "b")
 
 
 def shared_by(n: str) -> Column:
@@ -236,10 +241,13 @@ def shared_by(n: str) -> Column:
 
 
 def full_rows(entries: DataFrame, store: Store) -> DataFrame:
-    """Entries of rows that have enough of them to be linked with any other, and how many they have."""
-    counted = entries.groupBy("member", "n").agg(F.count(F.lit(1)).alias("entries"))
-    enough_of = store.write(counted.filter(F.col("entries") >= shared_by("n")))
-    return store.write(entries.join(enough_of, ["member", "n"]))
+    """Entries of rows that have enough of them to be linked with any other, and how many they have. They are stored in
+    buckets of their rows, so they are shuffled for this once and not again when the rows get labels."""
+    buckets = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_row = Window.partitionBy("member", "n")   # at most the columns of the block
+    counted = entries.repartition(buckets, "member").withColumn("entries", F.count(F.lit(1)).over(of_row))
+    return write_bucketed(counted.filter(F.col("entries") >= shared_by("n")), store.folder("entries"), "member",
+                          buckets=buckets, dealt=True)
 
 
 def light_pairs(light: DataFrame, heavy: DataFrame) -> DataFrame:

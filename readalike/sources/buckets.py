@@ -18,15 +18,17 @@ def _table(path: str) -> str:
     return "readalike_" + hashlib.md5(path.encode()).hexdigest()
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, *order: str, buckets: int = params.EDGE_BUCKETS) -> DataFrame:
+def write_bucketed(df: DataFrame, path: str, key: str, *order: str, buckets: int = params.EDGE_BUCKETS,
+                   dealt: bool = False) -> DataFrame:
     """Store ``df`` at ``path`` in ``buckets`` files of ``key``, sorted by it and ``order``; returns the stored table.
 
     A key that holds many rows makes its bucket large, and a task that reads it longer; sorted rows of a bucket
-    stream, so it is never held whole.
+    stream, so it is never held whole. ``dealt``: ``df`` is partitioned by ``key`` in ``buckets`` already.
     """
     name = _table(path)
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path).bucketBy(
+    placed = df if dealt else df.repartition(buckets, key)
+    placed.write.mode("overwrite").format("parquet").option("path", path).bucketBy(
         buckets, key).sortBy(key, *order).saveAsTable(name)
     return df.sparkSession.table(name)
 

@@ -113,3 +113,15 @@ def test_many_similar_but_unlinked_texts_give_no_rows_to_the_square(spark, store
     monkeypatch.setattr(store, "write", lambda df, name=None: sizes.append(write(df, name)) or sizes[-1])
     assert found(spark, rows, store) == sorted(((k, 80, k) for k in range(300)), key=str)
     assert max(t.count() for t in sizes) < 300 * 299 / 4
+
+
+def test_pairs_that_meet_too_seldom_are_not_sent_and_rows_are_dealt_once(spark, store):
+    # rows 1 and 2 meet in twelve columns, row 3 shares a single one with them; all have 100 n-grams
+    cells = [(c, m, 100) for c in range(12) for m in (1, 2)] + [(0, 3, 100)] + [(c, 3, 100) for c in range(50, 60)]
+    cells += [(c, 4, 100) for c in range(50, 60)] + [(99, 5, 100)]
+    entries = j.full_rows(spark.createDataFrame(cells, j._ENTRY), store)
+    assert sorted({r.member for r in entries.collect()}) == [1, 2, 3, 4]
+    assert sorted(map(tuple, j.centre_pairs(entries).collect())) == [(1, 2), (3, 4)]
+    labels = spark.createDataFrame([(1, 1)], "id long, label long").hint("merge")
+    plan = entries.join(labels, entries.member == labels.id, "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
