@@ -159,6 +159,14 @@ class Chunks:
     def raw(self, k: int) -> str:
         return self.data[self.starts[k]:self.stops[k]].tobytes().decode()
 
+    def raws(self, which: np.ndarray) -> list[str]:
+        """``raw`` of several chunks."""
+        size = self.stops[which] - self.starts[which]
+        edges = np.concatenate(([0], np.cumsum(size)))
+        place = np.repeat(self.starts[which] - edges[:-1], size) + np.arange(edges[-1])
+        found = pa.LargeStringArray.from_buffers(len(which), pa.py_buffer(edges), pa.py_buffer(self.data[place]))
+        return found.to_numpy(zero_copy_only=False).tolist()
+
 
 def chunks_of(part: ta.Slice, breaks: np.ndarray) -> Chunks:
     """A chunk begins with a text, with a run of spaces, or after a byte of ``breaks``."""

@@ -48,7 +48,9 @@ STRIDE = HEAD.itemsize
 KEY = 20240229
 ROUNDS = 6
 RUNS = 4_000_000
-KEPT = 4_000_000   # chunks whose ids a worker remembers (30 bytes each), then starts anew
+KEPT = 1_000_000   # chunks whose ids a worker remembers (40 bytes each), then starts anew
+FRESH = 1 << 17    # of these, chunks that wait to be sorted in among the others
+PIECE = 1024       # rows of a batch whose texts are copied at once
 
 _RUN = "file long, row long, n long"
 _PACKED = "shard long, records binary"
@@ -59,7 +61,8 @@ SEQUENCES = "slot long, shard long, doc_id long, seq int, n_tokens int, crc long
 class Encoder:
     """Ids of whole texts, found once per distinct chunk (see ``token_counts``).
 
-    What a worker remembers are flat arrays: sorted hashes of chunks, and where their ids lie.
+    What a worker remembers are flat arrays: sorted hashes of chunks, and where their ids lie; those of
+    the last slices apart, as the arrays are copied when something is sorted in.
     """
 
     def __init__(self, model_file: str):
@@ -72,9 +75,8 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.key = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.fresh = nothing, nothing
         self.pool = np.zeros(1 << 16, np.uint16)
         self.used = 0
 
@@ -94,26 +96,43 @@ class Encoder:
         self.used += total
         return begin, size
 
+    def remembered(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of chunks lie and how many they are; -1 for unknown chunks."""
+        begin, size = np.full(len(distinct), -1), np.zeros(len(distinct), np.int64)
+        for key, begins, sizes in (self.known, self.fresh):
+            if len(key):
+                at = np.minimum(np.searchsorted(key, distinct), len(key) - 1)
+                mine = np.flatnonzero(key[at] == distinct)
+                begin[mine], size[mine] = begins[at[mine]], sizes[at[mine]]
+        return begin, size
+
+    def remember(self, *more: np.ndarray) -> None:
+        def merged(have: tuple[np.ndarray, ...], more: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+            at = np.searchsorted(have[0], more[0])
+            return tuple(np.insert(x, at, y) for x, y in zip(have, more, strict=True))
+
+        self.fresh = merged(self.fresh, more)
+        if len(self.fresh[0]) > FRESH:
+            self.known, self.fresh = merged(self.known, self.fresh), tuple(x[:0].copy() for x in self.fresh)
+
     def slice(self, part: ta.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice with their end tokens, and how many each text has."""
         chunks = tc.chunks_of(part, self.machine.breaks)
         distinct, example, which = ta.distinct(chunks.key)
-        if len(self.key) > KEPT:
+        if len(self.known[0]) + len(self.fresh[0]) > KEPT:
             self.reset()
-        at = np.searchsorted(self.key, distinct)
-        new = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] != distinct) if len(self.key) else np.arange(len(distinct))
+        begins, sizes = self.remembered(distinct)
+        new = np.flatnonzero(begins < 0)
         if len(new):
-            begin, size = self.learn([chunks.raw(k) for k in example[new]], chunks.opens[example[new]].tolist())
-            self.key, self.begin, self.size = (np.insert(have, at[new], values) for have, values in (
-                (self.key, distinct[new]), (self.begin, begin), (self.size, size)))
-            at = np.searchsorted(self.key, distinct)
+            begins[new], sizes[new] = self.learn(chunks.raws(example[new]), chunks.opens[example[new]].tolist())
+            self.remember(distinct[new], begins[new], sizes[new])
         # The end token is one more chunk after the last of each text; it lies at the pool's end.
         if self.used == len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used] = self.end
         ends = np.cumsum(chunks.per_text)
-        begin = np.insert(self.begin[at[which]], ends, self.used)
-        times = np.insert(self.size[at[which]], ends, 1)
+        begin = np.insert(begins[which], ends, self.used)
+        times = np.insert(sizes[which], ends, 1)
         place = np.repeat(begin - (np.cumsum(times) - times), times)
         place += np.arange(len(place))
         last = np.cumsum(chunks.per_text + 1)
@@ -126,6 +145,15 @@ def encoder(model_file: str) -> Encoder:
     return Encoder(model_file)
 
 
+def encoded(texts: pa.Array, code: Encoder) -> Iterator[tuple[int, ta.Slice, np.ndarray, np.ndarray]]:
+    """Slice by slice the row of its first text, the slice, the ids of its texts and how many each text has. Texts are
+    copied ``PIECE`` rows at a time."""
+    for k in range(0, len(texts), PIECE):
+        for part in ta.slices(tc.plain(texts.slice(k, PIECE))):
+            yield k + part.first, part, *code.slice(part)
+    pa.default_memory_pool().release_unused()
+
+
 def permuted(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     """Keyed permutation of 0 .. n - 1: a balanced Feistel network on the smallest even
     number of bits, applied again where the outcome isn't below n."""
@@ -169,8 +197,7 @@ def sequence_numbers(rows: DataFrame, model_file: str) -> dict[tuple[int, int],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = np.concatenate([-(-code.slice(part)[1] // LENGTH) for part in
-                                ta.slices(tc.plain(batch.column("text")))])
+            n = np.concatenate([-(-size // LENGTH) for _, _, _, size in encoded(batch.column("text"), code)])
             file, row, begin = runs_of(batch)
             total = np.add.reduceat(n, begin)
             for k, b in enumerate(begin):
@@ -208,21 +235,20 @@ def packed_records(rows: DataFrame, model_file: str, numbers: dict[tuple[int, in
             before = file[-1], row[-1]
             ids = batch.column("doc_id")
             has, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-            for part in ta.slices(tc.plain(batch.column("text"))):
-                tokens, size = code.slice(part)
+            for row_0, part, tokens, size in encoded(batch.column("text"), code):
                 n = -(-size // LENGTH)
                 index = np.empty(n.sum(), np.int64)
                 owner = np.repeat(np.arange(part.n), n)
                 seq = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                edges = sorted(b - part.first for b in starts if part.first <= b < part.first + part.n)
+                edges = sorted(b - row_0 for b in starts if row_0 <= b < row_0 + part.n)
                 upto = np.concatenate(([0], np.cumsum(n)))
                 for a, b in zip([0, *edges], [*edges, part.n], strict=True):
                     if a in edges:
-                        at = numbers[int(file[part.first + a]), int(row[part.first + a])]
+                        at = numbers[int(file[row_0 + a]), int(row[row_0 + a])]
                     index[upto[a]:upto[b]] = at + np.arange(upto[b] - upto[a])
                     at += int(upto[b] - upto[a])
                 records = np.zeros(len(owner), HEAD)
-                records["doc_id"], records["has_id"] = ids[part.first + owner], has[part.first + owner]
+                records["doc_id"], records["has_id"] = ids[row_0 + owner], has[row_0 + owner]
                 records["seq"] = seq
                 records["n_tokens"] = np.minimum(LENGTH, size[owner] - seq * LENGTH)
                 place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
@@ -261,7 +287,7 @@ def write_shards(docs: DataFrame, store: Store, model_file: str, key: int = KEY)
             n = min(RECORDS, total - current * RECORDS)
             if filled != n:
                 raise RuntimeError(f"shard {current} has {filled} of {n} records")
-            data, path = records[:n].tobytes(), f"{folder}/shard-{current:08d}.bin"
+            data, path = memoryview(records[:n].view(np.uint8)), f"{folder}/shard-{current:08d}.bin"
             write_whole(path, [data])
             return pa.RecordBatch.from_pydict({
                 "shard": [current], "path": [path], "first_slot": [current * RECORDS],
@@ -272,6 +298,7 @@ def write_shards(docs: DataFrame, store: Store, model_file: str, key: int = KEY)
                 if shard != current:
                     if records is not None:
                         yield finish()
+                    records = None   # before the next one is made
                     current, records, filled = shard, np.zeros(RECORDS, HEAD), 0
                 place, mine = unpacked(blob.as_py())
                 records[place] = mine

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,42 @@ def test_odd_rows(odd_docs, no_docs, store):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     assert written(to.read_shards(to.write_shards(odd_docs, store, tokenizer_file()))) == expected(rows)
     assert to.read_shards(to.write_shards(no_docs, store, tokenizer_file())).count() == 0
+
+
+class Stub:
+    def encode(self, texts, num_threads):
+        return [[7, 8, 9]] * len(texts)
+
+
+def test_memory_of_a_worker(monkeypatch):
+    code = to.Encoder(tokenizer_file())
+    code.library = Stub()
+    kept = 0
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        texts = pa.array([" ".join(map(str, rng.integers(0, 1 << 40, 75_000)))])
+        for _, _, tokens, size in to.encoded(texts, code):
+            assert len(tokens) == size.sum() > 75_000
+        arrays = [*code.known, *code.fresh, code.pool]
+        kept = max(kept, sum(x.nbytes for x in arrays))
+    assert kept < 64 << 20
+    # a batch's texts aren't copied whole
+    texts = pa.array(["word " * 600] * 10_000)
+    before = pa.total_allocated_bytes()
+    assert max(pa.total_allocated_bytes() - before for _ in to.encoded(texts, code)) < 15 << 20
+
+
+def test_chunks_learnt_in_steps_and_forgotten(texts, monkeypatch):
+    monkeypatch.setattr(to, "PIECE", 3)
+    whole = to.Encoder(tokenizer_file())
+    plain = pa.array(list(texts.values()))
+    expected = [*to.encoded(plain, whole)]
+    for kept, fresh in ((1 << 30, 10), (500, 100)):
+        monkeypatch.setattr(to, "KEPT", kept)
+        monkeypatch.setattr(to, "FRESH", fresh)
+        code = to.Encoder(tokenizer_file())
+        for _ in range(2):
+            found = [*to.encoded(plain, code)]
+            assert [x[0] for x in found] == [x[0] for x in expected]
+            for x, y in zip(found, expected, strict=True):
+                assert x[2].tolist() == y[2].tolist() and x[3].tolist() == y[3].tolist()
