@@ -22,8 +22,9 @@ against the few in which its members differ, and the group would fall apart. The
    sides there bound what they share; all pairs of different components within that bound are
    verified. So every pair that shares a band key is linked or in one component or known to be less similar.
 
-Every aggregate combines before its shuffle, and joins read stored tables on both sides,
-which adaptive execution splits where a key is hot. What goes through the driver has a
+Aggregates combine before their shuffle; joins with texts read stored tables on both sides,
+which adaptive execution splits where a key is hot. Centres and sizes of a bucket come from windows over its
+rows, a few numbers each, which a task sorts and spills. What goes through the driver has a
 fixed size: the frequency table and a bitmap of the ids whose texts are compared, so that
 these texts are found again without shuffling all texts.
 
@@ -43,7 +44,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readalike.llm import text_arrays as ta
@@ -274,14 +275,13 @@ def candidates(members: DataFrame, store: Store, turn: int, compared: DataFrame
     """Pairs (a, b), a < b, of bucket members (bucket, member, part, mates) with the two centres of
     the bucket: the member with most bucket mates, which an original has that its copies were made
     from, and one by hash. Members of the same part need no comparison, nor do pairs in ``compared``."""
-    centres = store.write(members.groupBy("bucket").agg(
-        F.max_by(F.struct("member", "part"), F.struct("mates", -F.col("member"))).alias("x"),
-        F.min(F.struct(F.xxhash64(F.lit(turn), "member").alias("h"), "member", "part")).alias("y")))
-    centres = centres.select("bucket", F.explode(F.array(
-        F.col("x"), F.struct("y.member", "y.part"))).alias("c"))
-    centres = centres.select("bucket", F.col("c.member").alias("centre"), F.col("c.part").alias("centre_part"))
-    met = members.join(centres, "bucket").filter(F.col("part") != F.col("centre_part"))
-    pairs = met.select(F.least("member", "centre").alias("a"), F.greatest("member", "centre").alias("b")).distinct()
+    bucket = Window.partitionBy("bucket")
+    placed = members.select(
+        "member", "part", F.max(F.struct("mates", (-F.col("member")).alias("less"), "member", "part")).over(bucket).alias("x"),
+        F.min(F.struct(F.xxhash64(F.lit(turn), "member").alias("h"), "member", "part")).over(bucket).alias("y"))
+    met = placed.select("member", "part", F.explode(F.array(*(F.struct(f"{c}.member", f"{c}.part") for c in "xy"))).alias("c"))
+    met = met.filter(F.col("part") != F.col("c.part"))
+    pairs = met.select(F.least("member", "c.member").alias("a"), F.greatest("member", "c.member").alias("b")).distinct()
     return store.write(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
 
 
@@ -384,12 +384,9 @@ def text_classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     signed = store.write(signatures(docs, idf))
     texts, several = distinct_texts(signed, store)
     banded = texts.select("member", F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.min("member").alias("low"), F.max("member").alias("high"))
-    crowded = store.write(crowded.filter("low < high").select("bucket"))
-    crowd = store.write(banded.join(crowded, "bucket", "left_semi"))
-    sizes = store.write(crowd.groupBy("bucket").agg((F.count(F.lit(1)) - 1).alias("others")))
-    mates = store.write(crowd.join(sizes, "bucket").groupBy("member").agg(F.sum("others").alias("mates")))
-    buckets = store.write(crowd.join(mates, "member"))
+    of_bucket, of_member = Window.partitionBy("bucket"), Window.partitionBy("member")
+    crowd = banded.withColumn("others", F.count(F.lit(1)).over(of_bucket) - 1).filter("others > 0")
+    buckets = store.write(crowd.select("bucket", "member", F.sum("others").over(of_member).alias("mates")))
     wanted = store.write(buckets.select("member").distinct().join(texts, "member").select("member", "doc_id", "digest")
                          if several else buckets.select("member", F.col("member").alias("doc_id")).distinct())
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -405,16 +402,15 @@ def text_classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     turn = 0
     while True:
         turn += 1
-        parted = store.write(buckets.join(joined, F.col("member") == F.col("id"), "left").select(
-            "bucket", "member", F.coalesce("label", "member").alias("part"), "mates"))
-        mixed_buckets = parted.groupBy("bucket").agg(
-            F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
+        parted = buckets.join(joined, F.col("member") == F.col("id"), "left").select(
+            "bucket", "member", F.coalesce("label", "member").alias("part"), "mates")
         # A bucket of one component stays one, so only the others are looked at from now on.
-        parted = store.write(parted.join(store.write(mixed_buckets), "bucket", "left_semi"))
+        parted = parted.withColumn("several", F.min("part").over(of_bucket) < F.max("part").over(of_bucket))
+        parted = store.write(parted.filter("several").drop("several"))
         buckets = parted.drop("part")
-        rest = store.write(parted.groupBy("bucket", "part").agg(
+        rest = parted.groupBy("bucket", "part").agg(
             F.max(F.struct("mates", F.xxhash64(F.lit(turn), "member").alias("h"), "member")).alias("m")).select(
-            "bucket", F.col("m.member").alias("member"), "part", F.col("m.mates").alias("mates")))
+            "bucket", F.col("m.member").alias("member"), "part", F.col("m.mates").alias("mates"))
         pairs = candidates(rest, store, turn, compared)
         ids = store.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         found = store.write(links(pairs, packed.join(ids, "doc_id", "left_semi")))

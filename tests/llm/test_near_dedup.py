@@ -163,3 +163,18 @@ def test_filter_lets_every_wanted_id_pass(spark):
 def test_components(spark, store, edges, expected):
     found = nd.components(spark.createDataFrame(edges, "a long, b long"), store)
     assert {r["id"]: r["label"] for r in found.collect()} == expected
+
+
+def test_few_tables_are_stored(docs, store, monkeypatch):
+    written = []
+    keep = store.write
+    monkeypatch.setattr(store, "write", lambda df, *name: written.append(0) or keep(df, *name))
+    buckets = docs.selectExpr("doc_id div 3 AS bucket", "doc_id AS member", "doc_id AS part", "doc_id % 7 AS mates")
+    rows = {(r["bucket"], r["member"], r["mates"]) for r in buckets.collect()}
+    found = {tuple(r) for r in nd.candidates(buckets, store, 0, None).collect()}
+    assert len(written) == 1
+    for bucket in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == bucket]
+        top = max(mine, key=lambda r: (r[2], -r[1]))[1]
+        assert {(min(top, m), max(top, m)) for _, m, _ in mine if m != top} <= found
+    assert all(a // 3 == b // 3 and a < b for a, b in found)
