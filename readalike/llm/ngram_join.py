@@ -187,6 +187,12 @@ def packed_sets(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", bit).mapInArrow(pack, _SET)
 
 
+def dealt_sets(packed: DataFrame, store: Store) -> DataFrame:
+    """The sets, stored in buckets of their rows: they are shuffled for this once and by no join with them."""
+    buckets = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_bucketed(packed, store.folder("sets"), "member", buckets=buckets)
+
+
 def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 9 * overlap >= 4 * (a + b)
 
@@ -328,7 +334,7 @@ def links(docs: DataFrame, rows: DataFrame, counts: np.ndarray, store: Store) ->
         packed = packed.join(members, "member", "left_semi")     # a full bitmap lets too many pass
     if not rows.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
         packed = packed.dropDuplicates(["member", "codes"])
-    packed = store.write(packed)
+    packed = dealt_sets(packed, store)
 
     found = store.write(verified(store.write(centre_pairs(entries)), packed))
     joined = components(found, store)
@@ -339,9 +345,7 @@ def links(docs: DataFrame, rows: DataFrame, counts: np.ndarray, store: Store) ->
     rest = store.write(parted.join(store.write(open_columns.select("shingle", "m")), "shingle"))
     heavy = store.write(rest.filter(F.col("m") > LIGHT))
     more = store.write(light_pairs(rest.filter(F.col("m") <= LIGHT), heavy))
-    ids = store.write(more.select(F.explode(F.array("a", "b")).alias("member")).distinct())
-    more = verified(more, store.write(packed.join(ids, "member", "left_semi")))
-    return store.write(found.unionByName(more).unionByName(heavy_links(heavy, packed, store)))
+    return store.write(found.unionByName(verified(more, packed)).unionByName(heavy_links(heavy, packed, store)))
 
 
 def jaccard_components(docs: DataFrame, store: Store) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from readalike.llm import ngram_join as j
@@ -125,3 +126,18 @@ def test_pairs_that_meet_too_seldom_are_not_sent_and_rows_are_dealt_once(spark,
     labels = spark.createDataFrame([(1, 1)], "id long, label long").hint("merge")
     plan = entries.join(labels, entries.member == labels.id, "left")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_sets_are_dealt_once(spark, store):
+    packed = j.dealt_sets(spark.createDataFrame([(k, bytes(np.arange(9 + k % 2, dtype=np.uint64))) for k in range(50)], j._SET), store)
+    pairs = store.write(spark.createDataFrame([(k, k + 2) for k in range(40)], "a long, b long"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = j.verified(pairs, packed)
+        assert sorted(tuple(r) for r in found.collect()) == [(k, k + 2, 9 + k % 2) for k in range(40)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Bucketed: true") == 2 and initial.count("Exchange hashpartitioning") == 2   # the pairs, once by either id
